@@ -37,8 +37,9 @@ def day_cycle(ts: Column) -> tuple[Column, Column]:
 
 def from_epoch_ns(ns: Column) -> Column:
     """Nanoseconds since 1970 -> naive UTC timestamp, row by row."""
+    micros = (ns - F.pmod(ns, F.lit(1000))).cast("decimal(20,0)") / F.lit(1_000_000_000)
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), (F.floor(ns / F.lit(1000)).cast("decimal(24,6)") / F.lit(1_000_000)).cast("decimal(18,6)")
+        F.lit(0), F.lit(0), F.lit(0), micros.cast("decimal(18,6)")
     )
 
 

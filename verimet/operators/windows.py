@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verimet.functions.clock import to_epoch_ns
 from verimet.operators.projections import normalised_features
@@ -159,8 +160,8 @@ def window_images(
 ) -> DataFrame:
     """Image of the first future row, clamped to the series' last row.
 
-    A missing image becomes zeros shaped like another image of that row's
-    cluster when `image` is an array of images; all missing is an error.
+    `image` holds one image per station of the cluster.  A missing one becomes
+    zeros shaped like another of the same row; all missing is an error.
     """
     rows = with_position(df, keys, [order], F.trunc(F.col(order), "MM"), "_pos")
     blocks = overlapping_blocks(rows, "_pos", max(block_rows, past + 1), past)
@@ -168,13 +169,19 @@ def window_images(
     chosen = F.last(F.struct(F.col(image).alias("v"))).over(series.rowsBetween(0, past))["v"]
     picked = blocks.withColumn("_img", chosen).where(F.col(CORE))
     reference = F.filter("_img", lambda m: m.isNotNull())[0]
-    zeros = F.transform(reference, lambda r: F.transform(r, lambda v: F.lit(0.0)))
+    zeros = _zeros_like(reference, df.schema[image].dataType.elementType)
     filled = F.when(
         F.exists("_img", lambda m: m.isNotNull()), F.transform("_img", lambda m: F.coalesce(m, zeros))
     ).otherwise(F.raise_error(F.lit("no image for any station of the cluster")))
     return picked.select(*keys, order, F.col("_pos").alias("start"), filled.alias("images"))
 
 
+def _zeros_like(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: _zeros_like(v, kind.elementType))
+    return F.lit(0).cast(kind)
+
+
 def profile_images(
     df: DataFrame, channels: Sequence[str], time: str = "time", height: str = "range", station: str = "station"
 ) -> DataFrame:

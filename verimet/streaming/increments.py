@@ -1,7 +1,9 @@
 """Streaming forms of the hourly job.
 
 Bins are the same built-in windows as in batch, closed by a watermark; sinks
-are keyed by batch id, so a restarted query writes each batch once.
+are keyed by batch id, so a restarted query writes each batch once.  Event time
+must be TIMESTAMP for a watermark, so naive UTC is cast on the way in and back
+on the way out (the session runs in UTC).
 """
 
 from __future__ import annotations
@@ -24,19 +26,26 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern:
     return reader.parquet(folder)
 
 
+def _event_time(stream: DataFrame, ts: str) -> DataFrame:
+    return stream.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def hourly_wind(stream: DataFrame, hours: int = 1, ts: str = "time_5M", delay: str = "2 hours", station: str = "station") -> DataFrame:
     """Mean wind, mean temperature and row count per station and left-labelled bin."""
     return (
-        stream.withWatermark(ts, delay)
+        _event_time(stream, ts).withWatermark(ts, delay)
         .groupBy(station, F.window(ts, f"{hours} hours").alias("_w"))
         .agg(F.avg("wspd_sonic").alias("wspd_sonic_mean"), F.avg("tair").alias("tair"), F.count(F.lit(1)).alias("n"))
-        .select(station, F.col("_w.start").alias("valid_time"), "wspd_sonic_mean", "tair", "n")
+        .select(station, F.col("_w.start").cast("timestamp_ntz").alias("valid_time"), "wspd_sonic_mean", "tair", "n")
     )
 
 
 def without_repeats(stream: DataFrame, keys: Sequence[str], ts: str, delay: str = "2 hours") -> DataFrame:
     """Drop repeated deliveries of a row that arrive within the watermark."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+    return (
+        _event_time(stream, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+        .withColumn(ts, F.col(ts).cast("timestamp_ntz"))
+    )
 
 
 def append_closed_bins(stream: DataFrame, path: str, checkpoint: str):
