@@ -82,7 +82,7 @@ _view("hourly", """
 SELECT concat('S', l_suppkey) AS station,
        TIMESTAMP '2024-01-01' + to_hours(CAST((l_orderkey*7 + l_partkey*3 + l_linenumber) % 240 AS INT)) AS valid_time,
        CASE WHEN min(l_linenumber) = 7 THEN NULL ELSE avg(l_quantity) / 2 END AS tair,
-       avg(l_discount * 100) AS wspd_sonic_mean, avg(l_tax * 100) AS precip_total, count(*) AS n
+       avg(round(l_discount * 100)) AS wspd_sonic_mean, avg(round(l_tax * 100)) AS precip_total, count(*) AS n
 FROM lineitem GROUP BY 1, 2""")
 
 _view("runs", """
@@ -221,8 +221,8 @@ class Inputs:
             .groupBy(F.concat(F.lit("S"), "l_suppkey").alias("station"), hour.alias("_h"))
             .agg(
                 F.when(F.min("l_linenumber") != 7, F.avg("l_quantity") / 2).alias("tair"),
-                F.avg(F.col("l_discount") * 100).alias("wspd_sonic_mean"),
-                F.avg(F.col("l_tax") * 100).alias("precip_total"),
+                F.avg(F.round(F.col("l_discount") * 100)).alias("wspd_sonic_mean"),
+                F.avg(F.round(F.col("l_tax") * 100)).alias("precip_total"),
                 F.count(F.lit(1)).alias("n"),
             )
             .select("station", (F.lit(EPOCH).cast("timestamp_ntz") + hours_interval(F.col("_h"))).alias("valid_time"),

@@ -1,0 +1,18 @@
+"""Broadcasting behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Hint a broadcast when `df` has at most `max_rows` rows, else leave it to the planner.
+
+    The count stops after `max_rows + 1` rows.  Meant for narrow look-up tables
+    that are cheap to read (files or checkpoints); larger ones join by shuffle,
+    where adaptive execution splits skewed keys.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verimet.functions.clock import day_cycle, hours_interval, year_cycle
+from verimet.operators.bounded import broadcast_if_small
 
 # Fixed mapping: forecast variable -> observed variable.
 OBSERVED_FOR = {
@@ -74,11 +75,18 @@ def cluster_rows(
 
     All `size` members must be present.  `optional` values (observations at
     inference) come as a block: kept only when every member has one at that
-    time, else null for all.  Slots are fixed, so no pivot discovery job runs,
-    and partial aggregation folds rows before the one shuffle.
+    time, else null for all.  Slots are fixed, so no pivot discovery job runs.
+    With a cluster table under the checked size the long rows are not shuffled
+    by station first, so the expansion costs one shuffle.
     """
-    members = cluster_members(clusters)
-    joined = df.join(members, "station")
+    members = broadcast_if_small(cluster_members(clusters))
+    # Compact member rows travel; aggregating before the shuffle would send every
+    # row with all the slots of the wide result, most of them empty.
+    joined = (
+        df.join(members, "station")
+        .select("target", "slot", *time_keys, *values, *optional, *(["_observed"] if optional else []))
+        .repartition("target", *time_keys)
+    )
     slot = F.col("slot")
     everything = [*values, *optional]
     aggs = [F.max(F.when(slot == s, F.col(v))).alias(f"{v}_{s}") for s in range(size) for v in everything]

@@ -19,8 +19,21 @@ MARGIN = 4.0 / ACCURACY
 SMALL_GROUP = 10_000
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """One row per key: `n` and `quantiles` (array in the order of `probs`)."""
+def _attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], few_groups: bool) -> DataFrame:
+    return rows.join(F.broadcast(per_group) if few_groups else per_group, list(keys))
+
+
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], few_groups: bool = False
+) -> DataFrame:
+    """One row per key: `n` and `quantiles` (array in the order of `probs`).
+
+    Set `few_groups` when the number of groups has a fixed bound (months, hours):
+    their brackets are then broadcast and the rows are not shuffled by group.
+    """
+    if not keys:
+        one = exact_quantiles(df.select(F.lit(0).alias("_all"), value), ["_all"], value, probs, True)
+        return one.drop("_all")
     rows = df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     wanted = [q for p in probs for q in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
     summary = rows.groupBy(*keys).agg(
@@ -42,7 +55,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         ]
     )
     bounds = summary.select(*keys, "n", brackets.alias("_b"))
-    joined = rows.join(bounds, list(keys)) if keys else rows.join(F.broadcast(bounds))  # one row when no keys
+    joined = _attach(rows, bounds, keys, few_groups)
 
     # Values inside any bracket keep their identity, all others fold into one row per key.
     inside = F.exists("_b", lambda b: (F.col("_x") >= b["lo"]) & (F.col("_x") <= b["hi"]))
@@ -54,7 +67,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     ranked = (
         counts.groupBy(*keys).agg(*[F.sum(f"_below{i}").alias(f"_below{i}") for i in range(len(probs))])
     )
-    heads = bounds.join(ranked, list(keys)) if keys else bounds.join(F.broadcast(ranked))
+    heads = _attach(bounds, ranked, keys, few_groups)
     per_prob = heads.select(
         *keys,
         "n",
@@ -74,7 +87,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         ).alias("_q"),
     )
     candidates = counts.where(F.col("_v").isNotNull()).select(*keys, "_v", "_c")
-    linked = candidates.join(per_prob, list(keys)) if keys else candidates.join(F.broadcast(per_prob))
+    linked = _attach(candidates, per_prob, keys, few_groups)
     linked = linked.where((F.col("_v") >= F.col("_q.lo")) & (F.col("_v") <= F.col("_q.hi")))
     upto = Window.partitionBy(*keys, "_q.i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     last = F.col("_q.below") + F.sum("_c").over(upto) - 1  # highest zero-based rank this value holds

@@ -141,12 +141,13 @@ def station_clusters(stations: DataFrame, k: int = 4) -> DataFrame:
     """Cluster table: station and its k nearest (itself first) as an array."""
     if stations.select("station").distinct().limit(k).count() < k:
         raise ValueError(f"a cluster needs at least {k} stations")
-    return (
+    lists = (
         nearest_stations(stations, k)
         .groupBy("station")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("s"))
         .select("station", F.transform("s", lambda s: s["neighbour"]).alias("closest_stations"))
     )
+    return lists.checkpoint()  # a look-up table that many jobs read
 
 
 def _grid_points(grid: DataFrame, lat: str, lon: str) -> DataFrame:

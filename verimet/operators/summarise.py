@@ -54,20 +54,19 @@ def labelled(summary: DataFrame, period: str) -> DataFrame:
 def box_statistics(df: DataFrame, period: str, value: str = "difference") -> DataFrame:
     """Quartiles, whiskers (extreme rows within 1.5 IQR) and outlier count per period."""
     rows = error_within(df, F.col(value), below=LIMIT).select(period_column(period).alias(period), F.col(value).alias("_d"))
-    quart = exact_quantiles(rows, [period], "_d", [0.25, 0.5, 0.75]).select(
+    quart = exact_quantiles(rows, [period], "_d", [0.25, 0.5, 0.75], few_groups=True).select(
         period, "n", *[F.col("quantiles")[i].alias(q) for i, q in enumerate(("q1", "median", "q3"))]
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5
     near = F.col("_d").between(F.col("q1") - reach, F.col("q3") + reach)
-    # Equal values fold before the second pass meets the 12 or 24 quartile rows.
-    folded = rows.groupBy(period, "_d").count()
+    # At most 24 quartile rows, so the rows meet them in place and fold before the shuffle.
     return (
-        folded.join(quart, period)
+        rows.join(F.broadcast(quart), period)
         .groupBy(period, "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(near, F.col("_d"))).alias("whisker_low"),
             F.max(F.when(near, F.col("_d"))).alias("whisker_high"),
-            F.coalesce(F.sum(F.when(~near, F.col("count"))), F.lit(0)).alias("outliers"),
+            F.count(F.when(~near, 1)).alias("outliers"),
         )
     )
 
