@@ -73,14 +73,14 @@ def _candidates(queries: DataFrame, points: DataFrame, edge: float, k: int) -> D
 
 
 def k_nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """Exact k nearest ids per query: (qid, rank, pid, chord).
+    """Exact k nearest ids per query: (qid, rank, pid, chord).  `qid` is unique.
 
     queries: qid, x, y, z.  points: one row per position, x, y, z and `ids`
     (array of the ids there that can be an answer).
     """
     shared_dir(queries.sparkSession)  # checkpoint() below needs its folder
     columns = ["qid", "rank", "pid", "chord"]
-    level, waiting, found = _start_level(points), queries, None
+    level, waiting, found, open_count = _start_level(points), queries, None, queries.count()
     while LEVELS[level] < 2.0:
         ranked = _candidates(waiting, points, LEVELS[level], k)
         settled = (
@@ -90,9 +90,10 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
         )
         part = ranked.join(settled.select("qid"), "qid", "left_semi").select(*columns).checkpoint()
         found = part if found is None else found.unionByName(part)
-        waiting = waiting.join(part.select("qid").distinct(), "qid", "left_anti").checkpoint()
-        if waiting.isEmpty():
+        open_count -= part.where(F.col("rank") == 1).count()
+        if open_count == 0:
             return found
+        waiting = waiting.join(part.where(F.col("rank") == 1), "qid", "left_anti").checkpoint()
         level += 1
     rest = _candidates(waiting, points, 2.0, k).select(*columns)
     return rest if found is None else found.unionByName(rest)

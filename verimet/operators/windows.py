@@ -59,7 +59,11 @@ def build_windows(
 ) -> DataFrame:
     """One row per start row: `x` (past+steps structs), `y` (steps), `future_times` (ns, 0 padded).
 
-    `init_time` is the time of the last past row, null when the series ends before it.
+    `init_time` is the time of the last past row, null when the series ends before it;
+    `last` holds that row's scaled features, so narrow uses need not build `x`.
+
+    The input is read twice (row counts, then rows): feed a stored table when
+    computing it is expensive.
 
     features    columns of x, in order
     persisted   subset whose future rows repeat the last past value
@@ -120,32 +124,34 @@ def build_windows(
 
     zero = F.struct(*[F.lit(0.0).alias(f) for f in features], F.lit(0.0).alias("_y"), F.lit(0).cast("long").alias("_t"))
     need = F.col("_steps") + past
-    filled = F.slice(
-        F.concat(F.col("_rows"), F.array_repeat(zero, F.greatest(need - F.size("_rows"), F.lit(0)))), F.lit(1), need
-    )
+    short = need - F.size("_rows")
+    whole = F.when(short <= 0, F.col("_rows")).otherwise(F.concat("_rows", F.array_repeat(zero, F.greatest(short, F.lit(0)))))
 
     def z(f: str, value: Column) -> Column:
         return (value - F.col(f"_m_{f}")) / F.col(f"_d_{f}") if f in scaled else value
 
-    def row(r: Column, i: Column) -> Column:
-        fields = []
-        for f in features:
-            value = z(f, r[f])
-            if f in persisted:
-                held = F.col(f"_l_{f}") if last_valid else F.col("_w")[past - 1][f]
-                value = F.when(i >= past, z(f, held)).otherwise(value)
-            fields.append(value.cast("double").alias(f))
-        return F.struct(*fields)
-
-    windows = framed.withColumn("_w", filled)
-    return windows.select(
+    framed = framed.withColumns(
+        {"_past": F.slice(whole, 1, past), "_next": F.slice(whole, F.lit(past + 1), F.col("_steps"))}
+    )
+    # What the future rows of persisted columns show is one value per window.
+    held = {f"_h_{f}": z(f, F.col(f"_l_{f}") if last_valid else F.col("_past")[past - 1][f]).cast("double") for f in persisted}
+    framed = framed.withColumns(held) if held else framed
+
+    def past_row(r: Column) -> Column:
+        return F.struct(*[z(f, r[f]).cast("double").alias(f) for f in features])
+
+    def next_row(r: Column) -> Column:
+        return F.struct(*[(F.col(f"_h_{f}") if f in persisted else z(f, r[f]).cast("double")).alias(f) for f in features])
+
+    return framed.select(
         *keys,
         order,
         F.col("_pos").alias("start"),
         F.col("_anchor").alias("init_time"),
-        F.transform("_w", row).alias("x"),
-        F.transform(F.slice("_w", F.lit(past + 1), F.col("_steps")), lambda r: r["_y"].cast("double")).alias("y"),
-        F.transform(F.slice("_w", F.lit(past + 1), F.col("_steps")), lambda r: r["_t"]).alias("future_times"),
+        past_row(F.col("_past")[past - 1]).alias("last"),
+        F.concat(F.transform("_past", past_row), F.transform("_next", next_row)).alias("x"),
+        F.transform("_next", lambda r: r["_y"].cast("double")).alias("y"),
+        F.transform("_next", lambda r: r["_t"]).alias("future_times"),
     )
 
 
