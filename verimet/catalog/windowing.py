@@ -50,34 +50,36 @@ def _z(c: str, i) -> str:
 
 
 def _checks(win):
-    """Scalars that pin down every cell of the window arrays."""
+    """Scalars that pin down the window arrays: sums over all rows and single cells."""
     x = F.col("x")
 
-    def total(field, a, n):
-        part = F.slice(x, F.lit(a), F.lit(n) if isinstance(n, int) else n)
-        indexed = F.transform(part, lambda s, i: s[field] * (i + 1))
-        return F.aggregate(F.filter(indexed, lambda v: v.isNotNull()), F.lit(0.0), lambda s, v: s + v)
+    def total(field):
+        return F.aggregate(x, F.lit(0.0), lambda s, v: s + F.coalesce(v[field], F.lit(0.0)))
 
     return win.select(
         "station", "fh", "valid_time", F.col("start").cast("long").alias("start"), "init_time",
         F.size("x").cast("long").alias("rows"),
-        r(total("t2m", 1, PAST), 4).alias("t2m_past"), r(total("t2m", PAST + 1, F.col("fh").cast("int")), 4).alias("t2m_future"),
-        r(total("tair", 1, PAST), 4).alias("tair_past"), r(total("lat_c", 1, PAST), 4).alias("raw_past"),
+        r(total("t2m"), 4).alias("t2m_sum"), r(total("tair"), 4).alias("tair_sum"), r(total("lat_c"), 4).alias("raw_sum"),
+        r(x[0]["t2m"], 5).alias("t2m_first"), r(F.element_at(x, -1)["t2m"], 5).alias("t2m_end"),
         r(x[PAST]["u_total"], 5).alias("u_first_future"), r(x[PAST - 1]["tair"], 5).alias("tair_last"),
     )
 
 
-def _sum(c: str, lo: int, hi: str) -> str:
-    return f"coalesce(list_sum([({_z(c, f'{lo} + i')}) * (i + 1) FOR i IN range(0, {hi})]), 0)"
+def _sum(c: str, hi: str) -> str:
+    return f"coalesce(list_sum([{_z(c, 'i')} FOR i IN range(1, {hi} + 1)]), 0)"
 
 
-@query("win_arrays", f"""WITH {_WINDOWS}
+_ARRAYS = f"""WITH {_WINDOWS}
 SELECT station, fh, valid_time, start, w[{PAST}].vt AS init_time, {PAST} + fh AS rows,
-       {R(_sum('t2m', 1, str(PAST)), 4)} AS t2m_past, {R(_sum('t2m', PAST + 1, 'fh'), 4)} AS t2m_future,
-       {R(_sum('tair', 1, str(PAST)), 4)} AS tair_past,
-       {R(f'coalesce(list_sum([w[i + 1].lat_c * (i + 1) FOR i IN range(0, {PAST})]), 0)', 4)} AS raw_past,
+       {R(_sum('t2m', f'{PAST} + fh'), 4)} AS t2m_sum,
+       {R(_sum('tair', str(PAST)) + f" + fh * coalesce({_z('tair', PAST)}, 0)", 4)} AS tair_sum,
+       {R(f'coalesce(list_sum([w[i].lat_c FOR i IN range(1, {PAST} + fh + 1)]), 0)', 4)} AS raw_sum,
+       {R(_z('t2m', 1), 5)} AS t2m_first, {R(_z('t2m', f'{PAST} + fh'), 5)} AS t2m_end,
        {R(_z('u_total', PAST + 1), 5)} AS u_first_future, {R(_z('tair', PAST), 5)} AS tair_last
-FROM win""", ("forecasts", "hourly"))
+FROM win"""
+
+
+@query("win_arrays", _ARRAYS, ("forecasts", "hourly"))
 def win_arrays(d):
     return _checks(_windows(d))
 
@@ -109,13 +111,7 @@ def win_targets(d):
         F.col("future_times")[0].alias("first_t"), F.element_at("future_times", -1).alias("last_t"))
 
 
-@query("win_small_blocks", f"""WITH {_WINDOWS}
-SELECT station, fh, valid_time, start, w[{PAST}].vt AS init_time, {PAST} + fh AS rows,
-       {R(_sum('t2m', 1, str(PAST)), 4)} AS t2m_past, {R(_sum('t2m', PAST + 1, 'fh'), 4)} AS t2m_future,
-       {R(_sum('tair', 1, str(PAST)), 4)} AS tair_past,
-       {R(f'coalesce(list_sum([w[i + 1].lat_c * (i + 1) FOR i IN range(0, {PAST})]), 0)', 4)} AS raw_past,
-       {R(_z('u_total', PAST + 1), 5)} AS u_first_future, {R(_z('tair', PAST), 5)} AS tair_last
-FROM win""", ("forecasts", "hourly"))
+@query("win_small_blocks", _ARRAYS, ("forecasts", "hourly"))
 def win_small_blocks(d):
     return _checks(_windows(d, block_rows=40))
 
