@@ -63,20 +63,26 @@ _view("calibration", """
 SELECT station, CAST(f.fh AS BIGINT) AS forecast_hour, CAST(1 + f.fh/100.0 AS DOUBLE) AS alpha, CAST((s_suppkey%7)/10.0 AS DOUBLE) AS diff
 FROM stations, (SELECT unnest([1,2,3,4,5,6,7]) AS fh) f WHERE s_suppkey % 2 = 0""", ("stations",))
 
+# One station per user; times run ten times faster, so station-hours hold several reports.
+_view("reports", """
+SELECT concat('S', user_id) AS station,
+       TIMESTAMP '2024-01-01' + to_microseconds((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 10) AS seen_at, events.*
+FROM events""")
+
 _view("raw_obs", """
-SELECT concat('S', user_id%10) AS station, ts AS time_5M, value AS tair,
+SELECT station, seen_at AS time_5M, value AS tair,
        CASE WHEN event_type='error' THEN NULL ELSE value/10 END AS wspd_sonic,
        CAST(json_extract_string(props,'$.k') AS DOUBLE) AS relh,
        980 + value/10 AS pres, CAST(user_id%10 AS DOUBLE) * 30 AS elev, event_id
-FROM events""")
+FROM reports""", ("reports",))
 
 _view("gauge", """
-SELECT concat('S', user_id%10) AS station, ts AS time_5M, event_id,
+SELECT station, seen_at AS time_5M, event_id,
        CASE WHEN event_type='error' THEN NULL ELSE value/10 END AS wspd_sonic, value AS tair,
        CAST(json_extract_string(props,'$.k') AS DOUBLE) AS relh,
        CAST(sum(CAST(json_extract_string(props,'$.k') AS INT)) OVER
-            (PARTITION BY user_id%10 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) % 1000 AS DOUBLE) AS precip_total
-FROM events""")
+            (PARTITION BY station ORDER BY seen_at, event_id ROWS UNBOUNDED PRECEDING) % 1000 AS DOUBLE) AS precip_total
+FROM reports""", ("reports",))
 
 _view("hourly", """
 SELECT concat('S', l_suppkey) AS station,
@@ -113,9 +119,9 @@ _view("samples", """
 SELECT vec_id, label, embedding[1:32] AS mu, embedding[33:64] AS logvar, (label-4.5)/20 AS y_true FROM embeddings""")
 
 _view("profiles", """
-SELECT concat('S', user_id%10) AS station, ts AS time, 100*CAST(json_extract_string(props,'$.k') AS INT) AS "range",
+SELECT station, seen_at AS time, 100*CAST(json_extract_string(props,'$.k') AS INT) AS "range",
        200 + value AS temperature, 190 + value/2 AS dewpoint, value/2 AS relative_humidity
-FROM events""")
+FROM reports""", ("reports",))
 
 _view("grid", """
 SELECT CAST(38 + i * 0.25 AS DOUBLE) AS latitude, CAST(280 + j * 0.25 AS DOUBLE) AS longitude, i, j,
@@ -149,6 +155,15 @@ _view("clusters", """
 SELECT station AS target, rank - 1 AS slot, neighbour AS station FROM neighbours""", ("neighbours",))
 
 
+def as_reports(events: DataFrame) -> DataFrame:
+    """Events with their station and report time."""
+    epoch = F.lit(EPOCH).cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", epoch, F.col("ts"))
+    seconds = (micros - micros % 10).cast("decimal(20,0)") / F.lit(10_000_000)
+    at = epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    return events.withColumns({"station": F.concat(F.lit("S"), "user_id"), "seen_at": at})
+
+
 def _leads(n: int):
     return F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))
 
@@ -192,11 +207,14 @@ class Inputs:
         )
 
     def _events(self, *columns) -> DataFrame:
-        return self.table("events").select(F.concat(F.lit("S"), F.col("user_id") % 10).alias("station"), *columns)
+        return self.reports().select("station", *columns)
+
+    def reports(self) -> DataFrame:
+        return as_reports(self.table("events"))
 
     def raw_obs(self) -> DataFrame:
         return self._events(
-            F.col("ts").alias("time_5M"), F.col("value").alias("tair"),
+            F.col("seen_at").alias("time_5M"), F.col("value").alias("tair"),
             F.when(F.col("event_type") != "error", F.col("value") / 10).alias("wspd_sonic"),
             F.get_json_object("props", "$.k").cast("double").alias("relh"),
             (980 + F.col("value") / 10).alias("pres"), ((F.col("user_id") % 10).cast("double") * 30).alias("elev"), "event_id",
@@ -204,7 +222,7 @@ class Inputs:
 
     def gauge(self) -> DataFrame:
         steps = self._events(
-            F.col("ts").alias("time_5M"), "event_id",
+            F.col("seen_at").alias("time_5M"), "event_id",
             F.when(F.col("event_type") != "error", F.col("value") / 10).alias("wspd_sonic"), F.col("value").alias("tair"),
             F.get_json_object("props", "$.k").cast("int").alias("step"),
         )
@@ -276,7 +294,7 @@ class Inputs:
 
     def profiles(self) -> DataFrame:
         return self._events(
-            F.col("ts").alias("time"), (F.get_json_object("props", "$.k").cast("int") * 100).alias("range"),
+            F.col("seen_at").alias("time"), (F.get_json_object("props", "$.k").cast("int") * 100).alias("range"),
             (200 + F.col("value")).alias("temperature"), (190 + F.col("value") / 2).alias("dewpoint"),
             (F.col("value") / 2).alias("relative_humidity"),
         )

@@ -75,25 +75,25 @@ def rs_right_label(d):
 
 
 _AIR = """
-reports AS (SELECT concat('S', user_id%10) AS station, ts AS valid_time, event_id,
+metric AS (SELECT station, seen_at AS valid_time, event_id,
    CASE WHEN event_type <> 'click' THEN (value - 32.0) * 5.0 / 9.0 END AS tair,
    CASE WHEN event_type <> 'error' THEN value / 10 * 0.514444 END AS wspd_sonic,
    value / 5 * 0.514444 AS wmax_sonic,
    coalesce(CASE WHEN event_type <> 'view' THEN CAST(json_extract_string(props,'$.k') AS DOUBLE) / 100 END, 0) * 25.4 AS precip_total
-  FROM events),
+  FROM reports),
 b AS (SELECT station, CASE WHEN date_trunc('hour', valid_time) = valid_time THEN valid_time ELSE date_trunc('hour', valid_time) + INTERVAL 1 HOUR END AS vt,
    arg_max(tair, (valid_time, event_id)) FILTER (WHERE tair IS NOT NULL) AS tair,
    arg_max(wspd_sonic, (valid_time, event_id)) FILTER (WHERE wspd_sonic IS NOT NULL) AS wspd_sonic,
    avg(wspd_sonic) AS wspd_sonic_mean, max(wmax_sonic) AS wmax_sonic, sum(precip_total) AS precip_total
-  FROM reports GROUP BY 1, 2),
+  FROM metric GROUP BY 1, 2),
 s AS (SELECT station, unnest(generate_series(min(vt), max(vt), INTERVAL 1 HOUR)) AS vt FROM b GROUP BY station)"""
 
 
 def _airport_raw(d):
     kind = F.col("event_type")
-    return d.table("events").select(
-        F.concat(F.lit("S"), F.col("user_id") % 10).alias("station"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("valid"),
+    return d.reports().select(
+        "station",
+        F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("valid"),
         F.when(kind != "click", F.col("value").cast("string")).otherwise("M").alias("tmpf"),
         F.when(kind != "error", (F.col("value") / 10).cast("string")).alias("sknt"),
         (F.col("value") / 5).cast("string").alias("gust"),
@@ -104,7 +104,7 @@ def _airport_raw(d):
 
 @query("rs_right_closed", f"""WITH {_AIR}
 SELECT s.station, s.vt AS valid_time, {R_list('tair', 'wspd_sonic', 'wspd_sonic_mean', 'wmax_sonic', 'precip_total')}
-FROM s LEFT JOIN b USING (station, vt)""")
+FROM s LEFT JOIN b USING (station, vt)""", ("reports",))
 def rs_right_closed(d):
     hourly = resample.airport_hours(resample.airport_units(_airport_raw(d)), ["_tie_event"])
     cols = ["tair", "wspd_sonic", "wspd_sonic_mean", "wmax_sonic", "precip_total"]
@@ -116,7 +116,7 @@ SELECT s.station, s.vt AS valid_time, st.lat, st.lon, st.elev,
        coalesce({R('tair')}, -999.0) AS tair, -999.0::DOUBLE AS ta9m, -999.0::DOUBLE AS td, coalesce({R('wspd_sonic')}, -999.0) AS wspd_sonic,
        coalesce({R('wspd_sonic_mean')}, -999.0) AS wspd_sonic_mean, coalesce({R('wmax_sonic')}, -999.0) AS wmax_sonic,
        coalesce({R('precip_total')}, 0.0) AS precip_total
-FROM s LEFT JOIN b USING (station, vt) JOIN stations st ON st.station = s.station""", ("stations",))
+FROM s LEFT JOIN b USING (station, vt) JOIN stations st ON st.station = s.station""", ("stations", "reports"))
 def airport_job(d):
     table = resample.airport_table(_airport_raw(d), d.stations(), ["_tie_event"])
     keep = ["lat", "lon", "elev", "tair", "ta9m", "td", "wspd_sonic", "wspd_sonic_mean", "wmax_sonic", "precip_total"]

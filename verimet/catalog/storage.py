@@ -32,13 +32,13 @@ def write_daily(d):
 
 
 @query("airport_text", """
-SELECT concat('S', user_id%10) AS station, event_id, CASE WHEN event_type <> 'click' THEN value END AS tmpf,
+SELECT concat('S', user_id) AS station, event_id, CASE WHEN event_type <> 'click' THEN value END AS tmpf,
        date_trunc('minute', ts) AS valid FROM events""")
 def airport_text(d):
     path = work_path(d.spark, "airport")
     kind = F.col("event_type")
     line = F.concat_ws(
-        ",", F.concat(F.lit("S"), F.col("user_id") % 10), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("1"), F.lit("2"), F.col("event_id"),
+        ",", F.concat(F.lit("S"), "user_id"), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("1"), F.lit("2"), F.col("event_id"),
         F.when(kind != "click", F.col("value").cast("string")).otherwise("M"), *[F.lit("M")] * 10, F.lit("0.0001"),
     )
     lines = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("# note\n"), line)).otherwise(line)
@@ -49,10 +49,10 @@ def airport_text(d):
 
 
 @query("airport_lines", """
-SELECT concat('S', user_id%10) AS station, event_id, CASE WHEN event_type <> 'click' THEN value END AS tmpf FROM events WHERE event_id % 50 <> 0""")
+SELECT concat('S', user_id) AS station, event_id, CASE WHEN event_type <> 'click' THEN value END AS tmpf FROM events WHERE event_id % 50 <> 0""")
 def airport_lines(d):
     line = F.concat_ws(
-        ",", F.concat(F.lit("S"), F.col("user_id") % 10), F.date_format("ts", "yyyy-MM-dd HH:mm"), *[F.lit("M")] * 3,
+        ",", F.concat(F.lit("S"), "user_id"), F.date_format("ts", "yyyy-MM-dd HH:mm"), *[F.lit("M")] * 3,
         F.when(F.col("event_type") != "click", F.col("value").cast("string")).otherwise("M"), *[F.lit("M")] * 11,
     )
     text = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("#"), line)).otherwise(line)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verimet.catalog.registry import R, query, rounded
+from verimet.catalog.inputs import as_reports
 from verimet.session import work_path
 from verimet.sources import sinks
 from verimet.streaming import increments
@@ -13,8 +14,8 @@ from verimet.streaming import increments
 def _stream(d):
     schema = d.table("events").schema
     raw = increments.read_stream(d.spark, d.folder, schema, "events.parquet")
-    return raw.select(
-        F.concat(F.lit("S"), F.col("user_id") % 10).alias("station"), F.col("ts").alias("time_5M"), F.col("value").alias("tair"),
+    return as_reports(raw).select(
+        "station", F.col("seen_at").alias("time_5M"), F.col("value").alias("tair"),
         F.when(F.col("event_type") != "error", F.col("value") / 10).alias("wspd_sonic"), "event_id",
     )
 

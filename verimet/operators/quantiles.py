@@ -32,7 +32,7 @@ def exact_quantiles(
     their brackets are then broadcast and the rows are not shuffled by group.
     """
     if not keys:
-        one = exact_quantiles(df.select(F.lit(0).alias("_all"), value), ["_all"], value, probs, True)
+        one = exact_quantiles(df.select(F.when(F.col(value).isNotNull(), F.lit(0)).alias("_all"), value), ["_all"], value, probs, True)
         return one.drop("_all")
     rows = df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     wanted = [q for p in probs for q in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
