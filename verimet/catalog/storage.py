@@ -74,7 +74,7 @@ SELECT stid, CAST(fh AS BIGINT) AS fh, metvar, count(*) AS n, {R('avg(model_outp
 def tagged_predictions(d):
     path = work_path(d.spark, "outputs")
     rows = d.predictions().withColumn("series", F.concat_ws("_", F.concat(F.lit("fh"), "fh"), "metvar", F.lit("inference_out")))
-    sinks.write_partitions(rows.select("stid", "valid_time", "model_output", "series"), path, ["series"], spread=1)
+    sinks.write_partitions(rows.select("stid", "valid_time", "model_output", "series"), path, ["series"])
     stored = d.spark.read.parquet(path).withColumn("_path", F.col("_metadata.file_path"))
     tagged = tables.tag_from_path(stored, "_path")
     return tagged.groupBy("stid", "fh", "metvar").agg(F.count(F.lit(1)).alias("n"), r(F.avg("model_output")).alias("model_output"))
@@ -87,7 +87,7 @@ def station_outputs(d):
     kinds = F.explode(F.array(F.lit("linear"), F.lit("linear_normal"), F.lit("raw")))
     rows = d.predictions().withColumn("kind", kinds).withColumn(
         "series", F.concat_ws("_", F.lit("S"), F.concat(F.lit("fh"), "fh"), "metvar", F.lit("HRRR_ml_output"), "kind"))
-    sinks.write_partitions(rows.select("stid", F.col("actual").alias("target_error_lead_0"), "series"), path, ["series"], spread=1)
+    sinks.write_partitions(rows.select("stid", F.col("actual").alias("target_error_lead_0"), "series"), path, ["series"])
     out = tables.read_station_outputs(d.spark, path, "t2m")
     return out.groupBy("stid", "fh").agg(F.count(F.lit(1)).alias("n"), r(F.avg("target_error")).alias("target_error"))
 
@@ -129,7 +129,7 @@ def resume_work(d):
     path = work_path(d.spark, "done")
     work = longs(sinks.with_calendar(d.predictions()).select("fh", "year", "month").distinct(), "year", "month")
     finished = d.predictions().where((F.col("fh") <= 3) & (F.year("valid_time") < 1999))
-    sinks.write_partitions(sinks.with_calendar(finished).select("stid", "fh", "year", "month"), path, ["fh", "year", "month"], spread=1)
+    sinks.write_partitions(sinks.with_calendar(finished).select("stid", "fh", "year", "month"), path, ["fh", "year", "month"])
     done = sinks.done_partitions(d.spark, path, ["fh", "year", "month"], work.schema)
     return setops.pending_work(work, longs(done, "fh", "year", "month"), ["fh", "year", "month"])
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verimet.functions.clock import day_cycle, hours_interval, year_cycle
+from verimet.functions.values import clip_low
 from verimet.operators.bounded import broadcast_if_small
 
 # Fixed mapping: forecast variable -> observed variable.
@@ -49,10 +50,10 @@ def align(forecast: DataFrame, observed: DataFrame, how: str = "inner", keys: Se
 def map_categories(df: DataFrame, geo: DataFrame, columns: Sequence[str] = GEO_COLUMNS) -> DataFrame:
     """Static station categories by station; unknown stations get null.
 
-    No broadcast hint: the table grows with the station list, so the size
-    threshold (and adaptive execution) decides.
+    The table grows with the station list, so it is broadcast only below the
+    checked size.
     """
-    return df.join(geo.select("station", *columns), "station", "left")
+    return df.join(broadcast_if_small(geo.select("station", *columns)), "station", "left")
 
 
 def cluster_members(clusters: DataFrame) -> DataFrame:
@@ -113,17 +114,13 @@ def hourly_precip_from_run_total(df: DataFrame, step: int = 1, first_fh: int = 1
     """Replace run-total `tp` by the amount since `fh - step` of the same run.
 
     The first forecast hour keeps its total; a missing predecessor gives null;
-    negative differences become 0.  A self-join on (station, run, fh) keeps
-    every key small, and only three columns travel on the right side.
+    negative differences become 0.  One run of one station has at most a few
+    dozen forecast hours, so a window over it is small; the range frame of
+    exactly `step` hours back needs no self-join.
     """
-    earlier = df.select("station", "time", (F.col("fh") + step).alias("fh"), F.col("tp").alias("_before"))
-    diff = F.col("tp") - F.col("_before")
-    clipped = F.when(diff.isNotNull(), F.greatest(diff, F.lit(0.0)))
-    return (
-        df.join(earlier, ["station", "time", "fh"], "left")
-        .withColumn("tp", F.when(F.col("fh") <= first_fh, F.col("tp")).otherwise(clipped))
-        .drop("_before")
-    )
+    run = Window.partitionBy("station", "time").orderBy("fh").rangeBetween(-step, -step)
+    diff = clip_low(F.col("tp") - F.max("tp").over(run))
+    return df.withColumn("tp", F.when(F.col("fh") <= first_fh, F.col("tp")).otherwise(diff))
 
 
 def merge_grids(frames: dict[str, DataFrame], keys: Sequence[str] = ("latitude", "longitude")) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verimet.operators.bounded import broadcast_if_small
 from verimet.operators.filters import error_within, exclude, nonzero
 from verimet.operators.quantiles import exact_quantiles
 
@@ -140,7 +141,7 @@ def calibrate(df: DataFrame, table: DataFrame, value: str = "model_output", out:
     """(value - diff) * alpha where the table has the (station, fh); unchanged elsewhere."""
     lookup = table.select(F.col("station").alias("stid"), F.col("forecast_hour").alias("fh"), "alpha", "diff")
     return (
-        df.join(lookup, ["stid", "fh"], "left")
+        df.join(broadcast_if_small(lookup), ["stid", "fh"], "left")
         .withColumn(out, F.coalesce((F.col(value) - F.col("diff")) * F.col("alpha"), F.col(value)))
         .drop("alpha", "diff")
     )

@@ -13,16 +13,15 @@ from verimet.operators.setops import latest_per_key, upsert
 BATCH = "batch_id"
 
 
-def write_partitions(df: DataFrame, path: str, by: Sequence[str], spread: int = 8) -> None:
+def write_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
     """Overwrite the partitions present in `df`, leave the others.
 
-    Rows are spread over `spread` tasks per partition value, so one large
-    partition is not written by a single task, and the file count stays
-    bounded by partitions x spread.
+    The rebalance hint brings the rows of a partition value together and lets
+    adaptive execution split a value that is too large for one task, so files
+    are neither tiny nor written by one task each.
     """
-    salt = F.pmod(F.hash(*[c for c in df.columns if c not in by]), F.lit(spread)) if spread > 1 else F.lit(0)
     (
-        df.repartition(*[F.col(c) for c in by], salt)
+        df.hint("rebalance", *[F.col(c) for c in by])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
@@ -40,11 +39,11 @@ def write_forecasts(df: DataFrame, path: str) -> None:
 
 def write_daily(df: DataFrame, path: str, ts: str = "valid_time") -> None:
     """Stitched forecasts, one folder per forecast hour and day."""
-    write_partitions(df.withColumn("date", F.to_date(ts)), path, ["fh", "date"], spread=1)
+    write_partitions(df.withColumn("date", F.to_date(ts)), path, ["fh", "date"])
 
 
 def write_divisions(df: DataFrame, path: str) -> None:
-    write_partitions(df, path, ["climate_division_name"], spread=1)
+    write_partitions(df, path, ["climate_division_name"])
 
 
 def write_images(df: DataFrame, path: str, ts: str = "valid_time") -> None:

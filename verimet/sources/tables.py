@@ -74,9 +74,6 @@ def prepare_observations(
     return df.dropna() if drop_incomplete else df
 
 
-FILE_PATTERN = r"fh(\d+)_([A-Za-z0-9]+(?:_total)?)"
-
-
 def tag_from_path(df: DataFrame, path: str) -> DataFrame:
     """fh and metvar from a file name such as .../fh3_u_total_inference_out."""
     return df.withColumns(
