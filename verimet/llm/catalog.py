@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verimet.llm import chat, exact, mixing
-from verimet.llm.common import table
+from verimet.llm import chat, contamination, exact, mixing, warc
+from verimet.llm.common import small_batches, table
+from verimet.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +25,32 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_warc", r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> least THEN least END AS refers_to
+FROM g
+""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written as WARC files and read back."""
+    small_batches(spark, 256)
+    out = work_path(spark, "warc")
+    warc.write_warc(table(spark, folder, "pages"), out, shard_bytes=64 << 20, file_bytes=16 << 20)
+    return warc.read_warc(spark, out, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_suffix_decontamination")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark passages of ten words in all documents."""
+    small_batches(spark)
+    found = contamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @query("op4_chat_format", r"""
 WITH extra AS (
   SELECT * FROM (VALUES (-7::BIGINT, 0::BIGINT, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) t(conv_id, turn, role, text)
