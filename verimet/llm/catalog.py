@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verimet.llm import chat, contamination, exact, mixing, secrets, warc
+from verimet.llm import chat, contamination, exact, mixing, secrets, tokens, warc
 from verimet.llm.common import small_batches, table
 from verimet.session import work_path
 
@@ -109,6 +109,17 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans"))
 
 
+@query("op9_token_orc")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as token ids in ORC files, read back."""
+    import public_tokenizers
+
+    small_batches(spark)
+    out = work_path(spark, "tokens")
+    tokens.write_tokens(table(spark, folder, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"), shard_bytes=32 << 20)
+    return tokens.token_summary(spark, out)
+
+
 @query("op10_entropy_mix")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Documents mixed to the targets of their sources."""
