@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verimet.llm import chat, contamination, exact, mixing, secrets, tokens, warc
+from verimet.llm import chat, contamination, exact, mixing, near, secrets, tokens, warc
 from verimet.llm.common import small_batches, table
 from verimet.session import work_path
 
@@ -83,6 +83,13 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op6_minhash_hamming")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicates among all documents."""
+    small_batches(spark)
+    return near.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op7_exact_dedup", r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
