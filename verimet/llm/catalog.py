@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verimet.llm import chat, contamination, exact, mixing, near, secrets, tokens, warc
+from verimet.llm import chat, contamination, exact, mixing, near, secret_scan, tokens, warc
 from verimet.llm.common import small_batches, table
 from verimet.session import work_path
 
@@ -106,11 +106,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in all documents."""
     small_batches(spark)
-    found = secrets.find_secrets(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
-    kinds = F.array(*(F.lit(r.kind) for r in secrets.BASE + secrets.MORE))
+    found = secret_scan.find_secrets(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+    kinds = F.array(*(F.lit(r.kind) for r in secret_scan.BASE + secret_scan.MORE))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("__spans", lambda s: s["kind"] == k)).cast("long")
-    base = F.filter("__spans", lambda s: s["kind"] < len(secrets.BASE))
+    base = F.filter("__spans", lambda s: s["kind"] < len(secret_scan.BASE))
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans"))

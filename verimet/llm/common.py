@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,8 +151,6 @@ def range_splits(df: DataFrame, key: str, weight: str, target: int, per_split: i
 
 def range_of(key: str, cuts: list[int]):
     """Number of the range of `range_splits` that a key falls in; null keys come first."""
-    import pandas as pd
-
     if not cuts:
         return F.lit(0)
     limits = np.array(cuts, np.int64)
