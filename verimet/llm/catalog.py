@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verimet.llm import chat, contamination, exact, mixing, near, secret_scan, tokens, warc
+from verimet.llm import chat, contamination, exact, language, mixing, near, quality, secret_scan, tokens, warc
 from verimet.llm.common import small_batches, table
 from verimet.session import work_path
 
@@ -42,6 +42,17 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_warc(spark, out, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op2_language_id")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of all documents."""
+    small_batches(spark)
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs.select("doc_id", "text", "lang"))
+    found = language.identify(docs.select("doc_id", "text"), model, ["doc_id"])
+    return found.select(
+        "doc_id", language.held_out("doc_id").alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
 @query("op3_suffix_decontamination")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark passages of ten words in all documents."""
@@ -83,6 +94,13 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op5_cotrained_quality")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents."""
+    small_batches(spark)
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op6_minhash_hamming")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicates among all documents."""
