@@ -7,6 +7,8 @@ doc_id, and its stripes are read in parallel; a filter on doc_id skips files, st
 from __future__ import annotations
 
 import re
+import sys
+import types
 import unicodedata
 import zlib
 
@@ -39,39 +41,64 @@ class Encoder:
 
     The tokenizer treats the pieces of its splitting rule one by one, so a piece is given to it once
     and remembered; texts with other characters than the rule above covers go to it whole.
+    New pieces of a space and letters go to it behind each other: only the first id of such a
+    piece stands for a string that begins with a space, so the ids can be told apart.
     """
 
-    def __init__(self, path: str, memory: int = 400_000) -> None:
+    def __init__(self, path: str, memory: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces, self.rare = _splitter(), re.compile("[^\0-ɏ -⃏]")
+        self.pieces, self.rare = _splitter(), re.compile("[^\0-\u024f\u2000-\u20cf]")
         self.known: dict[str, bytes] = {}
         self.memory = memory
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[i] = token.startswith("\u0120")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        plain = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        ids = np.array(self.tokenizer.encode("".join(plain), add_special_tokens=False).ids, "<u4")
+        first = np.flatnonzero(self.opens[ids]).tolist()
+        if len(first) != len(plain):
+            raise ValueError("the vocabulary doesn't keep words apart")
+        data = ids.tobytes()
+        self.known.update((p, data[4 * i:4 * j]) for p, i, j in zip(plain, first, [*first[1:], len(ids)], strict=True))
+        rest = [p for p in new if p not in self.known]
+        self.known.update(zip(rest, self._encode(rest), strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         odd = [i for i, t in enumerate(texts) if self.rare.search(t)]
         for i, data in zip(odd, self._encode([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = data
         split = {i: self.pieces.findall(t) for i, t in enumerate(texts) if out[i] is None}
-        if len(self.known) > self.memory:
-            self.known = {}
         new = list({p for pieces in split.values() for p in pieces if p not in self.known})
-        for at in range(0, len(new), 50_000):
-            part = new[at:at + 50_000]
-            self.known.update(zip(part, self._encode(part), strict=True))
+        for at in range(0, len(new), 20_000):
+            self._learn(new[at:at + 20_000])
         get = self.known.__getitem__
         for i, pieces in split.items():
             out[i] = b"".join(map(get, pieces))
+        for piece in new if len(self.known) > self.memory else ():  # the first pieces, which hold the frequent ones, stay
+            del self.known[piece]
         return out
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END, shard_bytes: int = 256 << 20, stripe_bytes: int = 64 << 20) -> None:
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    kept = sys.modules.setdefault("_verimet_worker", types.ModuleType("_verimet_worker"))
+    if not hasattr(kept, "encoders"):
+        kept.encoders = {}
+    if path not in kept.encoders:
+        kept.encoders[path] = Encoder(path)
+    return kept.encoders[path]
+
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END, shard_bytes: int = 256 << 20, stripe_bytes: int = 16 << 20) -> None:
     """Write the ids of `docs` (doc_id, text) to ORC files in `folder`, in ascending doc_id order.
 
     Shard borders follow from the rows; shard k is file k, sorted by doc_id, then text.  `at`
@@ -87,12 +114,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END, s
     tail = np.array([end], "<u4").tobytes()
 
     def encode(batches):
-        work, shard, at = Encoder(tokenizer), None, 0
+        work, shard, at = encoder(tokenizer), None, 0
         for batch in batches:
             start, texts = 0, batch.column(2).to_pylist()
             while start < len(texts):
                 stop, size = start, 0
-                while stop < len(texts) and (stop == start or size + len(texts[stop]) <= 4 << 20):
+                while stop < len(texts) and (stop == start or size + len(texts[stop]) <= 1 << 20):
                     size += len(texts[stop])
                     stop += 1
                 ids = [data + tail for data in work(texts[start:stop])]
