@@ -143,7 +143,7 @@ def range_splits(df: DataFrame, key: str, weight: str, target: int, per_split: i
     if not n or ranges == 1:
         return []
     m = max(1, n // (ranges * per_split))
-    picked = df.where(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(m)) == 0).select(F.col(key).cast("long").alias("k")).distinct()
+    picked = df.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(m)) == 0)).select(F.col(key).cast("long").alias("k")).distinct()
     cuts = np.sort(np.array([row.k for row in picked.collect()], np.int64))
     at = np.unique(np.linspace(0, len(cuts), ranges + 1).astype(int)[1:-1])
     return [int(cuts[i]) for i in at if i < len(cuts)]

@@ -6,9 +6,11 @@ most 25 places, some chunk differs in at most one.  Each chunk is indexed once w
 each of its places left out (64 keys a signature), so such pairs always share a
 key.  Every link is confirmed on the full shingle sets.
 
-Copies of a set are folded to one representative first.  Within a key, members are first
-compared with the smallest one (a star, not all pairs); linked members become one
-component, and later only members of different components are compared.
+Copies of a set are folded to one representative first.  Each representative is first
+compared with one other, the smallest member of the keys it shares most often (a star, not all
+pairs); linked ones become one component.  Then the members of each key that still holds
+several components meet with their sets in one task, which compares those of different
+components, in the first key they share, and gives back links alone, never pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ PLACES = 64
 CHUNKS = 13
 RADIUS = 24
 #: Members that are compared within one task; larger keys are cut into blocks.
-TOGETHER = 4096
+TOGETHER = 2048
 #: Ids whose broadcast is bounded by some tens of megabytes.
 BROADCAST_IDS = 1_000_000
 
@@ -36,6 +38,8 @@ STEPS = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.
 BORDERS = np.linspace(0, PLACES, CHUNKS + 1).round().astype(int)
 SIGNED = [("__n", "long"), ("__h1", "long"), ("__h2", "long"), ("__sig", "array<smallint>")]
 SETS = [("__set", "array<long>")]
+SHORT_SETS = [("__set", "array<int>")]
+CHUNK_OF = np.repeat(np.arange(CHUNKS), np.diff(BORDERS))
 
 
 def shingles(texts: pa.Array) -> list[np.ndarray]:
@@ -87,24 +91,37 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, PLACES)
 
 
+def short_sets(texts: pa.Array) -> list[pa.Array]:
+    """Sets with 32 bits of each hash: they show at least the overlap of the full ones."""
+    sets = shingles(texts)
+    of = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    low = np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint32).view(np.int32)
+    return [pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(low))]
+
+
 def index_keys(reps: DataFrame) -> DataFrame:
-    """(key, rep): for each chunk and each place in it, a hash of the chunk's other places."""
+    """(key, place, rep): for each chunk and each place in it, a hash of the chunk's other places."""
 
     def run(batches):
         for batch in batches:
             ids, sig = batch.column(0), _matrix(batch.column(1)).astype(np.uint64)
-            made = []
-            for c in range(CHUNKS):
-                for left_out in range(BORDERS[c], BORDERS[c + 1]):
-                    key = np.full(len(sig), left_out + 1, np.uint64)
-                    for p in range(BORDERS[c], BORDERS[c + 1]):
-                        if p != left_out:
-                            key = mix(key * FACTORS[p] + sig[:, p])
-                    made.append(key.view(np.int64))
-            for part in made:
-                yield pa.RecordBatch.from_arrays([pa.array(part), ids], names=["key", "rep"])
+            for left_out in range(PLACES):
+                key = np.full(len(sig), left_out + 1, np.uint64)
+                c = CHUNK_OF[left_out]
+                for p in range(BORDERS[c], BORDERS[c + 1]):
+                    if p != left_out:
+                        key = mix(key * FACTORS[p] + sig[:, p])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(np.full(len(sig), left_out), pa.int16()), ids], names=["key", "place", "rep"])
+
+    return reps.select("rep", "sig").mapInArrow(run, "key long, place smallint, rep long")
 
-    return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
+
+def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of signatures, the first place without which their chunks agree (they share that key)."""
+    same = a == b
+    agree = np.add.reduceat(same.astype(np.int8), BORDERS[:-1], axis=1)[:, CHUNK_OF] - same
+    return (agree == np.diff(BORDERS)[CHUNK_OF] - 1).argmax(axis=1)
 
 
 def _differing(a, b):
@@ -116,61 +133,94 @@ def _plausible(n1, n2, percent):
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
-def cross_pairs(rows: DataFrame, percent: int, radius: int) -> DataFrame:
-    """(a, b) of members of one group that lie in different components, within the radius.
+def links_in_group(rep, comp, n, place, sig, sets, of, percent: int, radius: int) -> list[tuple[int, int]]:
+    """Links (indices) between members of different components of one group, enough to join them.
 
-    `rows`: group, rep, comp, n, sig.  A task reads group after group; rows of the largest
-    component of a group are not compared with each other.
+    Signatures rule out most pairs; the others are compared on their sets.  Members that a link has
+    joined are not compared again.
     """
-    names = ["a", "b"]
-
-    def compare(group: pa.Table):
-        rep, comp, n = (group.column(k).to_numpy() for k in ("rep", "comp", "n"))
-        sig = _matrix(group.column("sig"))
-        comps, code, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(comps) == 1:
+    code = np.unique(comp, return_inverse=True)[1]
+    counts = np.bincount(code)
+    if len(counts) == 1:
+        return []
+    links, mark = [], None
+    ask = np.flatnonzero(code != counts.argmax())
+    largest = code == counts.argmax()
+    step = max(1, (1 << 23) // (len(rep) * PLACES))
+    for at in range(0, len(ask), step):
+        q = ask[at:at + step]
+        near = (sig[q, None, :] != sig[None, :, :]).sum(axis=2, dtype=np.int16) <= radius
+        near &= code[q, None] != code[None, :]
+        near &= np.minimum(n[q, None], n[None, :]) * 100 >= np.maximum(n[q, None], n[None, :]) * percent
+        near &= largest[None, :] | (rep[q, None] < rep[None, :])
+        row, other = np.nonzero(near)
+        mine = _first_shared(sig[q[row]], sig[other]) == place
+        row, other = row[mine], other[mine]
+        if len(row) and mark is None:
+            values, codes = np.unique(sets, return_inverse=True)
+            mark = np.zeros(len(values), bool)
+        edges = np.searchsorted(row, np.arange(len(q) + 1))
+        for k in range(len(q)):
+            i, them = q[k], other[edges[k]:edges[k + 1]]
+            them = them[code[them] != code[i]]
+            if not len(them):
+                continue
+            own = codes[of[i]:of[i + 1]]
+            mark[own] = True
+            sizes = of[them + 1] - of[them]
+            ends = np.cumsum(sizes)
+            spot = np.arange(ends[-1]) + np.repeat(of[them] - (ends - sizes), sizes)
+            common = np.add.reduceat(mark[codes[spot]], ends - sizes, dtype=np.int64)
+            mark[own] = False
+            for j in them[common * 100 >= (n[i] + n[them] - common) * percent]:
+                if code[j] != code[i]:
+                    links.append((i, j))
+                    code[code == code[j]] = code[i]
+    return links
+
+
+def cross_links(rows: DataFrame, percent: int, radius: int) -> DataFrame:
+    """Links (a, b) between components inside groups; `rows`: group, place, rep, comp, n, sig, set."""
+
+    def linked(group: pa.Table):
+        rep, comp, n, place = (group.column(k).to_numpy() for k in ("rep", "comp", "n", "place"))
+        lists = group.column("set").combine_chunks()
+        of = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+        found = links_in_group(rep, comp, n, place[0], _matrix(group.column("sig")), lists.flatten().to_numpy(), of, percent, radius)
+        if not found:
             return None
-        base = code == counts.argmax()
-        ask = np.flatnonzero(~base)
-        left, right = [], []
-        step = max(1, (1 << 24) // (len(rep) * PLACES))
-        for at in range(0, len(ask), step):
-            q = ask[at:at + step]
-            near = (sig[q, None, :] != sig[None, :, :]).sum(axis=2, dtype=np.int16) <= radius
-            near &= code[q, None] != code[None, :]
-            near &= np.minimum(n[q, None], n[None, :]) * 100 >= np.maximum(n[q, None], n[None, :]) * percent
-            near &= base[None, :] | (rep[q, None] < rep[None, :])
-            i, j = np.nonzero(near)
-            left.append(rep[q[i]])
-            right.append(rep[j])
-        a, b = np.concatenate(left), np.concatenate(right)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=names) if len(a) else None
+        pairs = np.sort(np.array([(rep[i], rep[j]) for i, j in found], np.int64), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def run(batches):
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+            table = table if rest is None else pa.concat_tables([rest, table])
             keys = table.column(0).to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if (made := compare(table.slice(a, b - a))) is not None:
+                if (made := linked(table.slice(a, b - a))) is not None:
                     yield made
             rest = table.slice(cuts[-1])
-        if rest is not None and rest.num_rows and (made := compare(rest)) is not None:
+        if rest is not None and rest.num_rows and (made := linked(rest)) is not None:
             yield made
 
-    rows = rows.select("group", "rep", "comp", "n", "sig")
+    rows = rows.select("group", "place", "rep", "comp", "n", "sig", "set")
     return rows.repartition("group").sortWithinPartitions("group", "rep").mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets reach the similarity; sets are built for their documents alone."""
-    ids = stored(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "asked")
-    ids = ids.withColumnRenamed("rep", "doc_id")
+def _rebuilt(docs: DataFrame, ids: DataFrame, fields, step) -> DataFrame:
+    """Sets of the documents with the given ids (column rep), made from their texts once more."""
+    ids = stored(ids.select(F.col("rep").alias("doc_id")).distinct(), "asked")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = annotate(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "text", SETS, full_sets, ["doc_id"])
-    sets = stored(sets.dropDuplicates(["doc_id"]), "sets")
+    sets = annotate(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "text", fields, step, ["doc_id"])
+    return stored(sets.dropDuplicates(["doc_id"]), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets reach the similarity."""
+    sets = _rebuilt(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), SETS, full_sets)
     first, second = (sets.select(F.col("doc_id").alias(k), F.col("__set").alias(f"set_{k}")) for k in ("a", "b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     both = pairs.join(second, "b").join(first, "a")
@@ -213,24 +263,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85, radius: int = RADIUS) ->
     reps = classes.where("rep is not null").select("rep", F.col("__n").alias("n"), "sig").dropDuplicates(["rep"])
     reps = stored(reps, "reps")
 
-    keys = index_keys(reps)
-    shared = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("print"))
-    # keys with the same members are one
-    shared = stored(shared.where("m > 1").groupBy("leader", "m", "print").agg(F.min("key").alias("key")), "shared")
-    members = stored(index_keys(reps).join(shared.select("key", "leader", "m"), "key"), "members")
-
+    shared = index_keys(reps).groupBy("key").agg(
+        F.min("rep").alias("leader"), F.count("*").alias("m"), F.first("place").alias("place"),
+        F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("print"))
+    # keys with the same members are one, the first of them
+    shared = stored(shared.where("m > 1").groupBy("leader", "m", "print").agg(
+        F.min_by("key", "place").alias("key"), F.min("place").alias("place"), F.count("*").alias("times")), "shared")
+    members = stored(index_keys(reps).select("key", "rep").join(shared.drop("print"), "key"), "members")
+
+    often = members.where("rep <> leader").groupBy("leader", "rep").agg(F.sum("times").alias("times"))
+    stars = often.groupBy("rep").agg(F.max_by("leader", F.struct("times", -F.col("leader"))).alias("leader"))
+    stars = stars.select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     sig_a, sig_b = (reps.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}")) for k in ("a", "b"))
-    stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     stars = stars.join(sig_b, "b").join(sig_a, "a").where(
         _plausible(F.col("n_a"), F.col("n_b"), percent) & (_differing(F.col("sig_a"), F.col("sig_b")) <= radius)).select("a", "b")
-    stars = stored(stars, "stars")
-    edges = stored(confirmed(stars, docs, reps, percent), "links")
+    edges = stored(confirmed(stored(stars, "stars"), docs, percent), "links")
     labels = components(edges)
 
     placed = members.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    placed = stored(placed.select("key", "m", "rep", "comp"), "placed")
+    placed = stored(placed.select("key", "place", "m", "rep", "comp"), "placed")
     open_ = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rows = placed.join(open_, "key").join(reps, "rep")
+    rows = stored(placed.join(open_, "key"), "open")
+    sets = _rebuilt(docs, rows, SHORT_SETS, short_sets)
+    rows = rows.join(reps.join(sets.select(F.col("doc_id").alias("rep"), F.col("__set").alias("set")), "rep"), "rep")
     blocks = F.ceil(F.col("m") / TOGETHER).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     # a key of many members: by size (similar sets differ by one class at most), then by pairs of blocks
@@ -238,10 +293,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, radius: int = RADIUS) ->
     rows = rows.withColumn("level", F.explode(F.when(blocks > 1, F.array(level, level + 1)).otherwise(F.array(F.lit(0).cast("long")))))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     group = F.xxhash64("key", "level", F.least(mine, F.col("other")), F.greatest(mine, F.col("other")))
-    tested = stars.select("a", "b")
-    more = stored(cross_pairs(rows.withColumn("group", group), percent, radius).join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = stored(cross_links(rows.withColumn("group", group), percent, radius), "more")
     if more.limit(1).count():
-        labels = components(stored(edges.union(confirmed(more, docs, reps, percent)), "links"))
+        labels = components(stored(edges.union(confirmed(more, docs, percent)), "links"))
 
     named = classes.select("__h1", "__h2", "__n", "rep").join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     out = signed.drop("__sig").join(named.select("__h1", "__h2", "__n", "comp"), ["__h1", "__h2", "__n"], "left")

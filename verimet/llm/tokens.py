@@ -62,14 +62,18 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         plain = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        if plain:
+            self._learn_words(plain)
+        rest = [p for p in new if p not in self.known]
+        self.known.update(zip(rest, self._encode(rest), strict=True))
+
+    def _learn_words(self, plain: list[str]) -> None:
         ids = np.array(self.tokenizer.encode("".join(plain), add_special_tokens=False).ids, "<u4")
         first = np.flatnonzero(self.opens[ids]).tolist()
         if len(first) != len(plain):
             raise ValueError("the vocabulary doesn't keep words apart")
         data = ids.tobytes()
         self.known.update((p, data[4 * i:4 * j]) for p, i, j in zip(plain, first, [*first[1:], len(ids)], strict=True))
-        rest = [p for p in new if p not in self.known]
-        self.known.update(zip(rest, self._encode(rest), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verimet.llm.common import range_of, range_splits
+from verimet.llm.common import range_of, range_splits, stored
 
 LEAST_REVISIT = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -36,20 +36,24 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
 
 
-def with_originals(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest and, for revisits, original: the smallest page_id with equal payload.
-
-    Only digests that occur twice travel to the rows, and the minimum is folded before its shuffle.
-    """
+def described(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, digest (hex) and size of each page."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
-    large = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
-    large = large.where((F.col("n") > 1) & F.col("least").isNotNull()).select("digest", "least")
-    return rows.join(large, "digest", "left").select(
-        "page_id", "url", "payload", "digest", "size",
-        F.when((F.col("size") >= LEAST_REVISIT) & (~F.col("page_id").eqNullSafe(F.col("least"))), F.col("least")).alias("original"))
+    return rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
+
+
+def revisits(rows: DataFrame) -> DataFrame:
+    """page_id, digest and original of the pages that repeat a payload: the smallest page_id that has it.
+
+    Works on digests alone; the minimum is folded before its shuffle and only digests
+    that occur twice meet the rows.
+    """
+    large = stored(rows.where(F.col("size") >= LEAST_REVISIT).select("page_id", "digest"), "digests")
+    first = large.groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n"))
+    first = first.where((F.col("n") > 1) & F.col("original").isNotNull()).select("digest", "original")
+    return large.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("original"))).select("page_id", "digest", "original").distinct()
 
 
 def _block(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -96,13 +100,16 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 1 << 30, file_b
     """
     spark = pages.sparkSession
     cuts = range_splits(pages.select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).alias("w")), "page_id", "w", shard_bytes)
-    rows = with_originals(pages)
-    rows = rows.withColumn("shard", range_of("page_id", cuts))
-    rows = rows.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    rows = described(pages)
+    # payloads travel once; what makes a page a revisit comes as a narrow row just before it
+    told = revisits(rows).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "original")
+    rows = rows.select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("original")).unionByName(told)
+    rows = rows.withColumn("shard", range_of("page_id", cuts)).repartitionById(len(cuts) + 1, F.col("shard"))
+    rows = rows.sortWithinPartitions("shard", "page_id", "digest", F.col("payload").isNotNull(), "url")
     rows = rows.select("shard", "page_id", "url", "payload", "digest", "original")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        attempt, done, shard, out = uuid.uuid4().hex, [], None, None
+        attempt, done, shard, out, told = uuid.uuid4().hex, [], None, None, {}
         store, root = _store(folder)
         store.create_dir(f"{root}/_temporary", recursive=True)
 
@@ -123,13 +130,17 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 1 << 30, file_b
 
         for batch in batches:
             for row in batch.to_pylist():
+                key = row["page_id"], row["digest"]
+                if row["payload"] is None:
+                    told = {key: row["original"]}
+                    continue
                 if row["shard"] != shard:
                     close()
                     shard, out = row["shard"], begin(row["shard"], 0)
                 elif done[-1][5] >= file_bytes:
                     close()
                     out = begin(shard, done[-1][1] + 1)
-                data = _member(record(row["page_id"], row["url"], row["payload"], row["digest"], row["original"], date))
+                data = _member(record(row["page_id"], row["url"], row["payload"], row["digest"], told.get(key), date))
                 out.write(data)
                 last = done[-1]
                 last[4], last[5], last[7] = last[4] + 1, last[5] + len(data), row["page_id"]
