@@ -226,11 +226,11 @@ def test_language(spark, docs, no_docs):
     model = language.fit(docs)
     found = {(r.doc_id, r.text): r for r in language.identify(docs, model).collect()}
     for (_, text), r in found.items():
-        assert 0 <= r.__getattr__("__score") <= 1
-        assert (r.__getattr__("__lang") == "und") == (not any(c.isalpha() for c in text or ""))
+        assert 0 <= r["__score"] <= 1
+        assert (r["__lang"] == "und") == (not any(c.isalpha() for c in text or ""))
     assert language.identify(no_docs, model).count() == 0
     nothing = language.fit(no_docs)
-    assert {r.__getattr__("__lang") for r in language.identify(docs, nothing).collect()} == {"und"}
+    assert {r["__lang"] for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
 def test_language_ignores_other_columns(spark):
