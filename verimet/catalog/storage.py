@@ -168,7 +168,7 @@ def summary_csv(d):
     from verimet.operators.summarise import error_by_period
 
     path = work_path(d.spark, "summary")
-    sinks.write_summary_csv(error_by_period(d.compared(), "month", "abs"), path)
+    sinks.write_summary_csv(error_by_period(d.compared(), "month", "abs", limit=100.0), path)
     return rounded(d.spark.read.csv(path, schema="month long, error double", header=True), "error")
 
 

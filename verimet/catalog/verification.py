@@ -116,7 +116,7 @@ def _macro(period: str, statistic: str) -> str:
 def _register_macro(name, period, statistic):
     @query(name, _macro(period, statistic), ("predictions",))
     def run(d):
-        return rounded(summarise.error_by_period(d.compared(), period, statistic), "error")
+        return rounded(summarise.error_by_period(d.compared(), period, statistic, limit=100.0), "error")
 
 
 for _name, _period, _stat in (
@@ -129,7 +129,7 @@ for _name, _period, _stat in (
 @query("month_labels", f"""
 SELECT m.month, error, monthname(make_date(2024, m.month::INT, 1)) AS label FROM ({_macro('month', 'abs')}) m""", ("predictions",))
 def month_labels(d):
-    return rounded(summarise.labelled(summarise.error_by_period(d.compared(), "month", "abs"), "month"), "error")
+    return rounded(summarise.labelled(summarise.error_by_period(d.compared(), "month", "abs", limit=100.0), "month"), "error")
 
 
 def _box(period: str) -> str:
@@ -148,12 +148,12 @@ _BOX_COLS = ("q1", "median", "q3", "whisker_low", "whisker_high")
 
 @query("box_month", _box("month"), ("predictions",))
 def box_month(d):
-    return rounded(summarise.box_statistics(d.compared(), "month"), *_BOX_COLS)
+    return rounded(summarise.box_statistics(d.compared(), "month", limit=100.0), *_BOX_COLS)
 
 
 @query("box_hour", _box("hour"), ("predictions",))
 def box_hour(d):
-    return rounded(summarise.box_statistics(d.compared(), "hour"), *_BOX_COLS)
+    return rounded(summarise.box_statistics(d.compared(), "hour", limit=100.0), *_BOX_COLS)
 
 
 @query("fh_drift", f"""
@@ -179,7 +179,7 @@ SELECT bucket, {R('sum(m)')} AS error_sum, sum(n)::BIGINT AS instances, {R('sum(
          count(difference) FILTER (WHERE difference > -100) AS n FROM {_COND} GROUP BY 1, 2, 3) WHERE n > 0 GROUP BY 1""", ("forecasts", "hourly"))
 def bucket_err(d):
     rows = features.align(d.forecasts(), d.hourly()).withColumn("difference", features.forecast_error("t2m"))
-    return rounded(summarise.error_by_bucket(rows, "wspd_sonic_mean", 2.0, ["station", "valid_time"]), "error_sum", "average")
+    return rounded(summarise.error_by_bucket(rows, "wspd_sonic_mean", 2.0, ["station", "valid_time"], missing=-100.0), "error_sum", "average")
 
 
 @query("bucket_fine", f"""
@@ -190,7 +190,7 @@ SELECT bucket, {R('sum(m)')} AS error_sum, sum(n)::BIGINT AS instances, {R('sum(
 def bucket_fine(d):
     rows = features.align(d.forecasts(), d.hourly()).withColumns(
         {"difference": features.forecast_error("t2m"), "w4": F.col("wspd_sonic_mean") / 4})
-    return rounded(summarise.error_by_fine_bucket(rows, "w4", 1, ["station", "valid_time"]), "error_sum", "average")
+    return rounded(summarise.error_by_fine_bucket(rows, "w4", 1, ["station", "valid_time"], limit=100.0), "error_sum", "average")
 
 
 def _bin(v: str, n: int) -> str:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from verimet.functions.clock import day_cycle, hours_interval, year_cycle
 from verimet.functions.values import clip_low
-from verimet.operators.bounded import broadcast_if_small
 
 # Fixed mapping: forecast variable -> observed variable.
 OBSERVED_FOR = {
@@ -50,10 +49,10 @@ def align(forecast: DataFrame, observed: DataFrame, how: str = "inner", keys: Se
 def map_categories(df: DataFrame, geo: DataFrame, columns: Sequence[str] = GEO_COLUMNS) -> DataFrame:
     """Static station categories by station; unknown stations get null.
 
-    The table grows with the station list, so it is broadcast only below the
-    checked size.
+    The table grows with the station list, so the planner broadcasts it only below its
+    byte threshold.
     """
-    return df.join(broadcast_if_small(geo.select("station", *columns)), "station", "left")
+    return df.join(geo.select("station", *columns), "station", "left")
 
 
 def cluster_members(clusters: DataFrame) -> DataFrame:
@@ -77,17 +76,14 @@ def cluster_rows(
     All `size` members must be present.  `optional` values (observations at
     inference) come as a block: kept only when every member has one at that
     time, else null for all.  Slots are fixed, so no pivot discovery job runs.
-    With a cluster table under the checked size the long rows are not shuffled
-    by station first, so the expansion costs one shuffle.
+
+    The long rows are dealt by time once, before each becomes up to `size` member rows; with a
+    cluster table that the planner broadcasts, the grouping by (target, time) accepts
+    that, so N rows travel instead of `size` times N.
     """
-    members = broadcast_if_small(cluster_members(clusters))
-    # Compact member rows travel; aggregating before the shuffle would send every
-    # row with all the slots of the wide result, most of them empty.
-    joined = (
-        df.join(members, "station")
-        .select("target", "slot", *time_keys, *values, *optional, *(["_observed"] if optional else []))
-        .repartition("target", *time_keys)
-    )
+    members = cluster_members(clusters)
+    needed = ["station", *time_keys, *values, *optional, *(["_observed"] if optional else [])]
+    joined = df.select(*needed).repartition(*time_keys).join(members, "station").drop("station")
     slot = F.col("slot")
     everything = [*values, *optional]
     aggs = [F.max(F.when(slot == s, F.col(v))).alias(f"{v}_{s}") for s in range(size) for v in everything]
@@ -126,14 +122,14 @@ def hourly_precip_from_run_total(df: DataFrame, step: int = 1, first_fh: int = 1
 def merge_grids(frames: dict[str, DataFrame], keys: Sequence[str] = ("latitude", "longitude")) -> DataFrame:
     """Full-outer merge of one-variable grids, one row per position.
 
-    Stacked and grouped once instead of a chain of outer joins; the first
-    value wins when a frame repeats a position.
+    Stacked and grouped once instead of a chain of outer joins; the smallest
+    value wins when a frame repeats a position, whatever the order of rows.
     """
     from verimet.operators.setops import union_all
 
     names = list(frames)
     stacked = union_all([f.select(*keys, n) for n, f in frames.items()])
-    return stacked.groupBy(*keys).agg(*[F.first(n, ignorenulls=True).alias(n) for n in names])
+    return stacked.groupBy(*keys).agg(*[F.min(n).alias(n) for n in names])
 
 
 def valid_from_run(df: DataFrame) -> DataFrame:

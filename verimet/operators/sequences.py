@@ -26,31 +26,40 @@ def _tagged(df: DataFrame, chunk: Column) -> DataFrame:
     return df.withColumn(CHUNK, chunk)
 
 
+def _with_chunk_rows(df: DataFrame, per_chunk: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join one row per (key, chunk); null keys and null chunks find theirs too."""
+    columns = [*keys, CHUNK]
+    named = per_chunk.withColumnsRenamed({c: f"_k_{c}" for c in columns})
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in columns]
+    return df.join(named, same, "left").drop(*(f"_k_{c}" for c in columns))
+
+
 def previous_value(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk: Column, out: str
 ) -> DataFrame:
-    """`lag(value)` per key, exact across chunk borders."""
+    """`lag(value)` per key, exact across chunk borders; null keys are a key, null chunks come first.
+
+    The input is read once: the first row of each chunk meets the other chunks' first
+    rows of its key, one row per chunk; all further rows stay in their chunk.
+    """
     df = _tagged(df, chunk)
     inner = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    edges = df.groupBy(*keys, CHUNK).agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
-    carried = edges.select(
-        *keys,
-        CHUNK,
-        F.lag("_last").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_carried"),
-    )
-    return (
-        df.withColumn("_first", F.lag(F.lit(False), 1, True).over(inner))
-        .withColumn("_prev", F.lag(value).over(inner))
-        .join(carried, [*keys, CHUNK], "left")
-        .withColumn(out, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_prev")))
-        .drop(CHUNK, "_first", "_prev", "_carried")
-    )
+    whole = inner.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = df.withColumns({
+        "_first": F.row_number().over(inner) == 1, "_prev": F.lag(value).over(inner), "_last": F.last(value).over(whole)})
+    home = F.when(~F.col("_first"), F.struct(CHUNK))
+    borders = Window.partitionBy(*keys, "_first", home).orderBy(CHUNK)
+    return marked.withColumn(out, F.when(F.col("_first"), F.lag("_last").over(borders)).otherwise(F.col("_prev"))).drop(
+        CHUNK, "_first", "_prev", "_last")
 
 
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk: Column, out: str
 ) -> DataFrame:
-    """Cumulative sum per key, exact across chunk borders."""
+    """Cumulative sum per key, exact across chunk borders; null keys are a key, null chunks come first.
+
+    The input is read twice (chunk sums, then rows).
+    """
     df = _tagged(df, chunk)
     inner = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -60,8 +69,7 @@ def running_total(
         .select(*keys, CHUNK, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     )
     return (
-        df.withColumn("_inner", F.sum(value).over(inner))
-        .join(offsets, [*keys, CHUNK], "left")
+        _with_chunk_rows(df.withColumn("_inner", F.sum(value).over(inner)), offsets, keys)
         .withColumn(out, F.col("_inner") + F.col("_offset"))
         .drop(CHUNK, "_inner", "_offset")
     )
@@ -70,7 +78,7 @@ def running_total(
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, out: str = "_pos"
 ) -> DataFrame:
-    """Zero-based row number per key, counted chunk by chunk."""
+    """Zero-based row number per key, counted chunk by chunk; null keys are a key, null chunks come first."""
     df = _tagged(df, chunk)
     inner = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -80,8 +88,7 @@ def with_position(
         .select(*keys, CHUNK, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     )
     return (
-        df.withColumn("_rn", F.row_number().over(inner))
-        .join(offsets, [*keys, CHUNK], "left")
+        _with_chunk_rows(df.withColumn("_rn", F.row_number().over(inner)), offsets, keys)
         .withColumn(out, F.col("_rn") - 1 + F.col("_offset"))
         .drop(CHUNK, "_rn", "_offset")
     )

@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verimet.functions.geo import EARTH_RADIUS_KM, chord_to_km, coordinate_key, unit_sphere, wrap_longitude
-from verimet.operators.bounded import broadcast_if_small
 from verimet.operators.filters import land_only
-from verimet.session import shared_dir
+from verimet.session import shared_dir, stored
 
 # Cube edges on the unit sphere: about 6 m, times four each, then everything.
 LEVELS = [2.0**-e for e in range(20, -1, -2)] + [2.0]
@@ -24,8 +23,6 @@ CUBE_TARGET = 32
 POSITION_SCALE = 1_000_000
 # Chords closer than this (about 6 mm on the ground) count as equal; the id decides.
 TIE_SCALE = 1e9
-# Two integer keys per cell: a whole national grid (about two million cells) stays below 64 MB.
-MASK_ROWS = 4_000_000
 
 _AXES = ("x", "y", "z")
 
@@ -151,7 +148,7 @@ def station_clusters(stations: DataFrame, k: int = 4) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("s"))
         .select("station", F.transform("s", lambda s: s["neighbour"]).alias("closest_stations"))
     )
-    return lists.checkpoint()  # a look-up table that many jobs read
+    return stored(lists, "clusters")  # a look-up table that many jobs read
 
 
 def _grid_points(grid: DataFrame, lat: str, lon: str) -> DataFrame:
@@ -184,13 +181,13 @@ def _with_grid_key(grid: DataFrame, lat: str, lon: str) -> DataFrame:
 def values_at_nearest(stations: DataFrame, grid: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Grid rows taken at the nearest grid point of each station."""
     near = nearest_grid_points(stations, grid, 1, lat, lon).select("station", "gla", "glo")
-    return _with_grid_key(grid, lat, lon).join(broadcast_if_small(near), ["gla", "glo"]).drop("gla", "glo")
+    return _with_grid_key(grid, lat, lon).join(near, ["gla", "glo"]).drop("gla", "glo")
 
 
 def at_station_coordinates(grid: DataFrame, stations: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Grid rows whose position is a station's grid position (integer keys, exact)."""
     places = stations.select("station", coordinate_key(F.col("lat")).alias("gla"), coordinate_key(F.col("lon")).alias("glo"))
-    return _with_grid_key(grid, lat, lon).join(broadcast_if_small(places), ["gla", "glo"]).drop("gla", "glo")
+    return _with_grid_key(grid, lat, lon).join(places, ["gla", "glo"]).drop("gla", "glo")
 
 
 def on_land(grid: DataFrame, mask: DataFrame, lat: str = "latitude", lon: str = "longitude", flag: str = "lsm") -> DataFrame:
@@ -201,8 +198,7 @@ def on_land(grid: DataFrame, mask: DataFrame, lat: str = "latitude", lon: str =
     land = land_only(mask, flag).select(
         coordinate_key(F.col(lat)).alias("gla"), coordinate_key(wrap_longitude(F.col(lon))).alias("glo")
     )
-    land = broadcast_if_small(land.distinct(), MASK_ROWS)
-    return _with_grid_key(grid, lat, lon).join(land, ["gla", "glo"], "left_semi").drop("gla", "glo")
+    return _with_grid_key(grid, lat, lon).join(land.distinct(), ["gla", "glo"], "left_semi").drop("gla", "glo")
 
 
 def interpolate_bilinear(
@@ -231,9 +227,8 @@ def interpolate_bilinear(
     cells = grid.select(
         *by, *values, F.floor(F.col(lat) / step + 0.5).alias("i"), F.floor(F.col(lon) / step + 0.5).alias("j")
     )
-    # The station corners are few; the grid, by far the larger side, stays in place.
     return (
-        cells.join(broadcast_if_small(wanted), ["i", "j"])
+        cells.join(wanted, ["i", "j"])
         .groupBy("station", *by)
         .agg(*[F.when(F.count(v) == 4, F.sum(F.col("w") * F.col(v))).alias(v) for v in values])
     )
@@ -247,7 +242,7 @@ def interpolate_inverse_distance(
     near = nearest_grid_points(stations, grid, k, lat, lon)
     # A point on the station (below a centimetre) takes all the weight.
     weight = 1.0 / F.pow(F.greatest(F.col("km"), F.lit(1e-5)), 2.0)
-    weighted = broadcast_if_small(near.select("station", "gla", "glo", weight.alias("w")))
+    weighted = near.select("station", "gla", "glo", weight.alias("w"))
     placed = _with_grid_key(grid, lat, lon).join(weighted, ["gla", "glo"])
     return placed.groupBy("station", *by).agg(
         *[

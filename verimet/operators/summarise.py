@@ -12,7 +12,6 @@ from verimet.functions.values import round_fine_below_one, round_to_multiple
 from verimet.operators.filters import error_within
 from verimet.operators.quantiles import exact_quantiles
 
-LIMIT = 100.0
 STATISTICS = {
     "mean": lambda d: F.avg(d),
     "abs": lambda d: F.avg(F.abs(d)),
@@ -28,21 +27,25 @@ def period_column(period: str, ts: str = "valid_time") -> Column:
     raise ValueError(f"period must be 'month' or 'hour', not {period!r}")
 
 
-def error_by_period(df: DataFrame, period: str, statistic: str, keys: Sequence[str] = (), value: str = "difference", lead: str = "fh") -> DataFrame:
+def error_by_period(df: DataFrame, period: str, statistic: str, keys: Sequence[str] = (), value: str = "difference", lead: str = "fh", limit: float | None = None) -> DataFrame:
     """Statistic per forecast hour first, then the mean over forecast hours.
 
     Every forecast hour weighs the same, however many rows it has.  Periods
-    without data are absent.
+    without data are absent.  `limit` leaves out rows with |value| at or above it.
     """
     d = F.col(value)
     per_lead = (
-        error_within(df, d, below=LIMIT)
+        _below(df, d, limit)
         .groupBy(*keys, period_column(period).alias(period), lead)
         .agg(STATISTICS[statistic](d).alias("_s"))
     )
     return per_lead.groupBy(*keys, period).agg(F.avg("_s").alias("error"))
 
 
+def _below(df: DataFrame, value: Column, limit: float | None) -> DataFrame:
+    return df if limit is None else error_within(df, value, below=limit)
+
+
 def labelled(summary: DataFrame, period: str) -> DataFrame:
     """Add the printed label (month name or HH:00) of a summary."""
     if period == "month":
@@ -51,9 +54,9 @@ def labelled(summary: DataFrame, period: str) -> DataFrame:
     return summary.withColumn("label", hour_label(F.col("hour")))
 
 
-def box_statistics(df: DataFrame, period: str, value: str = "difference") -> DataFrame:
+def box_statistics(df: DataFrame, period: str, value: str = "difference", limit: float | None = None) -> DataFrame:
     """Quartiles, whiskers (extreme rows within 1.5 IQR) and outlier count per period."""
-    rows = error_within(df, F.col(value), below=LIMIT).select(period_column(period).alias(period), F.col(value).alias("_d"))
+    rows = _below(df, F.col(value), limit).select(period_column(period).alias(period), F.col(value).alias("_d"))
     quart = exact_quantiles(rows, [period], "_d", [0.25, 0.5, 0.75], few_groups=True).select(
         period, "n", *[F.col("quantiles")[i].alias(q) for i, q in enumerate(("q1", "median", "q3"))]
     )
@@ -71,20 +74,20 @@ def box_statistics(df: DataFrame, period: str, value: str = "difference") -> Dat
     )
 
 
-def error_by_bucket(df: DataFrame, condition: str, base: float, row_keys: Sequence[str], value: str = "difference", floor: float = -200.0) -> DataFrame:
+def error_by_bucket(df: DataFrame, condition: str, base: float, row_keys: Sequence[str], value: str = "difference", floor: float = -200.0, missing: float | None = None) -> DataFrame:
     """Error per condition bucket: sum of per-row MAE over sum of usable differences.
 
     A row is one (station, hour) with one difference per forecast hour;
-    differences at or below -100 are missing.
+    differences at or below `missing`, if given, stand for none.
     """
     bucket = round_to_multiple(F.col(condition), base)
-    usable = F.when(F.col(value) > -LIMIT, F.abs(value))
+    usable = F.abs(value) if missing is None else F.when(F.col(value) > missing, F.abs(value))
     return _bucketed(df.withColumn("bucket", bucket).where(F.col("bucket") >= floor), usable, row_keys)
 
 
-def error_by_fine_bucket(df: DataFrame, condition: str, digits: int, row_keys: Sequence[str], value: str = "difference") -> DataFrame:
+def error_by_fine_bucket(df: DataFrame, condition: str, digits: int, row_keys: Sequence[str], value: str = "difference", limit: float | None = None) -> DataFrame:
     """Buckets with `digits` decimals in [0, 1) and whole numbers elsewhere."""
-    usable = F.when(F.abs(value) < LIMIT, F.abs(value))
+    usable = F.abs(value) if limit is None else F.when(F.abs(value) < limit, F.abs(value))
     return _bucketed(df.withColumn("bucket", round_fine_below_one(F.col(condition), digits)), usable, row_keys)
 
 

@@ -7,13 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verimet.operators.bounded import broadcast_if_small
 from verimet.operators.filters import error_within, exclude, nonzero
 from verimet.operators.quantiles import exact_quantiles
 
 KEYS = ("valid_time", "stid", "fh", "metvar")
-# Fixed value: station ids the division tables leave out.
-EXCLUDED_STATIONS = ("HFAL", "BUFF", "BELL", "ELLE", "TANN", "WARW", "MANH")
 
 
 def evaluation_rows(predictions: DataFrame, realised: DataFrame, how: str = "inner") -> DataFrame:
@@ -47,9 +44,9 @@ def worst(scores: DataFrame, n: int = 30, ties: Sequence[str] = ("stid", "fh", "
 
 
 def division_scores(
-    df: DataFrame, divisions: DataFrame, filter_column: str | None = "actual", excluded: Sequence[str] = EXCLUDED_STATIONS
+    df: DataFrame, divisions: DataFrame, filter_column: str | None = "actual", excluded: Sequence[str] = ()
 ) -> DataFrame:
-    """MAE and MSE per (division, station, fh) behind the outlier gate."""
+    """MAE and MSE per (division, station, fh) behind the outlier gate, without the `excluded` stations."""
     e = F.col("model_output") - F.col("actual")
     rows = exclude(df, excluded, "stid")
     if filter_column:
@@ -64,7 +61,7 @@ def division_scores(
     return per_station.join(places, "stid").select("climate_division_name", F.col("stid").alias("station"), "fh", "mae", "mse")
 
 
-def sign_confusion(df: DataFrame, keys: Sequence[str] = (), since: str = "2024-01-01", low: float = 1.0, high: float = 200.0) -> DataFrame:
+def sign_confusion(df: DataFrame, keys: Sequence[str], since: str, low: float = 1.0, high: float = 200.0) -> DataFrame:
     """Hits, misses, false alarms and correct negatives of the error's sign, with row percentages."""
     t, p = F.col("target"), F.col("prediction")
     size = F.abs(F.round(t - p, 6))
@@ -141,7 +138,7 @@ def calibrate(df: DataFrame, table: DataFrame, value: str = "model_output", out:
     """(value - diff) * alpha where the table has the (station, fh); unchanged elsewhere."""
     lookup = table.select(F.col("station").alias("stid"), F.col("forecast_hour").alias("fh"), "alpha", "diff")
     return (
-        df.join(broadcast_if_small(lookup), ["stid", "fh"], "left")
+        df.join(lookup, ["stid", "fh"], "left")
         .withColumn(out, F.coalesce((F.col(value) - F.col("diff")) * F.col("alpha"), F.col(value)))
         .drop("alpha", "diff")
     )

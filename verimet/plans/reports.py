@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verimet.operators.bounded import broadcast_if_small
 from verimet.operators.filters import between_dates, error_within
 from verimet.operators.summarise import (
     error_by_period, point_density, scatter_diagnostics, skill, station_counts, weighted_mean,
@@ -35,11 +34,11 @@ def comparison_table(base: DataFrame, candidate: DataFrame, stations: DataFrame,
     return out
 
 
-def division_period_errors(df: DataFrame, stations: DataFrame, period: str, statistic: str = "abs", value: str = "difference") -> DataFrame:
+def division_period_errors(df: DataFrame, stations: DataFrame, period: str, statistic: str = "abs", value: str = "difference", limit: float | None = None) -> DataFrame:
     """Error per division and period, from evaluation rows."""
-    places = broadcast_if_small(stations.select(F.col("station").alias("stid"), "climate_division_name"))
+    places = stations.select(F.col("station").alias("stid"), "climate_division_name")
     placed = df.join(places, "stid")
-    return error_by_period(placed, period, statistic, ["climate_division_name"], value)
+    return error_by_period(placed, period, statistic, ["climate_division_name"], value, limit=limit)
 
 
 def _tolerance() -> Column:

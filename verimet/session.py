@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -33,11 +33,14 @@ def build_session(app_name: str = "verimet", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only when that is unset
-    (local tests) a fresh temporary folder is made and remembered.
+    A cluster names it in ``spark.checkpoint.dir``.  Only with a local master, where all tasks
+    share the driver's disk, a fresh temporary folder is made and remembered if it is unset.
     """
     path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors of {master} share")
         path = tempfile.mkdtemp(prefix="verimet-")
         spark.conf.set(CHECKPOINT_KEY, path)
     if not spark.sparkContext.getCheckpointDir():
@@ -48,3 +51,14 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a stage's result to the shared folder and go on from the files.
+
+    Later passes then read only the columns they need, the planner knows the table's size, and a
+    lost executor costs a re-read, not a recomputation of the whole chain.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -57,15 +57,19 @@ def write_summary_csv(df: DataFrame, path: str) -> None:
 def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def upsert_partitions(new: DataFrame, path: str, keys: Sequence[str], by: Sequence[str], order: Sequence[str] = ()) -> None:
     """Merge rows into a partitioned table, the new row wins per key.
 
-    Only partitions the new rows touch are read and rewritten.
+    Only partitions the new rows touch are read and rewritten, so a key must name its partition.
     """
+    if not set(by) <= set(keys):
+        raise ValueError(f"partition columns {list(by)} must be among the keys {list(keys)}")
     old = _read_if_there(new.sparkSession, path)
     if old is None:
         merged = latest_per_key(new, keys, list(order) or list(keys))

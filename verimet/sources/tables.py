@@ -26,17 +26,18 @@ def read_table(
 def read_forecasts(
     spark: SparkSession, root: str, fh: int | None = None, years: Iterable[int] | None = None, months: Iterable[int] | None = None,
     columns: Sequence[str] | None = None, fill: float | None = -999.0, schema: T.StructType | None = None,
-    skip_corrupt: bool = True,
+    skip_corrupt: bool = False,
 ) -> DataFrame:
     """Station forecasts under fh=/year=/month= folders.
 
     The filters name partition columns, so other folders are not listed as
-    input.  With a schema, an absent root gives an empty frame.
+    input.  With a schema, an absent root gives an empty frame.  Unreadable files fail
+    the job; with `skip_corrupt` they are left out, and `unreadable_files` names them.
     """
     try:
         df = read_table(spark, root, schema, skip_corrupt)
-    except AnalysisException:
-        if schema is None:
+    except AnalysisException as error:
+        if schema is None or error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
     if fh is not None:
@@ -51,6 +52,17 @@ def read_forecasts(
     return fill_sentinel(df, value=fill) if fill is not None else df
 
 
+def unreadable_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length) of the Parquet files below `root` whose two magic numbers are missing.
+
+    Looks at 4 bytes at either end through Spark's file reader, so it works on any store.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
+    magic = F.lit("PAR1").cast("binary")
+    whole = (F.substring("content", 1, 4) == magic) & (F.substring("content", -4, 4) == magic) & (F.col("length") >= 12)
+    return files.where(~whole).select("path", "length")
+
+
 def read_observations(
     spark: SparkSession, root: str, years: Iterable[int] | None = None, fills: Mapping[str, float] | None = None,
     fill_all: float | None = None, drop_incomplete: bool = True,
