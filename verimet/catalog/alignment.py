@@ -191,15 +191,13 @@ paths AS (SELECT w.target, w.fh, w.valid_time, c.slot, concat_ws('/', '/img', st
           c.station || '_' || strftime(valid_time, '%Y') || '_' || strftime(valid_time, '%m%d%H') || '.npy') AS path, c.station
           FROM wide w JOIN clusters c USING (target)),
 have AS (SELECT DISTINCT station, valid_time FROM hourly WHERE n >= 2)
-SELECT target, fh, valid_time, max(CASE WHEN slot = 0 THEN path END) AS image_path_0, max(CASE WHEN slot = 3 THEN path END) AS image_path_3
+SELECT target, fh, valid_time, {", ".join(f"max(CASE WHEN slot = {k} THEN path END) AS image_path_{k}" for k in range(4))}
 FROM paths LEFT JOIN (SELECT *, 1 AS ok FROM have) h USING (station, valid_time) GROUP BY 1, 2, 3 HAVING count(ok) = 4""",
        ("forecasts", "hourly", "geo", "clusters"))
 def image_frame(d):
-    from verimet.operators.projections import image_path
-
-    catalog = d.hourly().where(F.col("n") >= 2).select(image_path("/img").alias("path"))
+    catalog = d.hourly().where(F.col("n") >= 2)
     out = training.with_images(_frame(d), d.clusters(), "/img", catalog)
-    return out.select("target", "fh", "valid_time", "image_path_0", "image_path_3")
+    return out.select("target", "fh", "valid_time", *[f"image_path_{k}" for k in range(4)])
 
 
 @query("wide_by_lead", """

@@ -15,9 +15,21 @@ steps AS (SELECT *, CASE WHEN d <= 500 THEN greatest(d, 0) END AS precip_step FR
 
 @query("gauge_steps", f"WITH {_STEP} SELECT event_id, station, time_5M, d AS diff, precip_step FROM steps", ("gauge",))
 def gauge_steps(d):
-    rows = resample.gauge_steps(d.gauge(), tie=["event_id"])
-    rows = previous_value(rows, ["station"], ["time_5M", "event_id"], "precip_total", F.to_date("time_5M"), "before")
-    return rows.select("event_id", "station", "time_5M", (F.col("precip_total") - F.col("before")).alias("diff"), "precip_step")
+    rows = resample.gauge_steps(d.gauge(), tie=["event_id"], difference="diff")
+    return rows.select("event_id", "station", "time_5M", "diff", "precip_step")
+
+
+@query("gauge_null_keys", """
+WITH g AS (SELECT CASE WHEN user_id % 4 > 0 THEN user_id END AS station, CASE WHEN event_type <> 'error' THEN ts END AS t, event_id, value
+           FROM events)
+SELECT station, count(*) AS n, count(p) AS n_before, """ + R("sum(p)", 3) + """ AS before_sum
+FROM (SELECT *, lag(value) OVER (PARTITION BY station ORDER BY t NULLS FIRST, event_id) AS p FROM g) GROUP BY 1""")
+def gauge_null_keys(d):
+    """The value before, also for rows without a station or a time."""
+    rows = d.table("events").select(
+        F.when(F.col("user_id") % 4 > 0, F.col("user_id")).alias("station"), F.when(F.col("event_type") != "error", F.col("ts")).alias("t"), "event_id", "value")
+    out = previous_value(rows, ["station"], ["t", "event_id"], "value", F.to_date("t"), "p")
+    return rounded(out.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.count("p").alias("n_before"), F.sum("p").alias("before_sum")), "before_sum", digits=3)
 
 
 @query("rs_precip_1h", f"""WITH {_STEP}

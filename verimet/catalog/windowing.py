@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verimet.catalog.registry import R, longs, query, r, rounded
-from verimet.operators import features, windows
+from verimet.operators import features, scoring, windows
 from verimet.plans import cleaning
 
 PAST = windows.PAST
@@ -190,3 +190,80 @@ def window_images(d):
 SELECT station, valid_time, {R('tair')} AS tair FROM hourly WHERE valid_time = (SELECT max(valid_time) FROM hourly)""", ("hourly",))
 def latest_snapshot(d):
     return rounded(windows.latest_snapshot(d.hourly(), "2031-01-01 00:00:00").select("station", "valid_time", "tair"), "tair")
+
+
+# Missing cells count as 0 in these models.
+def _cell_models(d):
+    return d.forecasts().select("station", "fh").distinct().where(F.col("fh") <= 4).select(
+        "station", "fh", F.array(F.lit(0.5), F.col("fh") / 10.0, F.lit(-0.25), F.lit(0.125), F.lit(1.5)).alias("params"))
+
+
+def _mean(c: str) -> str:
+    cell = f"w[i].{c}" if c == "lat_c" else _z(c, "i")
+    if c == "tair":
+        return f"((coalesce(list_sum([coalesce({cell}, 0) FOR i IN range(1, {PAST} + 1)]), 0) + fh * coalesce({_z(c, PAST)}, 0)) / ({PAST} + fh))"
+    return f"(list_sum([coalesce({cell}, 0) FOR i IN range(1, {PAST} + fh + 1)]) / ({PAST} + fh))"
+
+
+@query("score_windows", f"""WITH {_WINDOWS}
+SELECT station, fh, start, w[{PAST}].vt AS init_time,
+       {R(f"0.5 + fh / 10.0 * {_mean('t2m')} - 0.25 * {_mean('u_total')} + 0.125 * {_mean('lat_c')} + 1.5 * {_mean('tair')}", 4)} AS model_output
+FROM win WHERE fh <= 4""", ("forecasts", "hourly"))
+def score_windows(d):
+    """A model over every cell of the window, past and future."""
+    from pyspark.sql import types as T
+
+    outputs = T.StructType([T.StructField("model_output", T.DoubleType())])
+    out = scoring.score_windows(_windows(d), _cell_models(d), ["station", "fh"], scoring.predict_cells(_FEATURES), outputs, _FEATURES)
+    return rounded(longs(out, "start"), "model_output", digits=4)
+
+
+@query("score_uncertain", f"""WITH {_WINDOWS},
+steps AS (SELECT station, fh, start, k, coalesce({_z('t2m', f'{PAST} + k')}, 0) AS a, coalesce({_z('u_total', f'{PAST} + k')}, 0) AS b
+          FROM win, (SELECT unnest(range(1, 7)) AS k) g WHERE k <= fh AND fh <= 4),
+members AS (SELECT *, a * 0.5 + b * fh / 10.0 AS g1, a * 0.75 - b AS g2 FROM steps)
+SELECT station, fh, start, k AS step, {R('(g1 + g2) / 2', 4)} AS mu, {R('pow((g1 - g2) / 2, 2)', 4)} AS epistemic_var,
+       {R('(exp(-1) + exp(-2)) / 2', 4)} AS aleatoric_var, {R('pow((g1 - g2) / 2, 2) + (exp(-1) + exp(-2)) / 2', 4)} AS total_var FROM members""",
+       ("forecasts", "hourly"))
+def score_uncertain(d):
+    """Two models per group; mean, spread and noise per future step as lists, unpacked here."""
+    from pyspark.sql import types as T
+
+    from verimet.schemas import UNCERTAIN_PREDICTION
+
+    names = ("mu", "epistemic_var", "aleatoric_var", "total_var")
+    outputs = T.StructType([UNCERTAIN_PREDICTION[n] for n in names])
+    pair = F.array(F.lit(0.5), F.col("fh") / 10.0, F.lit(-1.0), F.lit(0.75), F.lit(-1.0), F.lit(-2.0))
+    models = d.forecasts().select("station", "fh").distinct().where(F.col("fh") <= 4).select("station", "fh", pair.alias("params"))
+    out = scoring.score_windows(_windows(d), models, ["station", "fh"], scoring.predict_ensemble(PAST, 2), outputs, ["t2m", "u_total"])
+    steps = out.select("station", "fh", "start", F.posexplode(F.arrays_zip(*names)).alias("step", "v"))
+    return rounded(longs(steps.select("station", "fh", "start", (F.col("step") + 1).alias("step"), "v.*"), "start", "step"), *names, digits=4)
+
+
+@query("win_cells", f"""WITH {_WINDOWS}
+SELECT station, fh, start, i AS slot, {R(_z('t2m', 'i'), 5)} AS t2m, {R(_z('u_total', 'i'), 5)} AS u_total, {R('w[i].lat_c', 5)} AS lat_c,
+       {R(f"CASE WHEN i <= {PAST} THEN {_z('tair', 'i')} ELSE {_z('tair', PAST)} END", 5)} AS tair
+FROM win, (SELECT unnest(range(1, {PAST} + 7)) AS i) s WHERE i <= {PAST} + fh AND fh IN (2, 5)""", ("forecasts", "hourly"))
+def win_cells(d):
+    """Every cell of the windows of two forecast hours, by position."""
+    cells = _windows(d).where(F.col("fh").isin(2, 5)).select(
+        "station", "fh", "start", F.posexplode("x").alias("slot", "c")).select("station", "fh", "start", (F.col("slot") + 1).alias("slot"), "c.*")
+    return rounded(longs(cells, "start", "slot"), *_FEATURES, digits=5)
+
+
+@query("win_null_keys", f"""
+WITH s AS (SELECT CASE WHEN l_suppkey % 3 > 0 THEN concat('S', l_suppkey) END AS station, CAST(l_quantity AS DOUBLE) AS q,
+                  CASE WHEN l_linenumber < 7 THEN CAST(l_shipdate AS TIMESTAMP) END AS valid_time, l_orderkey * 10 + l_linenumber AS k FROM lineitem),
+n AS (SELECT *, row_number() OVER p - 1 AS start, count(*) OVER (PARTITION BY station) AS total,
+             sum(q) OVER (p ROWS BETWEEN 2 FOLLOWING AND 3 FOLLOWING) AS ahead FROM s WINDOW p AS (PARTITION BY station ORDER BY valid_time NULLS FIRST, k))
+SELECT station, count(*) AS windows, {R('sum(ahead)')} AS y_sum, count(valid_time) AS timed FROM n GROUP BY 1""")
+def win_null_keys(d):
+    """Rows without a station are a series of their own and rows without a time come first; none is lost."""
+    rows = d.table("lineitem").select(
+        F.when(F.col("l_suppkey") % 3 > 0, F.concat(F.lit("S"), "l_suppkey")).alias("station"), F.col("l_quantity").cast("double").alias("q"),
+        F.when(F.col("l_linenumber") < 7, F.col("l_shipdate").cast("timestamp_ntz")).alias("valid_time"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
+    win = windows.build_windows(rows, ["station"], ["q"], target="q", past=2, steps=2, max_steps=2, normalise=[], ties=["k"], block_rows=64)
+    total = F.aggregate("y", F.lit(0.0), lambda s, v: s + v)
+    return rounded(win.groupBy("station").agg(
+        F.count(F.lit(1)).alias("windows"), F.sum(total).alias("y_sum"), F.count("valid_time").alias("timed")), "y_sum")

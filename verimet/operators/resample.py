@@ -35,12 +35,13 @@ def day_chunk(ts: str) -> Column:
 
 def gauge_steps(
     df: DataFrame, gauge: str = "precip_total", ts: str = "time_5M", tie: Sequence[str] = (), station: str = "station",
-    out: str = "precip_step",
+    out: str = "precip_step", difference: str | None = None,
 ) -> DataFrame:
-    """Per-station increments of a cumulative gauge; spikes -> null, resets -> 0."""
+    """Per-station increments of a cumulative gauge; spikes -> null, resets -> 0.  `difference` keeps the raw step."""
     stepped = previous_value(df, [station], [ts, *tie], gauge, day_chunk(ts), "_before")
     step = F.col(gauge) - F.col("_before")
-    return stepped.withColumn(out, clip_low(null_above(step, MAX_GAUGE_STEP))).drop("_before")
+    raw = {difference: step} if difference else {}
+    return stepped.withColumns({out: clip_low(null_above(step, MAX_GAUGE_STEP)), **raw}).drop("_before")
 
 
 def left_bin(ts: str, hours: int = 1) -> Column:

@@ -56,6 +56,8 @@ def build_windows(
     normalise: Sequence[str] | None = None,
     last_valid: bool = False,
     block_rows: int = BLOCK_ROWS,
+    with_x: bool = True,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """One row per start row: `x` (past+steps structs), `y` (steps), `future_times` (ns, 0 padded).
 
@@ -70,23 +72,32 @@ def build_windows(
     normalise   subset that is z-scored with the past rows (default: by name rule)
     steps       future rows, a number or a per-key column; at most `max_steps`
     last_valid  persist the last non-null past value instead of the last row's
+    ties        further columns that order rows of equal time
+    with_x      build `x`; without it only targets and times of the future rows are gathered
     """
     scaled = set(normalised_features(features) if normalise is None else normalise)
     steps = F.lit(steps) if isinstance(steps, int) else steps
     reach = past + max_steps - 1
 
     chunk = F.trunc(F.col(order), "MM")
-    rows = with_position(df, keys, [order], chunk, "_pos")
+    rows = with_position(df, keys, [order, *ties], chunk, "_pos")
     blocks = overlapping_blocks(rows, "_pos", max(block_rows, reach), reach)
 
     series = Window.partitionBy(*keys, BLOCK).orderBy("_pos")
     history = series.rowsBetween(0, past - 1)
-    span = series.rowsBetween(0, reach)
+    future = series.rowsBetween(past, reach)
 
+    record = F.struct(*features, F.col(target).alias("_y"), to_epoch_ns(F.col(order)).alias("_t"))
+    zero = F.struct(*[F.lit(0.0).alias(f) for f in features], F.lit(0.0).alias("_y"), F.lit(0).cast("long").alias("_t"))
+    # Offsets reach one row; only what is gathered costs by the length of its frame.
     stats: dict[str, Column] = {
-        "_have": F.count(F.lit(1)).over(history),
-        "_anchor": F.nth_value(order, past).over(history),
+        "_anchor": F.lead(order, past - 1).over(series),
+        "_at": F.lead(F.struct(*features), past - 1).over(series),
+        "_rows": F.collect_list(record).over(series.rowsBetween(0, reach))
+        if with_x else F.collect_list(F.struct(F.col(target).alias("_y"), to_epoch_ns(F.col(order)).alias("_t"))).over(future),
     }
+    if not with_x:
+        stats["_have"] = F.when(stats["_anchor"].isNotNull(), F.lit(past)).otherwise(F.count(F.lit(1)).over(history))
     for f in features:
         x = F.col(f)
         if f in scaled:
@@ -95,10 +106,9 @@ def build_windows(
             stats[f"_v_{f}"] = F.var_pop(x).over(history)
         if f in persisted and last_valid:
             stats[f"_l_{f}"] = F.last(x, ignorenulls=True).over(history)
-    stats["_rows"] = F.collect_list(
-        F.struct(*features, F.col(target).alias("_y"), to_epoch_ns(F.col(order)).alias("_t"))
-    ).over(span)
     framed = blocks.withColumns(stats).where(F.col(CORE))
+    if with_x:
+        framed = framed.withColumn("_have", F.least(F.size("_rows"), F.lit(past)))
 
     # Zero rows beyond the end count as values, nulls do not; the spread is taken
     # after filling nulls with the mean, hence the division by all past rows.
@@ -122,19 +132,30 @@ def build_windows(
     # Two projections: the means are computed once, then used by the spreads.
     framed = framed.withColumns(scale)
 
-    zero = F.struct(*[F.lit(0.0).alias(f) for f in features], F.lit(0.0).alias("_y"), F.lit(0).cast("long").alias("_t"))
+    def z(f: str, value: Column) -> Column:
+        return (value - F.col(f"_m_{f}")) / F.col(f"_d_{f}") if f in scaled else value
+
+    # A series that ends before the last past row has zeros there.
+    at = F.when(F.col("_have") >= past, F.col("_at")).otherwise(F.struct(*[F.lit(0.0).alias(f) for f in features]))
+    last = F.struct(*[z(f, F.col("_last")[f]).cast("double").alias(f) for f in features]).alias("last")
+    framed = framed.withColumn("_last", at)
+    head = [*keys, order, F.col("_pos").alias("start"), F.col("_anchor").alias("init_time"), last]
+    if not with_x:
+        short = F.greatest(F.col("_steps") - F.size("_rows"), F.lit(0))
+        empty = F.struct(F.lit(0.0).alias("_y"), F.lit(0).cast("long").alias("_t"))
+        ahead = F.slice(F.concat("_rows", F.array_repeat(empty, short)), F.lit(1), F.col("_steps"))
+        return framed.withColumn("_next", ahead).select(
+            *head, F.transform("_next", lambda r: r["_y"].cast("double")).alias("y"), F.transform("_next", lambda r: r["_t"]).alias("future_times"))
+
     need = F.col("_steps") + past
     short = need - F.size("_rows")
     whole = F.when(short <= 0, F.col("_rows")).otherwise(F.concat("_rows", F.array_repeat(zero, F.greatest(short, F.lit(0)))))
 
-    def z(f: str, value: Column) -> Column:
-        return (value - F.col(f"_m_{f}")) / F.col(f"_d_{f}") if f in scaled else value
-
     framed = framed.withColumns(
         {"_past": F.slice(whole, 1, past), "_next": F.slice(whole, F.lit(past + 1), F.col("_steps"))}
     )
     # What the future rows of persisted columns show is one value per window.
-    held = {f"_h_{f}": z(f, F.col(f"_l_{f}") if last_valid else F.col("_past")[past - 1][f]).cast("double") for f in persisted}
+    held = {f"_h_{f}": z(f, F.col(f"_l_{f}") if last_valid else F.col("_last")[f]).cast("double") for f in persisted}
     framed = framed.withColumns(held) if held else framed
 
     def past_row(r: Column) -> Column:
@@ -144,11 +165,7 @@ def build_windows(
         return F.struct(*[(F.col(f"_h_{f}") if f in persisted else z(f, r[f]).cast("double")).alias(f) for f in features])
 
     return framed.select(
-        *keys,
-        order,
-        F.col("_pos").alias("start"),
-        F.col("_anchor").alias("init_time"),
-        past_row(F.col("_past")[past - 1]).alias("last"),
+        *head,
         F.concat(F.transform("_past", past_row), F.transform("_next", next_row)).alias("x"),
         F.transform("_next", lambda r: r["_y"].cast("double")).alias("y"),
         F.transform("_next", lambda r: r["_t"]).alias("future_times"),
@@ -193,28 +210,26 @@ def profile_images(
 ) -> DataFrame:
     """Per station-hour image [height][time][channel]; a missing cell is null.
 
-    Cells are folded to one row per (hour, height, time) before an hour is
-    collected, so a group is bounded by the instrument's heights x scans per
-    hour, not by the number of raw rows.
+    Cells are folded to one row per (hour, height, time), then gathered by height, then by
+    hour, so a group is bounded by the instrument's heights x scans per hour, not by the
+    number of raw rows.  A height seen at every scan is an image row as it is.
     """
     cells = df.groupBy(station, F.window(time, "1 hour").alias("_w"), F.col(height).alias("_h"), F.col(time).alias("_t")).agg(
         *[F.max(c).alias(c) for c in channels]
     )
-    grouped = cells.groupBy(station, F.col("_w.start").alias("valid_time")).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct(F.struct("_h", "_t").alias("k"), F.array(*[F.col(c).cast("double") for c in channels]).alias("v")))
-        ).alias("_cells"),
-        F.sort_array(F.collect_set("_h")).alias("heights"),
-        F.sort_array(F.collect_set("_t")).alias("times"),
-    )
+    value = F.array(*[F.col(c).cast("double") for c in channels])
+    rows = cells.groupBy(station, F.col("_w.start").alias("valid_time"), "_h").agg(
+        F.sort_array(F.collect_list(F.struct("_t", value.alias("v")))).alias("cells"))
+    grouped = rows.groupBy(station, "valid_time").agg(F.sort_array(F.collect_list(F.struct("_h", "cells"))).alias("rows"))
+    times = F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda r: F.transform(r["cells"], lambda c: c["_t"])))))
     empty = F.array_repeat(F.lit(None).cast("double"), len(channels))
-    image = F.transform(
-        "heights",
-        lambda h: F.transform(
-            "times", lambda t: F.coalesce(F.try_element_at("_cells", F.struct(h.alias("_h"), t.alias("_t"))), empty)
-        ),
-    )
-    return grouped.select(station, "valid_time", "heights", "times", image.alias("image"))
+
+    def row(r: Column) -> Column:
+        gaps = F.transform("times", lambda t: F.coalesce(F.get(F.filter(r["cells"], lambda c: c["_t"] == t), F.lit(0))["v"], empty))
+        return F.when(F.size(r["cells"]) == F.size("times"), F.transform(r["cells"], lambda c: c["v"])).otherwise(gaps)
+
+    return grouped.withColumn("times", times).select(
+        station, "valid_time", F.transform("rows", lambda r: r["_h"]).alias("heights"), "times", F.transform("rows", row).alias("image"))
 
 
 def profile_cells(images: DataFrame, station: str = "station") -> DataFrame:
