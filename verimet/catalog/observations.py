@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verimet.catalog.registry import R, R_list, longs, query, r, rounded
-from verimet.operators import resample, setops
+from verimet.operators import projections, resample, setops
 from verimet.operators.sequences import previous_value
+from verimet.session import work_path
+from verimet.sources import sinks, tables
 
 _STEP = """
 steps AS (SELECT *, CASE WHEN d <= 500 THEN greatest(d, 0) END AS precip_step FROM
@@ -203,3 +205,74 @@ def obs_fill_drop(d):
 
     raw = d.hourly().select("station", F.col("valid_time").alias("time_1H"), r("tair").alias("tair"), r("wspd_sonic_mean").alias("wspd_sonic_mean"), "n")
     return prepare_observations(raw, {"tair": -999.0})
+
+
+def _derived_sql() -> str:
+    from verimet.catalog.scalars import _N
+    from verimet.functions import thermo
+
+    e = "(CASE WHEN relh > 0 THEN relh / 100 * 6.112 * exp(17.67 * tair / (tair + 243.5)) END)"
+    h = "(elev + 1.5)"
+    return f"""derived AS (SELECT *, 243.5 * ln({e}/6.112) / (17.67 - ln({e}/6.112)) AS td,
+  (pow(pow(pres, {_N!r}) - {(thermo.P0_HPA ** _N * thermo.LAPSE_K_PER_M / thermo.T0_K)!r} * {h}, {1 / _N!r}) + 0.3)
+   * exp({h} / ({thermo.GAS_DRY!r} * (tair + 273.15) / {thermo.GRAVITY!r})) AS mslp
+  FROM (SELECT *, 980 + tair / 10 AS pres, CAST(CAST(substr(station, 2) AS BIGINT) % 10 AS DOUBLE) * 30 AS elev FROM steps))"""
+
+
+def _refreshed(hours: int) -> str:
+    on = f"minute(time_5M) = 0 AND hour(time_5M) % {hours} = 0"
+    first = lambda c: R(f"(arg_min({{'v': {c}}}, (time_5M, event_id)) FILTER (WHERE {on})).v", 4)
+    return f"""WITH {_STEP}, {_derived_sql()}
+SELECT station, time_bucket(INTERVAL {hours} HOUR, time_5M, TIMESTAMP '2024-01-01') AS valid_time, {first('tair')} AS tair, {first('td')} AS td,
+       {first('mslp')} AS mslp, {R('avg(wspd_sonic)', 4)} AS wspd_sonic_mean, coalesce(sum(precip_step), 0) AS precip_total
+FROM derived GROUP BY 1, 2"""
+
+
+def _refresh(d, hours: int):
+    """Two overlapping deliveries of the raw rows end in the same table as one."""
+    from verimet.plans import cleaning
+
+    raw = d.gauge().withColumns({
+        "pres": 980 + F.col("tair") / 10, "elev": (F.substring("station", 2, 20).cast("long") % 10).cast("double") * 30})
+    path = work_path(d.spark, "observations")
+    for delivery in (raw.where(F.col("station") < "S5"), raw):
+        cleaning.refresh_observations(delivery, path, ["tair", "td", "mslp"], hours, ["event_id"])
+    out = d.spark.read.parquet(path).select("station", "valid_time", "tair", "td", "mslp", "wspd_sonic_mean", "precip_total")
+    return rounded(out, "tair", "td", "mslp", "wspd_sonic_mean", digits=4)
+
+
+@query("obs_refresh_1h", _refreshed(1), ("gauge",))
+def obs_refresh_1h(d):
+    return _refresh(d, 1)
+
+
+@query("obs_refresh_3h", _refreshed(3), ("gauge",))
+def obs_refresh_3h(d):
+    return _refresh(d, 3)
+
+
+@query("obs_read_filled", f"""
+SELECT station, valid_time, coalesce({R('tair')}, -999.0) AS tair, {R('wspd_sonic_mean')} AS wspd_sonic_mean, n FROM hourly
+WHERE year(valid_time) = 2024""", ("hourly",))
+def obs_read_filled(d):
+    """Observations of a year through the reader, one column filled, incomplete rows dropped."""
+    path = work_path(d.spark, "hourly")
+    sinks.write_partitions(sinks.with_calendar(rounded(d.hourly(), "tair", "wspd_sonic_mean")), path, ["year", "month"])
+    out = tables.read_observations(d.spark, path, [2024], {"tair": -999.0})
+    return out.select("station", "valid_time", "tair", "wspd_sonic_mean", "n")
+
+
+@query("obs_read_all_filled", f"""
+SELECT station, valid_time, coalesce({R('tair')}, -5.0) AS tair, coalesce({R('wspd_sonic_mean')}, -5.0) AS wspd_sonic_mean FROM hourly""", ("hourly",))
+def obs_read_all_filled(d):
+    """Every missing number becomes the given value and no row is dropped."""
+    path = work_path(d.spark, "hourly-all")
+    sinks.write_partitions(sinks.with_calendar(rounded(d.hourly(), "tair", "wspd_sonic_mean")), path, ["year", "month"])
+    return tables.read_observations(d.spark, path, fill_all=-5.0).select("station", "valid_time", "tair", "wspd_sonic_mean")
+
+
+@query("unused_dropped", f"""SELECT event_id, station, {R('tair')} AS tair FROM raw_obs""", ("raw_obs",))
+def unused_dropped(d):
+    """Observation columns that no model uses are dropped by the fixed list."""
+    raw = d.raw_obs().withColumns({"td": F.lit(1.0), "snow_depth": F.lit(0.0), "tair": r("tair")}).drop("time_5M", "elev")
+    return projections.drop_columns(raw, projections.UNUSED_OBSERVATIONS)

@@ -31,6 +31,34 @@ def write_daily(d):
     return longs(d.spark.read.parquet(path).groupBy("fh", "date").agg(F.count(F.lit(1)).alias("n")), "fh")
 
 
+@query("daily_sorted", """
+SELECT CAST(fh AS BIGINT) AS fh, CAST(valid_time AS DATE) AS date, count(*) AS n, CAST(0 AS BIGINT) AS out_of_order FROM grid GROUP BY 1, 2""", ("grid",))
+def daily_sorted(d):
+    """Rows of each daily file in the order they lie there: none comes before its predecessor."""
+    from pyspark.sql.window import Window
+
+    path = work_path(d.spark, "daily-sorted")
+    sinks.write_daily(d.grid(), path)
+    rows = d.spark.read.parquet(path).select("fh", "date", F.struct("valid_time", "latitude", "longitude").alias("k"),
+                                             F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("i"))
+    before = F.lag("k").over(Window.partitionBy("fh", "date", "file").orderBy("i"))
+    marked = rows.withColumn("bad", F.coalesce(before > F.col("k"), F.lit(False)).cast("long"))
+    return longs(marked.groupBy("fh", "date").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("out_of_order")), "fh")
+
+
+@query("partition_status", """
+WITH w AS (SELECT CAST(fh AS BIGINT) AS fh, CAST(year(valid_time) AS BIGINT) AS year, CAST(month(valid_time) AS BIGINT) AS month, count(*) AS c FROM predictions GROUP BY 1, 2, 3)
+SELECT fh, year, month, CASE WHEN fh <= 3 AND year < 1999 THEN c ELSE 0 END AS rows, CASE WHEN fh <= 3 AND year < 1999 THEN 'done' ELSE 'pending' END AS status FROM w""",
+       ("predictions",))
+def partition_status(d):
+    path = work_path(d.spark, "status")
+    by = ["fh", "year", "month"]
+    work = longs(sinks.with_calendar(d.predictions()).select(*by).distinct(), "year", "month")
+    finished = d.predictions().where((F.col("fh") <= 3) & (F.year("valid_time") < 1999))
+    sinks.write_partitions(sinks.with_calendar(finished).select("stid", *by), path, by)
+    return longs(sinks.partition_status(d.spark, work, path, by), "rows")
+
+
 @query("airport_text", """
 SELECT concat('S', user_id) AS station, event_id, CASE WHEN event_type <> 'click' THEN value END AS tmpf,
        date_trunc('minute', ts) AS valid FROM events""")
@@ -43,7 +71,7 @@ def airport_text(d):
     )
     lines = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("# note\n"), line)).otherwise(line)
     d.table("events").select(lines.alias("value")).write.text(path)
-    rows = d.spark.read.csv(path, schema=lookups.AIRPORT_TEXT, comment="#", nullValue="M")
+    rows = lookups.read_airport_text(d.spark, path)
     return rows.select("station", F.col("elevation").cast("long").alias("event_id"), F.col("tmpf").cast("double").alias("tmpf"),
                        F.to_timestamp_ntz("valid", F.lit("yyyy-MM-dd HH:mm")).alias("valid"))
 
@@ -137,8 +165,8 @@ def resume_work(d):
 @query("month_list", """
 SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS month FROM lineitem""")
 def month_list(d):
-    span = d.table("lineitem").agg(F.min("l_shipdate").cast("date"), F.max("l_shipdate").cast("date")).first()
-    return tables.month_list(d.spark, span[0], span[1])
+    span = d.table("lineitem").agg(F.min("l_shipdate").cast("date").alias("start"), F.max("l_shipdate").cast("date").alias("end"))
+    return tables.months_of(span, "start", "end").select("month")
 
 
 @query("request_chunks", """

@@ -341,3 +341,24 @@ def missing_outputs(d):
     leads = d.table("lineitem").select(F.explode(F.array(F.col("l_linenumber").cast("long"), (F.col("l_linenumber") + 3).cast("long"))).alias("fh")).distinct()
     expected = leads.select("fh", F.explode(F.array(*[F.lit(m) for m in ("t2m", "u_total", "tp")])).alias("metvar"))
     return verify.missing_outputs(expected, d.predictions())
+
+
+_GATED = f"(SELECT * FROM {_DIFF} WHERE abs(round(difference, 6)) > 1 AND valid_time > TIMESTAMP '1996-01-01' AND valid_time < TIMESTAMP '2000-12-31 23:59:59')"
+
+
+def _period_sql(period: str, name: str, statistic: str) -> str:
+    return f"""SELECT '{period}_{name}' AS "table", CAST(k AS BIGINT) AS key, {R('avg(s)')} AS value FROM (
+  SELECT {period}(valid_time) AS k, fh, {statistic} AS s FROM {_GATED} WHERE abs(difference) < 100 GROUP BY 1, 2) GROUP BY 2"""
+
+
+@query("bulk_report", f"""
+SELECT 'drift_mae' AS "table", CAST(fh AS BIGINT) AS key, {R('avg(abs(difference))')} AS value FROM {_GATED} WHERE abs(difference) < 100 GROUP BY 2
+UNION ALL SELECT 'drift_mse', CAST(fh AS BIGINT), {R('avg(difference * difference)')} FROM {_GATED} WHERE abs(difference) < 100 GROUP BY 2
+UNION ALL SELECT 'r2', CAST(fh AS BIGINT), {R('greatest(1 - sum(pow(model_output - actual, 2)) / (var_pop(model_output) * count(*)), 0)')} FROM {_GATED}
+  WHERE abs(model_output) < 100 AND abs(actual) < 100 GROUP BY 2
+UNION ALL """ + "\nUNION ALL ".join(
+    _period_sql(p, n, q) for p in ("month", "hour")
+    for n, q in (("mean", "avg(difference)"), ("std", "stddev_samp(difference)"), ("abs", "avg(abs(difference))"))), ("predictions",))
+def bulk_report(d):
+    """All tables of the bulk error report over the gated rows."""
+    return rounded(reports.bulk_report(d.compared(), "1996-01-01", "2000-12-31 23:59:59"), "value")

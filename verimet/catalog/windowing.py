@@ -267,3 +267,33 @@ def win_null_keys(d):
     total = F.aggregate("y", F.lit(0.0), lambda s, v: s + v)
     return rounded(win.groupBy("station").agg(
         F.count(F.lit(1)).alias("windows"), F.sum(total).alias("y_sum"), F.count("valid_time").alias("timed")), "y_sum")
+
+
+def _model_steps_sql(model: str, steps: str) -> str:
+    return f"""WITH r AS (SELECT station, fh, time, t2m, row_number() OVER (PARTITION BY station, fh ORDER BY time) - 1 AS start FROM forecasts WHERE fh IN (3, 6)),
+s AS (SELECT *, {steps} AS k FROM r),
+v AS (SELECT *, list(t2m) OVER (PARTITION BY station, fh ORDER BY start ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS w FROM s)
+SELECT station, CAST(fh AS BIGINT) AS fh, start, 5 + k AS rows, CAST(k AS BIGINT) AS steps,
+       {R('coalesce(list_sum(w[6:5 + k]), 0)')} AS y_sum, {R('coalesce(w[5], 0)')} AS held FROM v"""
+
+
+def _model_steps(d, model: str):
+    """Windows of a 3-hourly model: 5 past rows, the future rows that cover the lead, the last value held."""
+    rows = d.forecasts().where(F.col("fh").isin(3, 6))
+    win = windows.build_windows(
+        rows, ["station", "fh"], ["t2m"], ["t2m"], target="t2m", order="time", past=5, steps=windows.future_steps_column(model, F.col("fh")),
+        max_steps=3, normalise=[])
+    total = F.aggregate("y", F.lit(0.0), lambda s, v: s + v)
+    out = win.select("station", "fh", "start", F.size("x").alias("rows"), F.size("y").alias("steps"), total.alias("y_sum"),
+                     F.element_at("x", -1)["t2m"].alias("held"))
+    return rounded(longs(out, "start", "rows", "steps"), "y_sum", "held")
+
+
+@query("win_gfs", _model_steps_sql("GFS", "CAST(floor(fh / 3) AS BIGINT)"), ("forecasts",))
+def win_gfs(d):
+    return _model_steps(d, "GFS")
+
+
+@query("win_nam", _model_steps_sql("NAM", "CAST(floor((fh + 2) / 3) AS BIGINT)"), ("forecasts",))
+def win_nam(d):
+    return _model_steps(d, "NAM")

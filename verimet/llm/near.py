@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, radius: int = RADIUS) ->
 
     Documents are linked if 100 * common shingles >= percent * shingles of either; `percent`
     may be 85 or more, as the radius is chosen for it: two texts at 85 differ in more than
-    24 places with a probability of about 1 : 300,000, closer ones far less often.
+    24 places with a probability of about 1 : 400,000, closer ones far less often.
 
     Cases: a null text and one without words have no shingles and are linked with nothing; texts of one
     to four words are one shingle; a null doc_id is linked by equal sets alone; rows

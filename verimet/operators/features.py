@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verimet.functions.clock import day_cycle, hours_interval, year_cycle
+from verimet.functions.clock import day_cycle, year_cycle
 from verimet.functions.values import clip_low
 
 # Fixed mapping: forecast variable -> observed variable.
@@ -130,7 +130,3 @@ def merge_grids(frames: dict[str, DataFrame], keys: Sequence[str] = ("latitude",
     names = list(frames)
     stacked = union_all([f.select(*keys, n) for n, f in frames.items()])
     return stacked.groupBy(*keys).agg(*[F.min(n).alias(n) for n in names])
-
-
-def valid_from_run(df: DataFrame) -> DataFrame:
-    return df.withColumn("valid_time", F.col("time") + hours_interval(F.col("fh")))

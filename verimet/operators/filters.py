@@ -72,17 +72,6 @@ def members(df: DataFrame, ids: DataFrame, column: str = "station") -> DataFrame
     return df.join(ids.select(column).distinct(), column, "left_semi")
 
 
-def complete_images(df: DataFrame, image_columns: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(image_columns))
-
-
-def images_present(df: DataFrame, image_columns: Sequence[str], catalog: DataFrame, path: str = "path") -> DataFrame:
-    """Rows whose image path exists in the catalog, for every image column."""
-    for column in image_columns:
-        df = df.join(catalog.select(F.col(path).alias(column)).distinct(), column, "left_semi")
-    return df
-
-
 def last_hours(df: DataFrame, back: int, ahead: int = 0, ts: str = "valid_time", now: Column | None = None) -> DataFrame:
     """Clip to [now - back h, now + ahead h].
 

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 _COMMON = ["valid_time", "time", "latitude", "longitude", "t2m", "sh2", "d2m", "r2", "u10", "v10", "tp"]
 KEEP_COLUMNS = {
     "HRRR": [*_COMMON, "mslma", "orog", "tcc", "asnow", "cape", "dswrf", "dlwrf", "gh"],
-    "GFS": [*_COMMON, "prmsl", "orog", "tcc", "cin", "cape", "dswrf", "dlwrf", "gh"],
-    "NAM": [*_COMMON, "prmsl", "orog", "tcc", "cin", "cape", "dswrf", "dlwrf", "gh"],
+    **dict.fromkeys(("GFS", "NAM"), [*_COMMON, "prmsl", "orog", "tcc", "cape", "cin", "dswrf", "dlwrf", "gh"]),
 }
 FORECAST_BOOKKEEPING = ["index", "lead time", "lead_time", "lsm", "latitude", "longitude", "time", "orog"]
 UNUSED_OBSERVATIONS = ["ta9m", "td", "relh", "srad", "pres", "mslp", "wspd_sonic_mean", "wspd_sonic", "wmax_sonic",

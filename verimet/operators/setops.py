@@ -41,11 +41,6 @@ def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequ
     return latest_per_key(both, keys, ["_side", *order]).drop("_side")
 
 
-def missing_keys(expected: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Expected key combinations with no row in `found`."""
-    return expected.select(*keys).distinct().join(found.select(*keys).distinct(), list(keys), "left_anti")
-
-
 def pending_work(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Work items whose output partition is not there yet (resume)."""
     return work.join(done.select(*keys).distinct(), list(keys), "left_anti")

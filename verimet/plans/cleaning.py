@@ -20,6 +20,7 @@ from verimet.operators.resample import airport_table, station_table
 from verimet.operators.setops import split_union
 from verimet.operators.spatial import at_station_coordinates, interpolate_bilinear, on_land, values_at_nearest
 from verimet.operators.windows import profile_images
+from verimet.sources.sinks import upsert_partitions, with_calendar
 
 
 def reformat(df: DataFrame) -> DataFrame:
@@ -99,6 +100,16 @@ def observation_tables(raw: DataFrame, sampled: Sequence[str], tie: Sequence[str
     return station_table(derived, 1, sampled, tie=tie), station_table(derived, 3, sampled, tie=tie)
 
 
+def refresh_observations(raw: DataFrame, path: str, sampled: Sequence[str], hours: int = 1, tie: Sequence[str] = ()) -> None:
+    """Raw station rows -> derived columns -> hourly (or 3-hourly) table -> upsert by station and hour.
+
+    The table lies in year and month folders; only the months of the new rows are rewritten.
+    """
+    table = observation_tables(raw, sampled, tie)[0 if hours == 1 else 1]
+    keys = ["station", "valid_time", "year", "month"]
+    upsert_partitions(with_calendar(table), path, keys, ["year", "month"], ["valid_time"])
+
+
 def airport_observations(raw: DataFrame, stations: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
     return airport_table(raw, stations, tie)
 

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verimet.operators.filters import between_dates, error_within
+from verimet.operators.setops import union_all
 from verimet.operators.summarise import (
     error_by_period, point_density, scatter_diagnostics, skill, station_counts, weighted_mean,
 )
 
+from verimet.operators.verify import drift_by_lead, r2_by_lead
+
 
 def comparison_table(base: DataFrame, candidate: DataFrame, stations: DataFrame, period: str) -> DataFrame:
     """Rows for base, candidate, % improvement, each division and all stations.
@@ -65,3 +68,19 @@ def scatter_points(df: DataFrame, start: str, end: str, metvar: str, bins: int =
 def bulk_errors(df: DataFrame, start: str, end: str, at_least: float = 1.0) -> DataFrame:
     """Evaluation rows of the bulk report: |difference| above the gate, strict dates."""
     return between_dates(error_within(df, F.round("difference", 6), above=at_least), start, end)
+
+
+def bulk_report(df: DataFrame, start: str, end: str, at_least: float = 1.0, limit: float | None = 100.0) -> DataFrame:
+    """The report tables of the gated rows as one long table: (table, key, value).
+
+    Drift (MAE, MSE) and R2 per forecast hour; bias, spread and MAE per month and per hour of day.
+    """
+    rows = bulk_errors(df, start, end, at_least)
+    drift = drift_by_lead(rows, limit)
+    parts = [drift.select(F.lit(f"drift_{m}").alias("table"), F.col("fh").cast("long").alias("key"), F.col(m).alias("value")) for m in ("mae", "mse")]
+    parts.append(r2_by_lead(rows, limit=limit).select(F.lit("r2").alias("table"), F.col("fh").cast("long").alias("key"), F.col("r2").alias("value")))
+    for period in ("month", "hour"):
+        for statistic in ("mean", "std", "abs"):
+            table = error_by_period(rows, period, statistic, limit=limit)
+            parts.append(table.select(F.lit(f"{period}_{statistic}").alias("table"), F.col(period).alias("key"), F.col("error").alias("value")))
+    return union_all(parts)

@@ -19,8 +19,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, rename: dict[
 
 
 def read_airport_text(spark: SparkSession, path: str) -> DataFrame:
-    """Airport reports: '#' lines skipped, 'M' is missing."""
-    return spark.read.csv(path, schema=AIRPORT_TEXT, header=True, comment="#", nullValue="M", enforceSchema=False)
+    """Airport reports: '#' lines and header lines skipped, wherever files are split; 'M' is missing."""
+    return parse_airport_lines(spark.read.text(path))
 
 
 def parse_airport_lines(df: DataFrame, line: str = "value") -> DataFrame:

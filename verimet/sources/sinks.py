@@ -13,15 +13,16 @@ from verimet.operators.setops import latest_per_key, upsert
 BATCH = "batch_id"
 
 
-def write_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
-    """Overwrite the partitions present in `df`, leave the others.
+def write_partitions(df: DataFrame, path: str, by: Sequence[str], order: Sequence[str] = ()) -> None:
+    """Overwrite the partitions present in `df`, leave the others; `order` sorts the rows inside each file.
 
     The rebalance hint brings the rows of a partition value together and lets
     adaptive execution split a value that is too large for one task, so files
     are neither tiny nor written by one task each.
     """
+    dealt = df.hint("rebalance", *[F.col(c) for c in by])
     (
-        df.hint("rebalance", *[F.col(c) for c in by])
+        (dealt.sortWithinPartitions(*by, *order) if order else dealt)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
@@ -38,8 +39,8 @@ def write_forecasts(df: DataFrame, path: str) -> None:
 
 
 def write_daily(df: DataFrame, path: str, ts: str = "valid_time") -> None:
-    """Stitched forecasts, one folder per forecast hour and day."""
-    write_partitions(df.withColumn("date", F.to_date(ts)), path, ["fh", "date"])
+    """Stitched forecasts, one folder per forecast hour and day, rows by time and place."""
+    write_partitions(df.withColumn("date", F.to_date(ts)), path, ["fh", "date"], [ts, "latitude", "longitude"])
 
 
 def write_divisions(df: DataFrame, path: str) -> None:
@@ -98,3 +99,14 @@ def done_partitions(spark: SparkSession, path: str, by: Sequence[str], schema) -
     """
     existing = _read_if_there(spark, path)
     return existing.select(*by).distinct() if existing is not None else spark.createDataFrame([], schema)
+
+
+def partition_status(spark: SparkSession, work: DataFrame, path: str, by: Sequence[str]) -> DataFrame:
+    """`work` (partition values) with `rows` found in the table and `status`: done or pending."""
+    existing = _read_if_there(spark, path)
+    if existing is None:
+        return work.select(*by, F.lit(0).cast("long").alias("rows"), F.lit("pending").alias("status"))
+    kinds = {f.name: f.dataType for f in work.schema}
+    found = existing.groupBy(*[F.col(c).cast(kinds[c]).alias(c) for c in by]).agg(F.count(F.lit(1)).alias("rows"))
+    return work.select(*by).distinct().join(found, list(by), "left").select(
+        *by, F.coalesce("rows", F.lit(0)).alias("rows"), F.when(F.col("rows").isNull(), "pending").otherwise("done").alias("status"))

@@ -113,13 +113,15 @@ def read_station_outputs(
     return out.withColumnRenamed("target_error_lead_0", "target_error")
 
 
+def months_of(spans: DataFrame, start: str, end: str) -> DataFrame:
+    """`spans` with one row per `month` (its first day) that touches [start, end]."""
+    first = [F.trunc(F.col(c).cast("date"), "MM") for c in (start, end)]
+    return spans.withColumn("month", F.explode(F.sequence(*first, F.expr("interval 1 month"))))
+
+
 def month_list(spark: SparkSession, start, end) -> DataFrame:
     """First day of every month that touches [start, end]."""
-    return spark.range(1).select(
-        F.explode(
-            F.sequence(F.trunc(F.lit(start).cast("date"), "MM"), F.trunc(F.lit(end).cast("date"), "MM"), F.expr("interval 1 month"))
-        ).alias("month")
-    )
+    return months_of(spark.range(1).select(F.lit(start).alias("start"), F.lit(end).alias("end")), "start", "end").select("month")
 
 
 def request_chunks(df: DataFrame, start: str, end: str, days: int = 30) -> DataFrame:
