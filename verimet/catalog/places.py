@@ -48,6 +48,21 @@ def nearest_grid(d):
     return near.select("station", (F.col("gla") / 10000.0).alias("latitude"), (F.col("glo") / 10000.0).alias("longitude"), r("km", 3).alias("km"))
 
 
+@query("nearest_far", f"""
+WITH cells AS (SELECT DISTINCT latitude, longitude - 360 AS longitude FROM grid),
+s AS (SELECT station, lat - 70 AS lat, lon + 75 AS lon FROM stations),
+p AS (SELECT s.station, c.latitude, c.longitude, {_CHORD.format(a='s', b='c')} AS chord FROM s, cells c)
+SELECT station, latitude, longitude, rank, {R('2*6371.0*asin(least(1.0, chord/2))', 2)} AS km FROM (
+  SELECT *, row_number() OVER (PARTITION BY station ORDER BY floor(chord*1e9), latitude, longitude) AS rank FROM p) WHERE rank <= 3""",
+       ("grid", "stations"))
+def nearest_far(d):
+    """Stations on another continent than the grid."""
+    cells = d.grid().select("latitude", (F.col("longitude") - 360).alias("longitude"))
+    away = d.stations().withColumns({"lat": F.col("lat") - 70, "lon": F.col("lon") + 75})
+    near = spatial.nearest_grid_points(away, cells, 3)
+    return near.select("station", (F.col("gla") / 10000.0).alias("latitude"), (F.col("glo") / 10000.0).alias("longitude"), "rank", r("km", 2).alias("km"))
+
+
 @query("grid_at_stations", f"""
 SELECT p.station, g.time, g.fh, {R('g.t2m')} AS t2m FROM (SELECT *, longitude - 360 AS lon FROM grid) g
 JOIN grid_places p ON g.latitude = p.lat AND g.lon = p.lon""", ("grid", "grid_places"))

@@ -3,9 +3,11 @@
 No operator pairs everything with everything.  Points are put into cubes of
 the unit sphere; a query looks at its own and the 26 adjacent cubes and is
 final once its k-th candidate is closer than the border of that block.  What is
-still open retries with four times larger cubes, up to the whole sphere.  Chord
-length orders pairs exactly like great-circle distance, so poles and the date
-line need no special case.
+still open retries with four times larger cubes.  Queries that are far from all points
+go the other way: from the few largest cubes down, a query keeps only cubes that can hold one
+of its k nearest, judged by the cubes' counts and distances, and meets the points
+of the last ones alone.  Chord length orders pairs exactly like great-circle distance,
+so poles and the date line need no special case.
 """
 
 from __future__ import annotations
@@ -17,8 +19,11 @@ from verimet.functions.geo import EARTH_RADIUS_KM, chord_to_km, coordinate_key,
 from verimet.operators.filters import land_only
 from verimet.session import shared_dir, stored
 
-# Cube edges on the unit sphere: about 6 m, times four each, then everything.
-LEVELS = [2.0**-e for e in range(20, -1, -2)] + [2.0]
+# Cube edges on the unit sphere: about 6 m, times four each.
+LEVELS = [2.0**-e for e in range(20, -1, -2)]
+# Beyond this edge (100 km) a query looks from above; the sphere has at most 512 cubes of the top edge.
+LARGEST_BLOCK = 2.0**-6
+TOP = 2.0**-2
 CUBE_TARGET = 32
 POSITION_SCALE = 1_000_000
 # Chords closer than this (about 6 mm on the ground) count as equal; the id decides.
@@ -72,6 +77,37 @@ def _candidates(queries: DataFrame, points: DataFrame, edge: float, k: int) -> D
     return pairs.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
 
 
+def _descend(queries: DataFrame, points: DataFrame, finest: float, k: int) -> DataFrame:
+    """k nearest ids of queries that may be far from every point, from the largest cubes down."""
+    edge, cell = TOP, [f"c{a}" for a in _AXES]
+    own = {c: _cell(a, edge) for c, a in zip(cell, _AXES)}
+    cubes = points.withColumns(own).groupBy(*cell).agg(F.count(F.lit(1)).alias("held"))
+    # The same key on both sides: at most 512 rows stand for all points.
+    kept = queries.withColumn("_all", F.lit(0)).join(F.broadcast(cubes.withColumn("_all", F.lit(0))), "_all").drop("_all")
+    while True:
+        low = {a: F.col(c) * edge - 1.0 for a, c in zip(_AXES, cell)}
+        gap = [F.greatest(low[a] - F.col(a), F.col(a) - low[a] - edge, F.lit(0.0)) for a in _AXES]
+        far = [F.greatest(F.abs(F.col(a) - low[a]), F.abs(F.col(a) - low[a] - edge)) for a in _AXES]
+        kept = kept.withColumns({"_near": sum((g * g for g in gap), F.lit(0.0)), "_far": sum((f * f for f in far), F.lit(0.0))})
+        nearest_first = Window.partitionBy("qid").orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)
+        enough = F.when(F.sum("held").over(nearest_first) >= k, F.col("_far"))
+        bound = F.coalesce(F.min("_bound").over(Window.partitionBy("qid")), F.lit(float("inf")))
+        kept = kept.withColumn("_bound", enough).withColumn("_bound", bound).where(F.col("_near") <= F.col("_bound") * (1 + 1e-9) + 1e-18)
+        kept = kept.select("qid", *_AXES, *cell)
+        if edge <= finest:
+            break
+        child = edge / 4
+        inner = points.withColumns({f"n{a}": _cell(a, child) for a in _AXES}).groupBy(*[f"n{a}" for a in _AXES]).agg(F.count(F.lit(1)).alias("held"))
+        inner = inner.withColumns({c: F.floor(F.col(f"n{a}") / 4).cast("long") for c, a in zip(cell, _AXES)})
+        kept = kept.join(inner, cell).select("qid", *_AXES, *[F.col(f"n{a}").alias(c) for c, a in zip(cell, _AXES)], "held")
+        edge = child
+    targets = points.withColumns({c: _cell(a, edge) for c, a in zip(cell, _AXES)}).withColumnsRenamed({a: f"p{a}" for a in _AXES})
+    chord = F.sqrt(sum((F.pow(F.col(a) - F.col(f"p{a}"), 2.0) for a in _AXES), F.lit(0.0)))
+    pairs = kept.join(targets, cell).select("qid", chord.alias("chord"), F.explode("ids").alias("pid"))
+    by_distance = Window.partitionBy("qid").orderBy(tie_key(F.col("chord")), "pid")
+    return pairs.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
+
+
 def k_nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """Exact k nearest ids per query: (qid, rank, pid, chord).  `qid` is unique.
 
@@ -81,7 +117,8 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     shared_dir(queries.sparkSession)  # checkpoint() below needs its folder
     columns = ["qid", "rank", "pid", "chord"]
     level, waiting, found, open_count = _start_level(points), queries, None, queries.count()
-    while LEVELS[level] < 2.0:
+    finest = LEVELS[level]
+    while level < len(LEVELS) and LEVELS[level] <= LARGEST_BLOCK:
         ranked = _candidates(waiting, points, LEVELS[level], k)
         settled = (
             ranked.groupBy("qid")
@@ -95,7 +132,7 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
             return found
         waiting = waiting.join(part.where(F.col("rank") == 1), "qid", "left_anti").checkpoint()
         level += 1
-    rest = _candidates(waiting, points, 2.0, k).select(*columns)
+    rest = _descend(waiting, points, finest, k).select(*columns)
     return rest if found is None else found.unionByName(rest)
 
 
