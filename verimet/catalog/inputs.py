@@ -129,9 +129,9 @@ SELECT CAST(38 + i * 0.25 AS DOUBLE) AS latitude, CAST(280 + j * 0.25 AS DOUBLE)
        TIMESTAMP '2024-01-01' + to_hours(CAST(run + f.fh + CASE WHEN (i + j) % 50 = 0 AND f.fh = 2 THEN 1 ELSE 0 END AS INT)) AS valid_time,
        CASE WHEN (i * j) % 97 = 96 THEN NULL ELSE 250 + q + f.fh END AS t2m, 245 + q AS d2m,
        (q - 25) / 5 AS u10, CAST(pk % 7 - 3 AS DOUBLE) AS v10, CAST(f.fh * ln * 0.5 AS DOUBLE) AS tp
-FROM (SELECT l_partkey % 41 AS i, l_orderkey % 41 AS j, l_linenumber - 1 AS run, max(l_quantity) AS q,
+FROM (SELECT l_partkey % least(m, 200) AS i, l_orderkey % least(m, 1400) AS j, l_linenumber - 1 + 7 * (l_suppkey % layers) AS run, max(l_quantity) AS q,
              max(l_suppkey) % 5 AS ln, min(l_partkey) AS pk
-      FROM lineitem GROUP BY 1, 2, 3) g, (SELECT unnest([1,2,3]) AS fh) f""")
+      FROM lineitem, (SELECT greatest(41, CAST(floor(sqrt(max(l_partkey))) AS BIGINT)) AS m, 1 + max(l_partkey) // 40000 AS layers FROM lineitem) e GROUP BY 1, 2, 3) g, (SELECT unnest([1,2,3]) AS fh) f""")
 
 _view("mask", """
 SELECT DISTINCT latitude, longitude, CASE WHEN (i*j)%3 > 0 THEN 1 ELSE 0 END AS lsm FROM grid""", ("grid",))
@@ -300,9 +300,15 @@ class Inputs:
         )
 
     def grid(self) -> DataFrame:
+        # The extent follows the parts: about four line items a cell at every scale, then more runs.
+        items = self.table("lineitem")
+        most = items.agg(F.max("l_partkey").alias("p")).scalar()
+        side = F.greatest(F.lit(41), F.floor(F.sqrt("_p")).cast("long"))
+        layers = 1 + F.floor(F.col("_p") / 40000).cast("long")
         cells = (
-            self.table("lineitem")
-            .groupBy((F.col("l_partkey") % 41).alias("i"), (F.col("l_orderkey") % 41).alias("j"), (F.col("l_linenumber") - 1).alias("run"))
+            items.withColumn("_p", most)
+            .groupBy((F.col("l_partkey") % F.least(side, F.lit(200))).alias("i"), (F.col("l_orderkey") % F.least(side, F.lit(1400))).alias("j"),
+                     (F.col("l_linenumber") - 1 + 7 * (F.col("l_suppkey") % layers)).alias("run"))
             .agg(F.max("l_quantity").alias("q"), (F.max("l_suppkey") % 5).alias("ln"), F.min("l_partkey").alias("pk"))
         )
         i, j, fh = F.col("i"), F.col("j"), F.col("fh")
