@@ -45,7 +45,7 @@ class Encoder:
     piece stands for a string that begins with a space, so the ids can be told apart.
     """
 
-    def __init__(self, path: str, memory: int = 500_000) -> None:
+    def __init__(self, path: str, memory: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,20 +60,19 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        plain = [p for p in new if p[0] == " " and p[1:].isalpha()]
-        if plain:
-            self._learn_words(plain)
-        rest = [p for p in new if p not in self.known]
-        self.known.update(zip(rest, self._encode(rest), strict=True))
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        words, rest = [], []
+        for p in new:
+            (words if p[0] == " " and p[1:].isalpha() else rest).append(p)
+        return {**(self._learn_words(words) if words else {}), **dict(zip(rest, self._encode(rest), strict=True))}
 
-    def _learn_words(self, plain: list[str]) -> None:
+    def _learn_words(self, plain: list[str]) -> dict[str, bytes]:
         ids = np.array(self.tokenizer.encode("".join(plain), add_special_tokens=False).ids, "<u4")
         first = np.flatnonzero(self.opens[ids]).tolist()
         if len(first) != len(plain):
             raise ValueError("the vocabulary doesn't keep words apart")
         data = ids.tobytes()
-        self.known.update((p, data[4 * i:4 * j]) for p, i, j in zip(plain, first, [*first[1:], len(ids)], strict=True))
+        return {p: data[4 * i:4 * j] for p, i, j in zip(plain, first, [*first[1:], len(ids)], strict=True)}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -81,14 +80,15 @@ class Encoder:
         for i, data in zip(odd, self._encode([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = data
         split = {i: self.pieces.findall(t) for i, t in enumerate(texts) if out[i] is None}
-        new = list({p for pieces in split.values() for p in pieces if p not in self.known})
+        known = self.known
+        new = list(set().union(*split.values()).difference(known))
+        full = len(known) >= self.memory
         for at in range(0, len(new), 20_000):
-            self._learn(new[at:at + 20_000])
-        get = self.known.__getitem__
+            known.update(self._learn(new[at:at + 20_000]))
         for i, pieces in split.items():
-            out[i] = b"".join(map(get, pieces))
-        for piece in new if len(self.known) > self.memory else ():  # the first pieces, which hold the frequent ones, stay
-            del self.known[piece]
+            out[i] = b"".join(map(known.__getitem__, pieces))
+        for piece in new if full else ():  # the first pieces, which hold the frequent ones, stay
+            del known[piece]
         return out
 
 
@@ -123,7 +123,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END, s
             start, texts = 0, batch.column(2).to_pylist()
             while start < len(texts):
                 stop, size = start, 0
-                while stop < len(texts) and (stop == start or size + len(texts[stop]) <= 1 << 20):
+                while stop < len(texts) and (stop == start or size + len(texts[stop]) <= 2 << 20):
                     size += len(texts[stop])
                     stop += 1
                 ids = [data + tail for data in work(texts[start:stop])]
