@@ -37,7 +37,7 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def annotate(df: DataFrame, text: str, fields: list[tuple[str, str]], step, keep: list[str] | None = None, piece: int = 4 << 20) -> DataFrame:
+def annotate(df: DataFrame, text: str, fields: list[tuple[str, str]], step, keep: list[str] | None = None, piece: int = 1 << 20) -> DataFrame:
     """`df` with new columns that `step(texts)` computes from column `text`, batch by batch.
 
     `step` gets an Arrow string array of about `piece` bytes (null texts as empty) and

@@ -227,7 +227,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, w
                 return search(texts, self.queries)
 
         text = ["text"] if k + 1 < blocks and "text" not in keep else []
-        out = annotate(out, "text", [(f"{n}{k}", t) for n, t in FIELDS], Step, [*keep, *text, *made])
+        out = annotate(out, "text", [(f"{n}{k}", t) for n, t in FIELDS], Step, [*keep, *text, *made], piece=2 << 20)
         made += [f"{n}{k}" for n, _ in FIELDS]
     parts = {n: [F.col(f"{n}{k}") for k in range(blocks)] for n, _ in FIELDS}
     return out.select(

@@ -99,4 +99,4 @@ def find_secrets(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     of one rule don't overlap, those of different rules may; repeated rows get equal
     spans; no rows give no rows; further columns are kept as they are.
     """
-    return annotate(docs, "text", FIELDS, Scanner(), keep)  # compiled once, here
+    return annotate(docs, "text", FIELDS, Scanner(), keep, piece=4 << 20)  # compiled once, here
