@@ -35,12 +35,12 @@ def exact_duplicates(docs: DataFrame, counters: int = 4096, winners: int = 1024)
     """
     rows = stored(digests(docs), "digests")
     sketch = rows.agg(F.expr(f"approx_top_k(text_sha256, {winners}, {counters})").alias("top"))
-    total = rows.agg(F.count("*").alias("total"))
+    total = rows.agg(F.count("*")).scalar()
     named = sketch.select(F.explode("top").alias("t")).select(F.col("t.item").alias("text_sha256")).where(F.col("text_sha256").isNotNull())
     verified = (
         rows.join(F.broadcast(named), "text_sha256")
         .groupBy("text_sha256").agg(F.min("doc_id").alias("heavy_id"), F.count("*").alias("heavy_size"))
-        .join(F.broadcast(total), F.col("heavy_size") * counters >= F.col("total")).drop("total")
+        .where(F.col("heavy_size") * counters >= total)
     )
     verified = stored(verified.coalesce(1), "winners")
     split = rows.join(F.broadcast(verified), "text_sha256", "left")
