@@ -40,7 +40,8 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit integers.
 
     The tokenizer treats the pieces of its splitting rule one by one, so a piece is given to it once
-    and remembered; texts with other characters than the rule above covers go to it whole.
+    and remembered; texts with other characters than the rule above covers, or with the content
+    of an added token such as <|endoftext|>, go to it whole.
     New pieces of a space and letters go to it behind each other: only the first id of such a
     piece stands for a string that begins with a space, so the ids can be told apart.
     """
@@ -49,7 +50,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces, self.rare = _splitter(), re.compile("[^\0-\u024f\u2000-\u20cf]")
         self.known: dict[str, bytes] = {}
         self.memory = memory
@@ -76,7 +77,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.rare.search(t)]
+        odd = [i for i, t in enumerate(texts) if self.rare.search(t) or any(a in t for a in self.added)]
         for i, data in zip(odd, self._encode([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = data
         split = {i: self.pieces.findall(t) for i, t in enumerate(texts) if out[i] is None}
