@@ -194,7 +194,7 @@ def latest_snapshot(d):
 
 # Missing cells count as 0 in these models.
 def _cell_models(d):
-    return d.forecasts().select("station", "fh").distinct().where(F.col("fh") <= 4).select(
+    return d.forecasts().select("station", "fh").distinct().select(
         "station", "fh", F.array(F.lit(0.5), F.col("fh") / 10.0, F.lit(-0.25), F.lit(0.125), F.lit(1.5)).alias("params"))
 
 
@@ -205,28 +205,42 @@ def _mean(c: str) -> str:
     return f"(list_sum([coalesce({cell}, 0) FOR i IN range(1, {PAST} + fh + 1)]) / ({PAST} + fh))"
 
 
-@query("score_windows", f"""WITH {_WINDOWS}
+_SCORED = f"""WITH {_WINDOWS}
 SELECT station, fh, start, w[{PAST}].vt AS init_time,
        {R(f"0.5 + fh / 10.0 * {_mean('t2m')} - 0.25 * {_mean('u_total')} + 0.125 * {_mean('lat_c')} + 1.5 * {_mean('tair')}", 4)} AS model_output
-FROM win WHERE fh <= 4""", ("forecasts", "hourly"))
-def score_windows(d):
-    """A model over every cell of the window, past and future."""
+FROM win"""
+
+
+def _score_windows(d, models):
     from pyspark.sql import types as T
 
     outputs = T.StructType([T.StructField("model_output", T.DoubleType())])
-    out = scoring.score_windows(_windows(d), _cell_models(d), ["station", "fh"], scoring.predict_cells(_FEATURES), outputs, _FEATURES)
+    out = scoring.score_windows(_windows(d), models, ["station", "fh"], scoring.predict_cells(_FEATURES), outputs, _FEATURES)
     return rounded(longs(out, "start"), "model_output", digits=4)
 
 
-@query("score_uncertain", f"""WITH {_WINDOWS},
+@query("score_windows", f"{_SCORED} WHERE fh <= 4", ("forecasts", "hourly"))
+def score_windows(d):
+    """A model over every cell of the window, past and future; leads above 4 have no model here."""
+    return _score_windows(d, _cell_models(d).where(F.col("fh") <= 4))
+
+
+@query("score_windows_all_leads", _SCORED, ("forecasts", "hourly"))
+def score_windows_all_leads(d):
+    """The same with a model for every lead."""
+    return _score_windows(d, _cell_models(d))
+
+
+def _uncertain_sql(leads: str) -> str:
+    return f"""WITH {_WINDOWS},
 steps AS (SELECT station, fh, start, k, coalesce({_z('t2m', f'{PAST} + k')}, 0) AS a, coalesce({_z('u_total', f'{PAST} + k')}, 0) AS b
-          FROM win, (SELECT unnest(range(1, 7)) AS k) g WHERE k <= fh AND fh <= 4),
+          FROM win, (SELECT unnest(range(1, 7)) AS k) g WHERE k <= fh{leads}),
 members AS (SELECT *, a * 0.5 + b * fh / 10.0 AS g1, a * 0.75 - b AS g2 FROM steps)
 SELECT station, fh, start, k AS step, {R('(g1 + g2) / 2', 4)} AS mu, {R('pow((g1 - g2) / 2, 2)', 4)} AS epistemic_var,
-       {R('(exp(-1) + exp(-2)) / 2', 4)} AS aleatoric_var, {R('pow((g1 - g2) / 2, 2) + (exp(-1) + exp(-2)) / 2', 4)} AS total_var FROM members""",
-       ("forecasts", "hourly"))
-def score_uncertain(d):
-    """Two models per group; mean, spread and noise per future step as lists, unpacked here."""
+       {R('(exp(-1) + exp(-2)) / 2', 4)} AS aleatoric_var, {R('pow((g1 - g2) / 2, 2) + (exp(-1) + exp(-2)) / 2', 4)} AS total_var FROM members"""
+
+
+def _score_uncertain(d, leads):
     from pyspark.sql import types as T
 
     from verimet.schemas import UNCERTAIN_PREDICTION
@@ -234,23 +248,48 @@ def score_uncertain(d):
     names = ("mu", "epistemic_var", "aleatoric_var", "total_var")
     outputs = T.StructType([UNCERTAIN_PREDICTION[n] for n in names])
     pair = F.array(F.lit(0.5), F.col("fh") / 10.0, F.lit(-1.0), F.lit(0.75), F.lit(-1.0), F.lit(-2.0))
-    models = d.forecasts().select("station", "fh").distinct().where(F.col("fh") <= 4).select("station", "fh", pair.alias("params"))
+    models = d.forecasts().select("station", "fh").distinct().where(leads).select("station", "fh", pair.alias("params"))
     out = scoring.score_windows(_windows(d), models, ["station", "fh"], scoring.predict_ensemble(PAST, 2), outputs, ["t2m", "u_total"])
     steps = out.select("station", "fh", "start", F.posexplode(F.arrays_zip(*names)).alias("step", "v"))
     return rounded(longs(steps.select("station", "fh", "start", (F.col("step") + 1).alias("step"), "v.*"), "start", "step"), *names, digits=4)
 
 
-@query("win_cells", f"""WITH {_WINDOWS}
+@query("score_uncertain", _uncertain_sql(" AND fh <= 4"), ("forecasts", "hourly"))
+def score_uncertain(d):
+    """Two models per group; mean, spread and noise per future step as lists, unpacked here; leads above 4 have no model."""
+    return _score_uncertain(d, F.col("fh") <= 4)
+
+
+@query("score_uncertain_all_leads", _uncertain_sql(""), ("forecasts", "hourly"))
+def score_uncertain_all_leads(d):
+    """The same with models for every lead."""
+    return _score_uncertain(d, F.lit(True))
+
+
+_CELLS = f"""WITH {_WINDOWS}
 SELECT station, fh, start, i AS slot, {R(_z('t2m', 'i'), 5)} AS t2m, {R(_z('u_total', 'i'), 5)} AS u_total, {R('w[i].lat_c', 5)} AS lat_c,
        {R(f"CASE WHEN i <= {PAST} THEN {_z('tair', 'i')} ELSE {_z('tair', PAST)} END", 5)} AS tair
-FROM win, (SELECT unnest(range(1, {PAST} + 7)) AS i) s WHERE i <= {PAST} + fh AND fh IN (2, 5)""", ("forecasts", "hourly"))
-def win_cells(d):
-    """Every cell of the windows of two forecast hours, by position."""
-    cells = _windows(d).where(F.col("fh").isin(2, 5)).select(
+FROM win, (SELECT unnest(range(1, {PAST} + 7)) AS i) s WHERE i <= {PAST} + fh"""
+
+
+def _cells(win):
+    cells = win.select(
         "station", "fh", "start", F.posexplode("x").alias("slot", "c")).select("station", "fh", "start", (F.col("slot") + 1).alias("slot"), "c.*")
     return rounded(longs(cells, "start", "slot"), *_FEATURES, digits=5)
 
 
+@query("win_cells", f"{_CELLS} AND fh IN (2, 5)", ("forecasts", "hourly"))
+def win_cells(d):
+    """Every cell of the windows of two forecast hours, by position."""
+    return _cells(_windows(d).where(F.col("fh").isin(2, 5)))
+
+
+@query("win_cells_all_leads", _CELLS, ("forecasts", "hourly"))
+def win_cells_all_leads(d):
+    """Every cell of all windows, by position."""
+    return _cells(_windows(d))
+
+
 @query("win_null_keys", f"""
 WITH s AS (SELECT CASE WHEN l_suppkey % 3 > 0 THEN concat('S', l_suppkey) END AS station, CAST(l_quantity AS DOUBLE) AS q,
                   CASE WHEN l_linenumber < 7 THEN CAST(l_shipdate AS TIMESTAMP) END AS valid_time, l_orderkey * 10 + l_linenumber AS k FROM lineitem),
@@ -269,17 +308,16 @@ def win_null_keys(d):
         F.count(F.lit(1)).alias("windows"), F.sum(total).alias("y_sum"), F.count("valid_time").alias("timed")), "y_sum")
 
 
-def _model_steps_sql(model: str, steps: str) -> str:
-    return f"""WITH r AS (SELECT station, fh, time, t2m, row_number() OVER (PARTITION BY station, fh ORDER BY time) - 1 AS start FROM forecasts WHERE fh IN (3, 6)),
+def _model_steps_sql(steps: str, leads: str = "") -> str:
+    return f"""WITH r AS (SELECT station, fh, time, t2m, row_number() OVER (PARTITION BY station, fh ORDER BY time) - 1 AS start FROM forecasts{leads}),
 s AS (SELECT *, {steps} AS k FROM r),
 v AS (SELECT *, list(t2m) OVER (PARTITION BY station, fh ORDER BY start ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS w FROM s)
 SELECT station, CAST(fh AS BIGINT) AS fh, start, 5 + k AS rows, CAST(k AS BIGINT) AS steps,
        {R('coalesce(list_sum(w[6:5 + k]), 0)')} AS y_sum, {R('coalesce(w[5], 0)')} AS held FROM v"""
 
 
-def _model_steps(d, model: str):
+def _model_steps(rows, model: str):
     """Windows of a 3-hourly model: 5 past rows, the future rows that cover the lead, the last value held."""
-    rows = d.forecasts().where(F.col("fh").isin(3, 6))
     win = windows.build_windows(
         rows, ["station", "fh"], ["t2m"], ["t2m"], target="t2m", order="time", past=5, steps=windows.future_steps_column(model, F.col("fh")),
         max_steps=3, normalise=[])
@@ -289,11 +327,25 @@ def _model_steps(d, model: str):
     return rounded(longs(out, "start", "rows", "steps"), "y_sum", "held")
 
 
-@query("win_gfs", _model_steps_sql("GFS", "CAST(floor(fh / 3) AS BIGINT)"), ("forecasts",))
+_GFS, _NAM = "CAST(floor(fh / 3) AS BIGINT)", "CAST(floor((fh + 2) / 3) AS BIGINT)"
+
+
+@query("win_gfs", _model_steps_sql(_GFS, " WHERE fh IN (3, 6)"), ("forecasts",))
 def win_gfs(d):
-    return _model_steps(d, "GFS")
+    return _model_steps(d.forecasts().where(F.col("fh").isin(3, 6)), "GFS")
 
 
-@query("win_nam", _model_steps_sql("NAM", "CAST(floor((fh + 2) / 3) AS BIGINT)"), ("forecasts",))
+@query("win_nam", _model_steps_sql(_NAM, " WHERE fh IN (3, 6)"), ("forecasts",))
 def win_nam(d):
-    return _model_steps(d, "NAM")
+    return _model_steps(d.forecasts().where(F.col("fh").isin(3, 6)), "NAM")
+
+
+@query("win_gfs_all_leads", _model_steps_sql(_GFS), ("forecasts",))
+def win_gfs_all_leads(d):
+    """Leads before the first output of the model have no future rows."""
+    return _model_steps(d.forecasts(), "GFS")
+
+
+@query("win_nam_all_leads", _model_steps_sql(_NAM), ("forecasts",))
+def win_nam_all_leads(d):
+    return _model_steps(d.forecasts(), "NAM")
