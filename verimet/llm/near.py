@@ -1,10 +1,10 @@
 """Near-duplicates by a multi-index join of MinHash signatures under a Hamming threshold.
 
 A document's 64 MinHash values, 16 bits of each, make its signature.  Texts with similarity
-s differ in about 64 * (1 - s) places.  Signatures are split into 13 chunks: of two that differ in at
-most 25 places, some chunk differs in at most one.  Each chunk is indexed once with
-each of its places left out (64 keys a signature), so such pairs always share a
-key.  Every link is confirmed on the full shingle sets.
+s differ in about 64 * (1 - s) places.  Signatures are split into chunks, 13 for a similarity of
+0.85 and 16 for 0.8: of two that differ in at most 25 or 31 places, some chunk differs in at
+most one.  Each chunk is indexed once with each of its places left out (64 keys a
+signature), so such pairs always share a key.  Every link is confirmed on the full shingle sets.
 
 Copies of a set are folded to one representative first.  Each representative is first
 compared with one other, the smallest member of the keys it shares most often (a star, not all
@@ -15,6 +15,8 @@ components, in the first key they share, and gives back links alone, never pairs
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +26,8 @@ from verimet.llm.common import SOLID, Words, annotate, mix, stored
 
 SHINGLE = 5
 PLACES = 64
-CHUNKS = 13
-RADIUS = 24
+#: (least percent, chunks, radius), the tightest first.
+INDEXES = ((85, 13, 24), (80, 16, 31))
 #: Members that are compared within one task; larger keys are cut into blocks.
 TOGETHER = 2048
 #: Ids whose broadcast is bounded by some tens of megabytes.
@@ -35,11 +37,28 @@ _rng = np.random.default_rng(6)
 FACTORS = _rng.integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _rng.integers(0, 1 << 63, PLACES, dtype=np.uint64)
 STEPS = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BORDERS = np.linspace(0, PLACES, CHUNKS + 1).round().astype(int)
 SIGNED = [("__n", "long"), ("__h1", "long"), ("__h2", "long"), ("__sig", "array<smallint>")]
 SETS = [("__set", "array<long>")]
 SHORT_SETS = [("__set", "array<int>")]
-CHUNK_OF = np.repeat(np.arange(CHUNKS), np.diff(BORDERS))
+
+
+class Index(NamedTuple):
+    """Borders of the chunks, and the differing places up to which pairs are looked at."""
+
+    borders: np.ndarray
+    radius: int
+
+    @property
+    def chunk_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.borders) - 1), np.diff(self.borders))
+
+
+def index_for(percent: int) -> Index:
+    """The index whose radius covers a similarity of `percent`."""
+    for least, chunks, radius in INDEXES:
+        if percent >= least:
+            return Index(np.linspace(0, PLACES, chunks + 1).round().astype(int), radius)
+    raise ValueError(f"percent is {percent}, but the index covers {INDEXES[-1][0]} and more")
 
 
 def shingles(texts: pa.Array) -> list[np.ndarray]:
@@ -99,16 +118,17 @@ def short_sets(texts: pa.Array) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(low))]
 
 
-def index_keys(reps: DataFrame) -> DataFrame:
+def index_keys(reps: DataFrame, index: Index) -> DataFrame:
     """(key, place, rep): for each chunk and each place in it, a hash of the chunk's other places."""
+    borders, chunk_of = index.borders, index.chunk_of
 
     def run(batches):
         for batch in batches:
             ids, sig = batch.column(0), _matrix(batch.column(1)).astype(np.uint64)
             for left_out in range(PLACES):
                 key = np.full(len(sig), left_out + 1, np.uint64)
-                c = CHUNK_OF[left_out]
-                for p in range(BORDERS[c], BORDERS[c + 1]):
+                c = chunk_of[left_out]
+                for p in range(borders[c], borders[c + 1]):
                     if p != left_out:
                         key = mix(key * FACTORS[p] + sig[:, p])
                 yield pa.RecordBatch.from_arrays(
@@ -117,11 +137,11 @@ def index_keys(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(run, "key long, place smallint, rep long")
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _first_shared(a: np.ndarray, b: np.ndarray, index: Index) -> np.ndarray:
     """For pairs of signatures, the first place without which their chunks agree (they share that key)."""
-    same = a == b
-    agree = np.add.reduceat(same.astype(np.int8), BORDERS[:-1], axis=1)[:, CHUNK_OF] - same
-    return (agree == np.diff(BORDERS)[CHUNK_OF] - 1).argmax(axis=1)
+    same, chunk_of = a == b, index.chunk_of
+    agree = np.add.reduceat(same.astype(np.int8), index.borders[:-1], axis=1)[:, chunk_of] - same
+    return (agree == np.diff(index.borders)[chunk_of] - 1).argmax(axis=1)
 
 
 def _differing(a, b):
@@ -133,7 +153,7 @@ def _plausible(n1, n2, percent):
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
-def links_in_group(rep, comp, n, place, sig, sets, of, percent: int, radius: int) -> list[tuple[int, int]]:
+def links_in_group(rep, comp, n, place, sig, sets, of, percent: int, index: Index) -> list[tuple[int, int]]:
     """Links (indices) between members of different components of one group, enough to join them.
 
     Signatures rule out most pairs; the others are compared on their sets.  Members that a link has
@@ -149,12 +169,12 @@ def links_in_group(rep, comp, n, place, sig, sets, of, percent: int, radius: int
     step = max(1, (1 << 23) // (len(rep) * PLACES))
     for at in range(0, len(ask), step):
         q = ask[at:at + step]
-        near = (sig[q, None, :] != sig[None, :, :]).sum(axis=2, dtype=np.int16) <= radius
+        near = (sig[q, None, :] != sig[None, :, :]).sum(axis=2, dtype=np.int16) <= index.radius
         near &= code[q, None] != code[None, :]
         near &= np.minimum(n[q, None], n[None, :]) * 100 >= np.maximum(n[q, None], n[None, :]) * percent
         near &= largest[None, :] | (rep[q, None] < rep[None, :])
         row, other = np.nonzero(near)
-        mine = _first_shared(sig[q[row]], sig[other]) == place
+        mine = _first_shared(sig[q[row]], sig[other], index) == place
         row, other = row[mine], other[mine]
         if len(row) and mark is None:
             values, codes = np.unique(sets, return_inverse=True)
@@ -179,14 +199,14 @@ def links_in_group(rep, comp, n, place, sig, sets, of, percent: int, radius: int
     return links
 
 
-def cross_links(rows: DataFrame, percent: int, radius: int) -> DataFrame:
+def cross_links(rows: DataFrame, percent: int, index: Index) -> DataFrame:
     """Links (a, b) between components inside groups; `rows`: group, place, rep, comp, n, sig, set."""
 
     def linked(group: pa.Table):
         rep, comp, n, place = (group.column(k).to_numpy() for k in ("rep", "comp", "n", "place"))
         lists = group.column("set").combine_chunks()
         of = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
-        found = links_in_group(rep, comp, n, place[0], _matrix(group.column("sig")), lists.flatten().to_numpy(), of, percent, radius)
+        found = links_in_group(rep, comp, n, place[0], _matrix(group.column("sig")), lists.flatten().to_numpy(), of, percent, index)
         if not found:
             return None
         pairs = np.sort(np.array([(rep[i], rep[j]) for i, j in found], np.int64), axis=1)
@@ -246,37 +266,39 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("rep", "comp")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of `docs`.
 
     Documents are linked if 100 * common shingles >= percent * shingles of either; `percent`
-    may be 85 or more, as the radius is chosen for it: two texts at 85 differ in more than
-    24 places with a probability of about 1 : 400,000, closer ones far less often.
+    may be 80 or more, as the index is chosen for it: two texts at 85 differ in more than
+    24 places with a probability of about 1 : 400,000, two at 80 in more than 31 with about
+    1 : 12,000,000, closer ones far less often.
 
     Cases: a null text and one without words have no shingles and are linked with nothing; texts of one
     to four words are one shingle; a null doc_id is linked by equal sets alone; rows
     repeating a doc_id are one document; no rows give no rows; further columns are ignored.
     """
+    index = index_for(percent)
     signed = stored(annotate(docs.select("doc_id", "text"), "text", SIGNED, sign, ["doc_id"]), "signed")
     classes = stored(
         signed.where("__n > 0").groupBy("__h1", "__h2", "__n").agg(F.min("doc_id").alias("rep"), F.first("__sig").alias("sig")), "classes")
     reps = classes.where("rep is not null").select("rep", F.col("__n").alias("n"), "sig").dropDuplicates(["rep"])
     reps = stored(reps, "reps")
 
-    shared = index_keys(reps).groupBy("key").agg(
+    shared = index_keys(reps, index).groupBy("key").agg(
         F.min("rep").alias("leader"), F.count("*").alias("m"), F.first("place").alias("place"),
         F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("print"))
     # keys with the same members are one, the first of them
     shared = stored(shared.where("m > 1").groupBy("leader", "m", "print").agg(
         F.min_by("key", "place").alias("key"), F.min("place").alias("place"), F.count("*").alias("times")), "shared")
-    members = stored(index_keys(reps).select("key", "rep").join(shared.drop("print"), "key"), "members")
+    members = stored(index_keys(reps, index).select("key", "rep").join(shared.drop("print"), "key"), "members")
 
     often = members.where("rep <> leader").groupBy("leader", "rep").agg(F.sum("times").alias("times"))
     stars = often.groupBy("rep").agg(F.max_by("leader", F.struct("times", -F.col("leader"))).alias("leader"))
     stars = stars.select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     sig_a, sig_b = (reps.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}")) for k in ("a", "b"))
     stars = stars.join(sig_b, "b").join(sig_a, "a").where(
-        _plausible(F.col("n_a"), F.col("n_b"), percent) & (_differing(F.col("sig_a"), F.col("sig_b")) <= radius)).select("a", "b")
+        _plausible(F.col("n_a"), F.col("n_b"), percent) & (_differing(F.col("sig_a"), F.col("sig_b")) <= index.radius)).select("a", "b")
     edges = stored(confirmed(stored(stars, "stars"), docs, percent), "links")
     labels = components(edges)
 
@@ -293,7 +315,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, radius: int = RADIUS) ->
     rows = rows.withColumn("level", F.explode(F.when(blocks > 1, F.array(level, level + 1)).otherwise(F.array(F.lit(0).cast("long")))))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     group = F.xxhash64("key", "level", F.least(mine, F.col("other")), F.greatest(mine, F.col("other")))
-    more = stored(cross_links(rows.withColumn("group", group), percent, radius), "more")
+    more = stored(cross_links(rows.withColumn("group", group), percent, index), "more")
     if more.limit(1).count():
         labels = components(stored(edges.union(confirmed(more, docs, percent)), "links"))
 
