@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from verimet.llm import near
@@ -39,3 +40,18 @@ def test_near_at_80_on_documents(spark):
 def test_percent_that_no_index_covers(no_docs):
     with pytest.raises(ValueError, match="covers 80"):
         near.near_duplicates(no_docs, 79)
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_pairs_at_the_guaranteed_distance(percent):
+    """Signatures that differ in all the places which the chunks allow, of similar sets."""
+    index = near.index_for(percent)
+    distance = 2 * (len(index.borders) - 1) - 1
+    starts = index.borders[:-1]
+    differing = sorted([*starts, *(starts + 1)])[:distance]
+    sig = np.zeros((2, near.PLACES), np.int16)
+    sig[1, differing] = 1
+    place = near._first_shared(sig[:1], sig[1:], index)[0]
+    rep, n, sets = np.array([1, 2]), np.array([20, 20]), np.tile(np.arange(20), 2)
+    found = near.links_in_group(rep, rep, n, place, sig, sets, np.array([0, 20, 40]), percent, index)
+    assert [sorted(pair) for pair in found] == [[0, 1]]

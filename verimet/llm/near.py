@@ -26,8 +26,8 @@ from verimet.llm.common import SOLID, Words, annotate, mix, stored
 
 SHINGLE = 5
 PLACES = 64
-#: (least percent, chunks, radius), the tightest first.
-INDEXES = ((85, 13, 24), (80, 16, 31))
+#: (least percent, chunks, radius), the tightest first; 2 * chunks - 1 differing places are what the chunks guarantee.
+INDEXES = ((85, 13, 25), (80, 16, 31))
 #: Members that are compared within one task; larger keys are cut into blocks.
 TOGETHER = 2048
 #: Ids whose broadcast is bounded by some tens of megabytes.
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Documents are linked if 100 * common shingles >= percent * shingles of either; `percent`
     may be 80 or more, as the index is chosen for it: two texts at 85 differ in more than
-    24 places with a probability of about 1 : 400,000, two at 80 in more than 31 with about
+    25 places with a probability of about 1 : 1,600,000, two at 80 in more than 31 with about
     1 : 12,000,000, closer ones far less often.
 
     Cases: a null text and one without words have no shingles and are linked with nothing; texts of one
