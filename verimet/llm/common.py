@@ -24,6 +24,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def table_at(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Parquet files below `path`, also when nothing was written there."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written below the shared folder and read again: later passes survive lost executors."""
     spark = df.sparkSession
