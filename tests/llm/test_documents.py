@@ -160,9 +160,12 @@ def test_tokens(spark, docs, no_docs):
     want = brute.token_rows(sorted([r[:2] for r in ROWS], key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), tokenizer)
     assert Counter(tuple(r) for r in tokens.token_summary(spark, folder).collect()) == Counter(want)
     some = tokens.read_tokens(spark, folder, [14])
-    assert "PushedFilters: [EqualTo(doc_id,14)]" in some._jdf.queryExecution().toString() or "In(doc_id" in some._jdf.queryExecution().toString()
+    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", some._jdf.queryExecution().toString())[1]
+    assert set(pushed.split(", ")) == {"IsNotNull(doc_id)", "EqualTo(doc_id,14)"}
     assert [list(r.ids) for r in some.collect()] == [[*tokenizer.encode(ROWS[13][1]).ids, 2]]
-    tokens.write_tokens(no_docs, work_path(spark, "none"), path)
+    nothing = work_path(spark, "none")
+    tokens.write_tokens(no_docs, nothing, path)
+    assert tokens.token_summary(spark, nothing).count() == 0 and tokens.read_tokens(spark, nothing, [1]).count() == 0
 
 
 def test_pieces_equal_whole_texts():

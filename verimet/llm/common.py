@@ -5,15 +5,20 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from verimet.session import work_path
 
 #: ASCII white space that separates words.
 BLANK = r"[\x20\x09-\x0D]"
 
+#: Stands for a null key; how many values a tie has.
+LEAST, TIES = -(1 << 63), 4096
+
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _BITS = (1 << 64) - 1
 _powers: list[np.ndarray] = []
@@ -75,6 +80,26 @@ def annotate(df: DataFrame, text: str, fields: list[tuple[str, str]], step, keep
     return source.mapInArrow(run, schema)
 
 
+def regrouped(batches, column: int, size: int):
+    """Record batches with about `size` bytes in the string column `column`: small ones are joined, large ones cut between rows."""
+    held, total = [], 0
+    for batch in batches:
+        texts = batch.column(column)
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(False).astype(np.int64)
+        ends, at = np.concatenate([[0], np.cumsum(lengths)]), 0
+        while at < len(batch):
+            stop = int(np.searchsorted(ends, ends[at] + size - total, "right")) - 1
+            stop = min(max(stop, at + 1), len(batch))
+            held.append(batch.slice(at, stop - at))
+            total += int(ends[stop] - ends[at])
+            at = stop
+            if total >= size or at < len(batch):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, total = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts behind each other, and the n + 1 byte offsets."""
     if not len(texts):
@@ -87,7 +112,8 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse, n of each."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, 1 << 16)
         up, down = np.full(size, _PRIME, np.uint64), np.full(size, pow(_PRIME, -1, 1 << 64), np.uint64)
@@ -123,7 +149,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        up, down = _power(len(self.low) + 1)
+        up, down = powers(len(self.low) + 1)
         total = np.zeros(len(self.low) + 1, np.uint64)
         np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * up[:len(self.low)], out=total[1:])
         return mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
@@ -139,31 +165,47 @@ SOLID = np.ones(256, bool)
 SOLID[[9, 10, 11, 12, 13, 32]] = False
 
 
-def range_splits(df: DataFrame, key: str, weight: str, target: int, per_split: int = 16, limit: int = 200_000) -> list[int]:
-    """Ascending values of the integer column `key` that cut `df` into ranges of about `target` weight.
+def range_splits(df: DataFrame, key: str, weight: str, target: int, tie: str | None = None) -> list[tuple[int, int]]:
+    """Ascending cuts (key, tie) into ranges of about `target` weight; a range that starts at a cut holds it.
 
-    A pure function of the rows: every 1/m-th key by hash is a possible cut and m follows
-    from the row count, so at most about `limit` keys reach the driver and reruns agree.
+    A pure function of the rows: a range sort of the summed weights gives every key the weight before it, and
+    the key that passes a multiple of `target` starts a new range. A range so holds at most `target` and one key more.
+    Only a key that outweighs `target` alone is cut inside, by the integer column `tie` (0 to TIES - 1) if there is one.
+    One cut for each range reaches the driver. Null keys come first.
     """
-    n, total = df.select(F.count(key), F.sum(weight)).first()
-    ranges = min(max(1, -(-int(total or 0) // target)), limit // per_split)
-    if not n or ranges == 1:
-        return []
-    m = max(1, n // (ranges * per_split))
-    picked = df.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(m)) == 0)).select(F.col(key).cast("long").alias("k")).distinct()
-    cuts = np.sort(np.array([row.k for row in picked.collect()], np.int64))
-    at = np.unique(np.linspace(0, len(cuts), ranges + 1).astype(int)[1:-1])
-    return [int(cuts[i]) for i in at if i < len(cuts)]
-
-
-def range_of(key: str, cuts: list[int]):
-    """Number of the range of `range_splits` that a key falls in; null keys come first."""
+    spark = df.sparkSession
+    narrow = df.select(
+        F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("k"), (F.col(tie).cast("int") if tie else F.lit(0)).alias("t"), F.col(weight).cast("long").alias("w"))
+    of_key = Window.partitionBy("k")
+    units = narrow.groupBy("k", "t").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w")).select(
+        "k", "t", "w", F.sum("w").over(of_key).alias("whole"),
+        F.coalesce(F.sum("w").over(of_key.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("inside"))
+    dealt = stored(units.repartitionByRange("k", "t").withColumn("part", F.spark_partition_id()), "weights")
+    parts = dealt.groupBy("part").agg(F.sum("w").alias("sum"))
+    parts = parts.select("part", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    before = F.coalesce(F.sum("w").over(Window.partitionBy("part").orderBy("k", "t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = dealt.withColumn("before", before).join(F.broadcast(parts), "part").withColumn("before", F.col("before") + F.col("base"))  # a row a partition
+    heavy = F.col("whole") > target
+    place = F.when(heavy, F.col("before")).otherwise(F.col("before") - F.col("inside"))
+    starts = at.select(F.floor(place / target).alias("shard"), F.struct("k", F.when(heavy, F.col("t")).otherwise(0).alias("t")).alias("cut"))
+    rows = starts.groupBy("shard").agg(F.min("cut").alias("cut")).orderBy("shard").collect()
+    return [(r.cut.k, r.cut.t) for r in rows[1:]]
+
+
+def range_of(key: str, cuts: list[tuple[int, int]], tie: str | None = None):
+    """Number of the range of `range_splits` that a row falls in; null keys come first."""
     if not cuts:
         return F.lit(0)
-    limits = np.array(cuts, np.int64)
+    limits, ties = (np.array(c, np.int64) for c in zip(*cuts, strict=True))
 
     @F.pandas_udf("int")
-    def place(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(limits, keys.to_numpy(np.int64), "right").astype(np.int32))
-
-    return place(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long")))
+    def place(keys: pd.Series, within: pd.Series) -> pd.Series:
+        k, t = keys.to_numpy(np.int64), within.to_numpy(np.int64)
+        low, high = np.searchsorted(limits, k, "left"), np.searchsorted(limits, k, "right")
+        for v in np.unique(k[low < high]):  # keys with cuts of their own
+            rows = np.flatnonzero(k == v)
+            a, b = low[rows[0]], high[rows[0]]
+            high[rows] = a + np.searchsorted(ties[a:b], t[rows], "right")
+        return pd.Series(high.astype(np.int32))
+
+    return place(F.coalesce(F.col(key).cast("long"), F.lit(LEAST)), F.col(tie).cast("int") if tie else F.lit(0))

@@ -18,22 +18,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verimet.llm.common import range_of, range_splits, stored
+from verimet.llm.common import TIES, mix, powers, range_of, range_splits, regrouped, stored
 
 END = 2
 FILE = "shard int, doc_id long, at long, ids array<int>"
 BACK = "shard int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
 
-def _splitter() -> re.Pattern:
-    """The splitting rule of the byte-level vocabulary, written out for characters below U+0250 and U+2000 to U+20CF."""
-    known = [chr(c) for c in (*range(0x250), *range(0x2000, 0x20D0))]
-    pick = lambda test: "".join(re.escape(c) for c in known if test(c))
-    letter = pick(lambda c: unicodedata.category(c)[0] == "L")
-    number = pick(lambda c: unicodedata.category(c)[0] == "N")
-    blank = pick(lambda c: c in "\t\n\v\f\r\x85" or unicodedata.category(c) in ("Zs", "Zl", "Zp"))
-    return re.compile(
-        rf"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{blank}{letter}{number}]+|[{blank}]+(?![^{blank}])|[{blank}]+")
+BLANK, LETTER, NUMBER, OTHER, BETWEEN = range(5)
+#: Stands between texts; texts that hold it go to the tokenizer whole.
+GAP = "\uffff"
+
+
+def _kinds() -> np.ndarray:
+    """Kind of every character the splitting rule is written out for: those below U+0250 and U+2000 to U+20CF."""
+    kinds = np.full(0x110000, OTHER, np.uint8)
+    for c in (*range(0x250), *range(0x2000, 0x20D0)):
+        category = unicodedata.category(chr(c))
+        if chr(c) in "\t\n\v\f\r\x85" or category in ("Zs", "Zl", "Zp"):
+            kinds[c] = BLANK
+        elif category[0] in "LN":
+            kinds[c] = LETTER if category[0] == "L" else NUMBER
+    kinds[ord(GAP)] = BETWEEN
+    return kinds
+
+
+class Pieces:
+    """Pieces of many texts by the byte-level vocabulary's rule, found for all characters at once.
+
+    A piece is a run of letters, of numbers or of others, with one space in front if there is one; what is left of
+    a run of blanks is a piece, and its last blank is one of its own if it is no space. An apostrophe that
+    stands alone takes s, t, m, d, re, ve or ll behind it. Piece i of the joined texts is `starts[i]:ends[i]`, text
+    k has pieces `of[k]:of[k + 1]`, and `hashes` tells pieces apart.
+    """
+
+    def __init__(self, texts: list[str], kinds: np.ndarray) -> None:
+        self.joined = GAP.join(texts) + GAP * 4
+        chars = np.frombuffer(self.joined.encode("utf-32-le"), "<u4")
+        kind = kinds[chars]
+        new = np.ones(len(chars), bool)
+        new[1:] = kind[1:] != kind[:-1]
+        run = np.flatnonzero(new)
+        # runs of blanks that something follows: the last one goes with it, or stands alone
+        after = run[1:][(kind[run[:-1]] == BLANK) & (kind[run[1:]] != BETWEEN)]
+        new[after - 1] = True
+        new[after[chars[after - 1] == 32]] = False
+        # contractions
+        single = run[:-1][(np.diff(run) == 1) & (chars[run[:-1]] == 39)]
+        single = single[new[single]]
+        first, second = chars[single + 1], chars[single + 2]
+        short = np.isin(first, [ord(c) for c in "stmd"])
+        long = ~short & np.isin(first.astype(np.int64) << 32 | second, [ord(a) << 32 | ord(b) for a, b in ("re", "ve", "ll")])
+        new[single[short | long] + 1] = False
+        new[single[short] + 2] = True
+        new[single[long] + 3] = True
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(chars))
+        inside = kind[starts] != BETWEEN
+        self.starts, self.ends = starts[inside], ends[inside]
+        gaps = np.flatnonzero(kind == BETWEEN)[:len(texts)]
+        self.of = np.concatenate([[0], np.searchsorted(self.starts, gaps)])
+        up, down = powers(len(chars) + 1)
+        total = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[:len(chars)], out=total[1:])
+        self.hashes = mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
 
 class Encoder:
@@ -44,52 +92,90 @@ class Encoder:
     of an added token such as <|endoftext|>, go to it whole.
     New pieces of a space and letters go to it behind each other: only the first id of such a
     piece stands for a string that begins with a space, so the ids can be told apart.
+    Pieces are known by a 64-bit hash. The ids of all lie in one array; a batch numbers its pieces by dictionary
+    encoding, looks up each different one once, and takes the ids of all by their places in that array.
     """
 
-    def __init__(self, path: str, memory: int = 700_000) -> None:
+    def __init__(self, path: str, memory: int = 1_500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces, self.rare = _splitter(), re.compile("[^\0-\u024f\u2000-\u20cf]")
-        self.known: dict[str, bytes] = {}
+        self.kinds, self.rare = _kinds(), re.compile("[^\0-\u024f\u2000-\u20cf]")
         self.memory = memory
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending hashes, and their numbers
+        self.ids, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("\u0120")
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        words, rest = [], []
-        for p in new:
-            (words if p[0] == " " and p[1:].isalpha() else rest).append(p)
-        return {**(self._learn_words(words) if words else {}), **dict(zip(rest, self._encode(rest), strict=True))}
-
-    def _learn_words(self, plain: list[str]) -> dict[str, bytes]:
-        ids = np.array(self.tokenizer.encode("".join(plain), add_special_tokens=False).ids, "<u4")
-        first = np.flatnonzero(self.opens[ids]).tolist()
-        if len(first) != len(plain):
-            raise ValueError("the vocabulary doesn't keep words apart")
-        data = ids.tobytes()
-        return {p: data[4 * i:4 * j] for p, i, j in zip(plain, first, [*first[1:], len(ids)], strict=True)}
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces: all of them, where those of each piece begin, and how many they are."""
+        is_word = np.array([p[0] == " " and p[1:].isalpha() for p in new])
+        words, rest = ([p for p, w in zip(new, is_word, strict=True) if w == want] for want in (True, False))
+        sizes, ids = np.zeros(len(new), np.int64), [np.zeros(0, "<u4")]
+        if words:
+            ids += self._encode(["".join(words)])
+            first = np.flatnonzero(self.opens[ids[-1]])
+            if len(first) != len(words):
+                raise ValueError("the vocabulary doesn't keep words apart")
+            sizes[is_word] = np.diff(first, append=len(ids[-1]))
+        if rest:
+            found = self._encode(rest)
+            ids += found
+            sizes[~is_word] = [len(f) for f in found]
+        starts = np.zeros(len(new), np.int64)  # words come first
+        for part, base in ((is_word, 0), (~is_word, int(sizes[is_word].sum()))):
+            starts[part] = base + np.cumsum(sizes[part]) - sizes[part]
+        return np.concatenate(ids), starts, sizes
+
+    def _places(self, pieces: Pieces, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the different pieces of a batch (piece `at[i]` has `hashes[i]`), and the arrays they point into.
+
+        Pieces beyond the memory are learnt for this batch alone; the first ones, which hold the frequent ones, stay.
+        """
+        slot = np.searchsorted(self.known, hashes)
+        places = np.full(len(hashes), -1, np.int64)
+        if len(self.known):
+            near = np.minimum(slot, len(self.known) - 1)
+            found = self.known[near] == hashes
+            places[found] = self.place[near[found]]
+        fresh = np.flatnonzero(places < 0)
+        if not len(fresh):
+            return places, self.ids, self.starts, self.sizes
+        lows, highs = pieces.starts[at[fresh]].tolist(), pieces.ends[at[fresh]].tolist()
+        ids, starts, sizes = self._learn([pieces.joined[a:b] for a, b in zip(lows, highs, strict=True)])
+        places[fresh] = len(self.starts) + np.arange(len(fresh))
+        starts = np.concatenate([self.starts, len(self.ids) + starts])
+        sizes, ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        if len(self.known) < self.memory:
+            order = fresh[np.argsort(hashes[fresh])]
+            self.known, self.place = np.insert(self.known, slot[order], hashes[order]), np.insert(self.place, slot[order], places[order])
+            self.ids, self.starts, self.sizes = ids, starts, sizes
+        return places, ids, starts, sizes
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         odd = [i for i, t in enumerate(texts) if self.rare.search(t) or any(a in t for a in self.added)]
-        for i, data in zip(odd, self._encode([texts[i] for i in odd]) if odd else [], strict=True):
-            out[i] = data
-        split = {i: self.pieces.findall(t) for i, t in enumerate(texts) if out[i] is None}
-        known = self.known
-        new = list(set().union(*split.values()).difference(known))
-        full = len(known) >= self.memory
-        for at in range(0, len(new), 20_000):
-            known.update(self._learn(new[at:at + 20_000]))
-        for i, pieces in split.items():
-            out[i] = b"".join(map(known.__getitem__, pieces))
-        for piece in new if full else ():  # the first pieces, which hold the frequent ones, stay
-            del known[piece]
+        for i, ids in zip(odd, self._encode([texts[i] for i in odd]) if odd else [], strict=True):
+            out[i] = ids.tobytes()
+        plain = [i for i in range(len(texts)) if out[i] is None]
+        pieces = Pieces([texts[i] for i in plain], self.kinds)
+        coded = pa.array(pieces.hashes).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        seen = np.maximum.accumulate(codes) if len(codes) else codes
+        first = np.flatnonzero(np.diff(seen, prepend=-1) > 0)  # the dictionary is in order of first use
+        places, ids, starts, sizes = self._places(pieces, coded.dictionary.to_numpy(), first)
+        numbers = places[codes]
+        counts = sizes[numbers]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        taken = ids[np.repeat(starts[numbers] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
+        borders = (4 * ends[pieces.of]).tolist()
+        for i, a, b in zip(plain, borders[:-1], borders[1:], strict=True):
+            out[i] = taken[a:b]
         return out
 
 
@@ -103,47 +189,41 @@ def encoder(path: str) -> Encoder:
     return kept.encoders[path]
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END, shard_bytes: int = 256 << 20, stripe_bytes: int = 16 << 20) -> None:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END, shard_bytes: int = 256 << 20, stripe_bytes: int = 8 << 20) -> None:
     """Write the ids of `docs` (doc_id, text) to ORC files in `folder`, in ascending doc_id order.
 
-    Shard borders follow from the rows; shard k is file k, sorted by doc_id, then text.  `at`
-    counts the ids before a document in its shard.  Texts travel once, ids never.
+    Shard borders follow from the rows; shard k is file k, sorted by doc_id, then text.  A doc_id whose rows
+    outweigh a shard goes on in the next ones, by a hash of the text.  `at` counts the ids before a document in its shard.
+    Texts travel once, ids never.
 
     Cases: null and empty texts have the end id alone; rows with the same doc_id stand behind each other;
     a null doc_id comes first; no rows give no files with rows; further columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = range_splits(rows.select("doc_id", F.octet_length("text").alias("w")), "doc_id", "w", shard_bytes)
-    rows = rows.withColumn("shard", range_of("doc_id", cuts)).repartitionById(len(cuts) + 1, F.col("shard"))
+    rows = rows.withColumn("tie", F.pmod(F.xxhash64("text"), F.lit(TIES)).cast("int"))
+    cuts = range_splits(rows.select("doc_id", "tie", F.octet_length("text").alias("w")), "doc_id", "w", shard_bytes, "tie")
+    rows = rows.withColumn("shard", range_of("doc_id", cuts, "tie")).repartitionById(len(cuts) + 1, F.col("shard"))
     rows = rows.sortWithinPartitions("shard", "doc_id", "text").select("shard", "doc_id", "text")
     tail = np.array([end], "<u4").tobytes()
 
     def encode(batches):
         work, shard, at = encoder(tokenizer), None, 0
-        for batch in batches:
-            start, texts = 0, batch.column(2).to_pylist()
-            while start < len(texts):
-                stop, size = start, 0
-                while stop < len(texts) and (stop == start or size + len(texts[stop]) <= 2 << 20):
-                    size += len(texts[stop])
-                    stop += 1
-                ids = [data + tail for data in work(texts[start:stop])]
-                counts = np.array([len(data) // 4 for data in ids], np.int64)
-                before = []
-                for s, n in zip(batch.column(0).slice(start, stop - start).to_pylist(), counts.tolist(), strict=True):
-                    shard, at = s, at if s == shard else 0
-                    before.append(at)
-                    at += n
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
-                part = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(before, pa.int64()), lists], names=["shard", "doc_id", "at", "ids"])
-                start = stop
+        for batch in regrouped(batches, 2, 4 << 20):
+            ids = [data + tail for data in work(batch.column(2).to_pylist())]
+            counts = np.array([len(data) // 4 for data in ids], np.int64)
+            before = []
+            for s, n in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
+                shard, at = s, at if s == shard else 0
+                before.append(at)
+                at += n
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, pa.int64()), lists], names=["shard", "doc_id", "at", "ids"])
 
     (
         rows.mapInArrow(encode, FILE).write
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true")
-        .option("orc.row.index.stride", "10000").option("orc.stripe.size", str(stripe_bytes)).option("compression", "zstd").orc(folder)
+        .option("orc.row.index.stride", "10000").option("orc.rows.between.memory.checks", "500").option("orc.stripe.size", str(stripe_bytes)).option("compression", "zstd").orc(folder)
     )
 
 

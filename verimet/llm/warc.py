@@ -47,10 +47,10 @@ def described(pages: DataFrame) -> DataFrame:
 def revisits(rows: DataFrame) -> DataFrame:
     """page_id, digest and original of the pages that repeat a payload: the smallest page_id that has it.
 
-    Works on digests alone; the minimum is folded before its shuffle and only digests
-    that occur twice meet the rows.
+    Works on digests alone (`rows` has page_id, digest and size and should be stored); the minimum is folded before
+    its shuffle and only digests that occur twice meet the rows.
     """
-    large = stored(rows.where(F.col("size") >= LEAST_REVISIT).select("page_id", "digest"), "digests")
+    large = rows.where(F.col("size") >= LEAST_REVISIT).select("page_id", "digest")
     first = large.groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n"))
     first = first.where((F.col("n") > 1) & F.col("original").isNotNull()).select("digest", "original")
     return large.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("original"))).select("page_id", "digest", "original").distinct()
@@ -97,14 +97,16 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 1 << 30, file_b
     the smallest page_id is the response; rows repeating that id are responses too; a row without id
     is written first, and as a response if no row with an id has its payload; a null
     url becomes ``urn:page:<id>``; no rows give a manifest without files; further columns are ignored.
+    Rows of one page_id (or without one) that outweigh a shard go on in the next ones, by their digest.
     """
     spark = pages.sparkSession
-    cuts = range_splits(pages.select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).alias("w")), "page_id", "w", shard_bytes)
-    rows = described(pages)
+    rows, tie = described(pages), F.conv(F.substring("digest", 1, 3), 16, 10).cast("int")
+    narrow = stored(rows.select("page_id", "digest", "size"), "digests")
+    cuts = range_splits(narrow.withColumn("tie", tie), "page_id", "size", shard_bytes, "tie")
     # payloads travel once; what makes a page a revisit comes as a narrow row just before it
-    told = revisits(rows).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "original")
+    told = revisits(narrow).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "original")
     rows = rows.select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("original")).unionByName(told)
-    rows = rows.withColumn("shard", range_of("page_id", cuts)).repartitionById(len(cuts) + 1, F.col("shard"))
+    rows = rows.withColumn("tie", tie).withColumn("shard", range_of("page_id", cuts, "tie")).repartitionById(len(cuts) + 1, F.col("shard"))
     rows = rows.sortWithinPartitions("shard", "page_id", "digest", F.col("payload").isNotNull(), "url")
     rows = rows.select("shard", "page_id", "url", "payload", "digest", "original")
 
