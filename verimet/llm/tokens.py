@@ -28,6 +28,9 @@ BACK = "shard int, doc_id long, at long, n_tokens long, ids_crc32 long"
 BLANK, LETTER, NUMBER, OTHER, BETWEEN = range(5)
 #: Stands between texts; texts that hold it go to the tokenizer whole.
 GAP = "\uffff"
+#: Characters that are split at once (about 40 bytes each).
+CHARS = 1 << 20
+SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
 
 def _kinds() -> np.ndarray:
@@ -84,6 +87,15 @@ class Pieces:
         self.hashes = mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
 
+def _parts(text: str) -> list[str]:
+    """A long text cut where a piece begins for certain: before a space between two ASCII letters or digits."""
+    parts, at = [], 0
+    while len(text) - at > 2 * CHARS and (cut := SAFE.search(text, at + CHARS)):
+        parts.append(text[at:cut.start()])
+        at = cut.start()
+    return [*parts, text[at:]]
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit integers.
 
@@ -96,7 +108,7 @@ class Encoder:
     encoding, looks up each different one once, and takes the ids of all by their places in that array.
     """
 
-    def __init__(self, path: str, memory: int = 1_500_000) -> None:
+    def __init__(self, path: str, memory: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -163,7 +175,27 @@ class Encoder:
         for i, ids in zip(odd, self._encode([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = ids.tobytes()
         plain = [i for i in range(len(texts)) if out[i] is None]
-        pieces = Pieces([texts[i] for i in plain], self.kinds)
+        parts = [_parts(texts[i]) for i in plain]
+        flat = [p for of in parts for p in of]
+        ids = self._joined(flat)
+        for i, mine, at in zip(plain, parts, np.cumsum([0, *map(len, parts)]).tolist(), strict=False):
+            out[i] = b"".join(ids[at:at + len(mine)])
+        return out
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that the splitting rule covers, of about CHARS characters at once."""
+        out, at = [], 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= CHARS):
+                size += len(texts[stop])
+                stop += 1
+            out += self._together(texts[at:stop])
+            at = stop
+        return out
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        pieces = Pieces(texts, self.kinds)
         coded = pa.array(pieces.hashes).dictionary_encode()
         codes = coded.indices.to_numpy()
         seen = np.maximum.accumulate(codes) if len(codes) else codes
@@ -174,9 +206,7 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(counts)])
         taken = ids[np.repeat(starts[numbers] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
         borders = (4 * ends[pieces.of]).tolist()
-        for i, a, b in zip(plain, borders[:-1], borders[1:], strict=True):
-            out[i] = taken[a:b]
-        return out
+        return [taken[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
 
 
 def encoder(path: str) -> Encoder:
@@ -208,7 +238,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END, s
 
     def encode(batches):
         work, shard, at = encoder(tokenizer), None, 0
-        for batch in regrouped(batches, 2, 4 << 20):
+        for batch in regrouped(batches, 2, 1 << 20):
             ids = [data + tail for data in work(batch.column(2).to_pylist())]
             counts = np.array([len(data) // 4 for data in ids], np.int64)
             before = []
