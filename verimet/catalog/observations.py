@@ -55,7 +55,7 @@ SELECT station, time_bucket(INTERVAL {h} HOUR, time_5M, TIMESTAMP '2024-01-01')
 FROM steps GROUP BY 1, 2"""
 
 
-def _table_sql(h: int) -> str:
+def table_sql(h: int) -> str:
     on = f"minute(time_5M) = 0 AND hour(time_5M) % {h} = 0"
 
     def first(c: str) -> str:
@@ -69,12 +69,12 @@ def _table(d, hours):
     return rounded(t, "tair", "relh", "wspd_sonic", "wspd_sonic_mean")
 
 
-@query("rs_table_1h", _table_sql(1), ("gauge",))
+@query("rs_table_1h", table_sql(1), ("gauge",))
 def rs_table_1h(d):
     return _table(d, 1)
 
 
-@query("rs_table_3h", _table_sql(3), ("gauge",))
+@query("rs_table_3h", table_sql(3), ("gauge",))
 def rs_table_3h(d):
     return _table(d, 3)
 
@@ -88,7 +88,8 @@ def rs_right_label(d):
     return rounded(resample.resample_right_label(d.raw_obs(), ["tair"], "max", 3), "tair")
 
 
-_AIR = """
+AIRPORT_VALUES = ("tair", "wspd_sonic", "wspd_sonic_mean", "wmax_sonic", "precip_total")
+AIR_SQL = """
 metric AS (SELECT station, seen_at AS valid_time, event_id,
    CASE WHEN event_type <> 'click' THEN (value - 32.0) * 5.0 / 9.0 END AS tair,
    CASE WHEN event_type <> 'error' THEN value / 10 * 0.514444 END AS wspd_sonic,
@@ -103,7 +104,7 @@ b AS (SELECT station, CASE WHEN date_trunc('hour', valid_time) = valid_time THEN
 s AS (SELECT station, unnest(generate_series(min(vt), max(vt), INTERVAL 1 HOUR)) AS vt FROM b GROUP BY station)"""
 
 
-def _airport_raw(d):
+def airport_raw(d):
     kind = F.col("event_type")
     return d.reports().select(
         "station",
@@ -116,23 +117,22 @@ def _airport_raw(d):
     )
 
 
-@query("rs_right_closed", f"""WITH {_AIR}
-SELECT s.station, s.vt AS valid_time, {R_list('tair', 'wspd_sonic', 'wspd_sonic_mean', 'wmax_sonic', 'precip_total')}
+@query("rs_right_closed", f"""WITH {AIR_SQL}
+SELECT s.station, s.vt AS valid_time, {R_list(*AIRPORT_VALUES)}
 FROM s LEFT JOIN b USING (station, vt)""", ("reports",))
 def rs_right_closed(d):
-    hourly = resample.airport_hours(resample.airport_units(_airport_raw(d)), ["_tie_event"])
-    cols = ["tair", "wspd_sonic", "wspd_sonic_mean", "wmax_sonic", "precip_total"]
-    return rounded(hourly.select("station", "valid_time", *cols), *cols)
+    hourly = resample.airport_hours(resample.airport_units(airport_raw(d)), ["_tie_event"])
+    return rounded(hourly.select("station", "valid_time", *AIRPORT_VALUES), *AIRPORT_VALUES)
 
 
-@query("airport_job", f"""WITH {_AIR}
+@query("airport_job", f"""WITH {AIR_SQL}
 SELECT s.station, s.vt AS valid_time, st.lat, st.lon, st.elev,
        coalesce({R('tair')}, -999.0) AS tair, -999.0::DOUBLE AS ta9m, -999.0::DOUBLE AS td, coalesce({R('wspd_sonic')}, -999.0) AS wspd_sonic,
        coalesce({R('wspd_sonic_mean')}, -999.0) AS wspd_sonic_mean, coalesce({R('wmax_sonic')}, -999.0) AS wmax_sonic,
        coalesce({R('precip_total')}, 0.0) AS precip_total
 FROM s LEFT JOIN b USING (station, vt) JOIN stations st ON st.station = s.station""", ("stations", "reports"))
 def airport_job(d):
-    table = resample.airport_table(_airport_raw(d), d.stations(), ["_tie_event"])
+    table = resample.airport_table(airport_raw(d), d.stations(), ["_tie_event"])
     keep = ["lat", "lon", "elev", "tair", "ta9m", "td", "wspd_sonic", "wspd_sonic_mean", "wmax_sonic", "precip_total"]
     return rounded(table.select("station", "valid_time", *keep), *[c for c in keep if c not in ("lat", "lon", "elev", "ta9m", "td")])
 

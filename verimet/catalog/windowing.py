@@ -28,8 +28,17 @@ def _windows(d, **options):
     )
 
 
+def all_windows(d):
+    """Windows of the errors of temperature and wind, with the variable as a key."""
+    rows = features.align(d.forecasts(), d.hourly(), "left")
+    errors = F.array(*[F.struct(F.lit(n).alias("metvar"), e.alias("target_error")) for n, e in (
+        ("t2m", F.col("t2m") - F.col("tair")), ("u_total", F.col("u_total") - F.col("wspd_sonic_mean")))])
+    series = rows.select("station", "fh", "valid_time", "t2m", F.explode(errors).alias("v")).select("station", "fh", "valid_time", "t2m", "v.*")
+    return windows.build_windows(series, ["station", "metvar", "fh"], ["t2m"], past=PAST, steps=F.col("fh"), max_steps=6, normalise=["t2m"])
+
+
 # The SQL form follows the definition literally: append zero rows, take frames, fill nulls with the mean.
-_WINDOWS = f"""
+WINDOWS_SQL = f"""
 series AS (SELECT f.station, f.fh, f.valid_time, t2m, u_total, h.n / 10.0 AS lat_c, tair, t2m - tair AS e
            FROM forecasts f LEFT JOIN hourly h ON f.station = h.station AND f.valid_time = h.valid_time),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY station, fh ORDER BY valid_time) - 1 AS pos FROM series),
@@ -69,7 +78,7 @@ def _sum(c: str, hi: str) -> str:
     return f"coalesce(list_sum([{_z(c, 'i')} FOR i IN range(1, {hi} + 1)]), 0)"
 
 
-_ARRAYS = f"""WITH {_WINDOWS}
+_ARRAYS = f"""WITH {WINDOWS_SQL}
 SELECT station, fh, valid_time, start, w[{PAST}].vt AS init_time, {PAST} + fh AS rows,
        {R(_sum('t2m', f'{PAST} + fh'), 4)} AS t2m_sum,
        {R(_sum('tair', str(PAST)) + f" + fh * coalesce({_z('tair', PAST)}, 0)", 4)} AS tair_sum,
@@ -84,7 +93,7 @@ def win_arrays(d):
     return _checks(_windows(d))
 
 
-@query("win_persist", f"""WITH {_WINDOWS}
+@query("win_persist", f"""WITH {WINDOWS_SQL}
 SELECT station, fh, start, {R(_z('tair', PAST), 5)} AS first_future, {R(_z('tair', PAST), 5)} AS last_future FROM win""", ("forecasts", "hourly"))
 def win_persist(d):
     x = F.col("x")
@@ -93,7 +102,7 @@ def win_persist(d):
         r(F.element_at(x, -1)["tair"], 5).alias("last_future"))
 
 
-@query("win_persist_last_valid", f"""WITH {_WINDOWS}
+@query("win_persist_last_valid", f"""WITH {WINDOWS_SQL}
 SELECT station, fh, start,
        {R(f"(list_filter([s.tair FOR s IN w[1:{PAST}]], lambda v: v IS NOT NULL)[-1] - m_tair) / d_tair", 5)} AS held
 FROM win WHERE start + {PAST} <= (SELECT n FROM tails t WHERE t.station = win.station AND t.fh = win.fh)""", ("forecasts", "hourly"))
@@ -102,7 +111,7 @@ def win_persist_last_valid(d):
     return rows.select("station", "fh", F.col("start").cast("long").alias("start"), r(F.col("x")[PAST]["tair"], 5).alias("held"))
 
 
-@query("win_targets", f"""WITH {_WINDOWS}
+@query("win_targets", f"""WITH {WINDOWS_SQL}
 SELECT station, fh, start, {R(f'w[{PAST + 1}].e')} AS first_y, {R(f'w[{PAST} + fh].e')} AS last_y,
        CAST(w[{PAST + 1}].ns AS BIGINT) AS first_t, CAST(w[{PAST} + fh].ns AS BIGINT) AS last_t FROM win""", ("forecasts", "hourly"))
 def win_targets(d):
@@ -198,16 +207,16 @@ def _cell_models(d):
         "station", "fh", F.array(F.lit(0.5), F.col("fh") / 10.0, F.lit(-0.25), F.lit(0.125), F.lit(1.5)).alias("params"))
 
 
-def _mean(c: str) -> str:
+def mean_sql(c: str) -> str:
     cell = f"w[i].{c}" if c == "lat_c" else _z(c, "i")
     if c == "tair":
         return f"((coalesce(list_sum([coalesce({cell}, 0) FOR i IN range(1, {PAST} + 1)]), 0) + fh * coalesce({_z(c, PAST)}, 0)) / ({PAST} + fh))"
     return f"(list_sum([coalesce({cell}, 0) FOR i IN range(1, {PAST} + fh + 1)]) / ({PAST} + fh))"
 
 
-_SCORED = f"""WITH {_WINDOWS}
+_SCORED = f"""WITH {WINDOWS_SQL}
 SELECT station, fh, start, w[{PAST}].vt AS init_time,
-       {R(f"0.5 + fh / 10.0 * {_mean('t2m')} - 0.25 * {_mean('u_total')} + 0.125 * {_mean('lat_c')} + 1.5 * {_mean('tair')}", 4)} AS model_output
+       {R(f"0.5 + fh / 10.0 * {mean_sql('t2m')} - 0.25 * {mean_sql('u_total')} + 0.125 * {mean_sql('lat_c')} + 1.5 * {mean_sql('tair')}", 4)} AS model_output
 FROM win"""
 
 
@@ -232,7 +241,7 @@ def score_windows_all_leads(d):
 
 
 def _uncertain_sql(leads: str) -> str:
-    return f"""WITH {_WINDOWS},
+    return f"""WITH {WINDOWS_SQL},
 steps AS (SELECT station, fh, start, k, coalesce({_z('t2m', f'{PAST} + k')}, 0) AS a, coalesce({_z('u_total', f'{PAST} + k')}, 0) AS b
           FROM win, (SELECT unnest(range(1, 7)) AS k) g WHERE k <= fh{leads}),
 members AS (SELECT *, a * 0.5 + b * fh / 10.0 AS g1, a * 0.75 - b AS g2 FROM steps)
@@ -266,7 +275,7 @@ def score_uncertain_all_leads(d):
     return _score_uncertain(d, F.lit(True))
 
 
-_CELLS = f"""WITH {_WINDOWS}
+_CELLS = f"""WITH {WINDOWS_SQL}
 SELECT station, fh, start, i AS slot, {R(_z('t2m', 'i'), 5)} AS t2m, {R(_z('u_total', 'i'), 5)} AS u_total, {R('w[i].lat_c', 5)} AS lat_c,
        {R(f"CASE WHEN i <= {PAST} THEN {_z('tair', 'i')} ELSE {_z('tair', PAST)} END", 5)} AS tair
 FROM win, (SELECT unnest(range(1, {PAST} + 7)) AS i) s WHERE i <= {PAST} + fh"""

@@ -1,13 +1,13 @@
 """Nearest neighbours, grid look-ups and grid-to-station interpolation.
 
-No operator pairs everything with everything.  Points are put into cubes of
-the unit sphere; a query looks at its own and the 26 adjacent cubes and is
-final once its k-th candidate is closer than the border of that block.  What is
-still open retries with four times larger cubes.  Queries that are far from all points
-go the other way: from the few largest cubes down, a query keeps only cubes that can hold one
-of its k nearest, judged by the cubes' counts and distances, and meets the points
-of the last ones alone.  Chord length orders pairs exactly like great-circle distance,
-so poles and the date line need no special case.
+No operator pairs everything with everything.  Points and queries are put into cell trees along
+a curve through cubes of the unit sphere; a cell holds its count and the box around its
+points, and is split in four per axis while it holds more than LEAF points.  The search starts with the
+pair of the two roots.  In each round both cells of a pair are replaced by their children, and a
+query cell keeps only point cells that can hold one of its k nearest, judged by the counts and
+the least and greatest distances of the boxes.  Dense and empty regions, near and far queries need
+as many rounds as their own cells are deep.  Chord length orders pairs exactly like great-circle
+distance, so poles and the date line need no special case.
 """
 
 from __future__ import annotations
@@ -19,16 +19,17 @@ from verimet.functions.geo import EARTH_RADIUS_KM, chord_to_km, coordinate_key,
 from verimet.operators.filters import land_only
 from verimet.session import shared_dir, stored
 
-# Cube edges on the unit sphere: about 6 m, times four each.
-LEVELS = [2.0**-e for e in range(20, -1, -2)]
-# Beyond this edge (100 km) a query looks from above; the sphere has at most 512 cubes of the top edge.
-LARGEST_BLOCK = 2.0**-6
-TOP = 2.0**-2
-CUBE_TARGET = 32
+# Splits in four per axis: the smallest cubes have an edge of about 12 m.
+DEPTH = 10
+# Cells with more points are split.  Only at the last level a cell may hold more: all positions within 12 m.
+LEAF = 16
 POSITION_SCALE = 1_000_000
 # Chords closer than this (about 6 mm on the ground) count as equal; the id decides.
 TIE_SCALE = 1e9
 
+# Slack of the pruning on the chord, so that ties by the scale above survive.
+SLACK = 2.0 / TIE_SCALE
+
 _AXES = ("x", "y", "z")
 
 
@@ -36,76 +37,74 @@ def _on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
     return df.withColumns(dict(zip(_AXES, unit_sphere(F.col(lat), F.col(lon)))))
 
 
-def _cell(axis: str, edge: float) -> Column:
-    return F.floor((F.col(axis) + 1.0) / edge).cast("long")
+def tie_key(chord: Column) -> Column:
+    return F.floor(chord * TIE_SCALE)
 
 
-def _start_level(points: DataFrame) -> int:
-    """Coarsest level whose fullest cube still holds few points (one aggregate row comes back)."""
-    per_level = F.array(
-        *[F.struct(F.lit(i).alias("level"), *[_cell(a, e).alias(f"c{a}") for a in _AXES]) for i, e in enumerate(LEVELS)]
-    )
-    counts = points.select(F.explode(per_level).alias("c")).groupBy("c").count()
-    fullest = counts.groupBy("c.level").agg(F.max("count").alias("most"))
-    row = fullest.agg(F.max(F.when(F.col("most") <= CUBE_TARGET, F.col("level")))).first()
-    return int(row[0] or 0)
+def _cell(level: int) -> Column:
+    """Id of the cube at `level`: a leading one, then six bits a level, so the parent's id is that without the last six."""
+    found = F.lit(1).cast("long")
+    for depth in range(level):
+        digits = [F.shiftright(F.least(F.floor((F.col(a) + 1.0) * 4.0**DEPTH / 2.0), F.lit(4**DEPTH - 1)).cast("long"), 2 * (DEPTH - 1 - depth)) % 4 for a in _AXES]
+        found = found * 64 + digits[0] * 16 + digits[1] * 4 + digits[2]
+    return found
 
 
-def tie_key(chord: Column) -> Column:
-    return F.floor(chord * TIE_SCALE)
+def _with_code(df: DataFrame) -> DataFrame:
+    return df.withColumn("code", _cell(DEPTH))
 
 
-def _candidates(queries: DataFrame, points: DataFrame, edge: float, k: int) -> DataFrame:
-    """Best k ids of each query among its own and the adjacent cubes of this size."""
-    steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    own = {f"c{a}": _cell(a, edge) for a in _AXES}
-    gaps = [
-        g
-        for a in _AXES
-        for g in (F.col(a) + 1.0 - (F.col(f"c{a}") - 1) * edge, (F.col(f"c{a}") + 2) * edge - F.col(a) - 1.0)
-    ]
-    probes = queries.withColumns(own).withColumn("border", F.least(*gaps))
-    for a in _AXES:
-        probes = probes.withColumn("step", F.explode(steps)).withColumn(f"c{a}", F.col(f"c{a}") + F.col("step"))
-    targets = points.withColumns(own).withColumnsRenamed({a: f"p{a}" for a in _AXES})
-    chord = F.sqrt(sum((F.pow(F.col(a) - F.col(f"p{a}"), 2.0) for a in _AXES), F.lit(0.0)))
-    pairs = (
-        probes.join(targets, [f"c{a}" for a in _AXES])
-        .select("qid", "border", chord.alias("chord"), F.explode("ids").alias("pid"))
+def _levels(levels: list[int]) -> Column:
+    """Ids of a point's cells at some levels, from its smallest one."""
+    return F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright("code", 6 * (DEPTH - i)).alias("id")) for i in levels])
+
+
+def cell_tree(coded: DataFrame) -> DataFrame:
+    """Cells with points: id, up (the parent's id), level, held, leaf, box.  One row per cell whose parent had to be split."""
+    sides = [f(a).alias(f"{a}{i}") for a in _AXES for i, f in enumerate((F.min, F.max))]
+    cells = (
+        coded.select(*_AXES, F.explode(_levels(list(range(DEPTH + 1)))).alias("c"))
+        .groupBy("c.level", "c.id").agg(F.count(F.lit(1)).alias("held"), *sides)
+        .select("level", "id", F.shiftright("id", 6).alias("up"), "held", F.struct(*[f"{a}{i}" for a in _AXES for i in (0, 1)]).alias("box"))
+        .checkpoint()
     )
-    nearest_first = Window.partitionBy("qid").orderBy(tie_key(F.col("chord")), "pid")
-    return pairs.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
-
-
-def _descend(queries: DataFrame, points: DataFrame, finest: float, k: int) -> DataFrame:
-    """k nearest ids of queries that may be far from every point, from the largest cubes down."""
-    edge, cell = TOP, [f"c{a}" for a in _AXES]
-    own = {c: _cell(a, edge) for c, a in zip(cell, _AXES)}
-    cubes = points.withColumns(own).groupBy(*cell).agg(F.count(F.lit(1)).alias("held"))
-    # The same key on both sides: at most 512 rows stand for all points.
-    kept = queries.withColumn("_all", F.lit(0)).join(F.broadcast(cubes.withColumn("_all", F.lit(0))), "_all").drop("_all")
-    while True:
-        low = {a: F.col(c) * edge - 1.0 for a, c in zip(_AXES, cell)}
-        gap = [F.greatest(low[a] - F.col(a), F.col(a) - low[a] - edge, F.lit(0.0)) for a in _AXES]
-        far = [F.greatest(F.abs(F.col(a) - low[a]), F.abs(F.col(a) - low[a] - edge)) for a in _AXES]
-        kept = kept.withColumns({"_near": sum((g * g for g in gap), F.lit(0.0)), "_far": sum((f * f for f in far), F.lit(0.0))})
-        nearest_first = Window.partitionBy("qid").orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)
-        enough = F.when(F.sum("held").over(nearest_first) >= k, F.col("_far"))
-        bound = F.coalesce(F.min("_bound").over(Window.partitionBy("qid")), F.lit(float("inf")))
-        kept = kept.withColumn("_bound", enough).withColumn("_bound", bound).where(F.col("_near") <= F.col("_bound") * (1 + 1e-9) + 1e-18)
-        kept = kept.select("qid", *_AXES, *cell)
-        if edge <= finest:
-            break
-        child = edge / 4
-        inner = points.withColumns({f"n{a}": _cell(a, child) for a in _AXES}).groupBy(*[f"n{a}" for a in _AXES]).agg(F.count(F.lit(1)).alias("held"))
-        inner = inner.withColumns({c: F.floor(F.col(f"n{a}") / 4).cast("long") for c, a in zip(cell, _AXES)})
-        kept = kept.join(inner, cell).select("qid", *_AXES, *[F.col(f"n{a}").alias(c) for c, a in zip(cell, _AXES)], "held")
-        edge = child
-    targets = points.withColumns({c: _cell(a, edge) for c, a in zip(cell, _AXES)}).withColumnsRenamed({a: f"p{a}" for a in _AXES})
-    chord = F.sqrt(sum((F.pow(F.col(a) - F.col(f"p{a}"), 2.0) for a in _AXES), F.lit(0.0)))
-    pairs = kept.join(targets, cell).select("qid", chord.alias("chord"), F.explode("ids").alias("pid"))
-    by_distance = Window.partitionBy("qid").orderBy(tie_key(F.col("chord")), "pid")
-    return pairs.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
+    split = cells.where(F.col("held") > LEAF).select(F.col("id").alias("up"))
+    kept = cells.where(F.col("level") == 0).unionByName(cells.where(F.col("level") > 0).join(split, "up", "left_semi"))
+    return kept.withColumn("leaf", (F.col("held") <= LEAF) | (F.col("level") == DEPTH)).checkpoint()
+
+
+def _below(tree: DataFrame, level: int, side: str) -> DataFrame:
+    """Cells of the next round by the cell of this one; leaves stay."""
+    deeper = F.col("level") == level + 1
+    return tree.where(deeper | (F.col("leaf") & (F.col("level") <= level))).select(
+        F.when(deeper, F.col("up")).otherwise(F.col("id")).alias(side), F.col("id").alias("child"), F.col("box").alias("child_box"), F.col("held").alias("child_held"))
+
+
+def _gaps(low: tuple[Column, Column], other: Column, axis: str) -> tuple[Column, Column]:
+    """Least and greatest distance of an interval to a box along one axis."""
+    a, b = low
+    c, d = other[f"{axis}0"], other[f"{axis}1"]
+    return F.greatest(c - b, a - d, F.lit(0.0)), F.greatest(F.abs(d - a), F.abs(b - c))
+
+
+def _pruned(pairs: DataFrame, by: str, sides: dict[str, tuple[Column, Column]], k: int) -> DataFrame:
+    """Pairs whose point cell can hold one of the k nearest of `by`; `bound` is a distance that k points don't exceed."""
+    gaps = [_gaps(sides[a], F.col("pbox"), a) for a in _AXES]
+    near, far = (F.sqrt(sum((g[i] * g[i] for g in gaps), F.lit(0.0))) for i in (0, 1))
+    all_of = Window.partitionBy(by)
+    nearest_first = all_of.orderBy("far").rowsBetween(Window.unboundedPreceding, 0)
+    pairs = pairs.withColumns({"near": near, "far": far}).where(F.col("near") <= F.col("bound") + SLACK)
+    pairs = pairs.withColumn("enough", F.when(F.sum("held").over(nearest_first) >= k, F.col("far")))
+    pairs = pairs.withColumn("bound", F.least("bound", F.coalesce(F.min("enough").over(all_of), F.lit(float("inf")))))
+    return pairs.where(F.col("near") <= F.col("bound") + SLACK).drop("near", "far", "enough")
+
+
+def _leaf_of(coded: DataFrame, tree: DataFrame, side: str) -> DataFrame:
+    """Points with the id of their leaf."""
+    leaves = tree.where("leaf")
+    levels = sorted(r.level for r in leaves.select("level").distinct().collect())  # at most DEPTH + 1 numbers
+    return coded.withColumn("c", F.explode(_levels(levels))).withColumn(side, F.col("c.id")).drop("c", "code").join(
+        leaves.select(F.col("id").alias(side)), side)
 
 
 def k_nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
@@ -115,25 +114,29 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     (array of the ids there that can be an answer).
     """
     shared_dir(queries.sparkSession)  # checkpoint() below needs its folder
-    columns = ["qid", "rank", "pid", "chord"]
-    level, waiting, found, open_count = _start_level(points), queries, None, queries.count()
-    finest = LEVELS[level]
-    while level < len(LEVELS) and LEVELS[level] <= LARGEST_BLOCK:
-        ranked = _candidates(waiting, points, LEVELS[level], k)
-        settled = (
-            ranked.groupBy("qid")
-            .agg(F.max("rank").alias("n"), F.max("chord").alias("far"), F.min("border").alias("border"))
-            .where((F.col("n") == k) & (F.col("far") < F.col("border")))
-        )
-        part = ranked.join(settled.select("qid"), "qid", "left_semi").select(*columns).checkpoint()
-        found = part if found is None else found.unionByName(part)
-        open_count -= part.where(F.col("rank") == 1).count()
-        if open_count == 0:
-            return found
-        waiting = waiting.join(part.where(F.col("rank") == 1), "qid", "left_anti").checkpoint()
-        level += 1
-    rest = _descend(waiting, points, finest, k).select(*columns)
-    return rest if found is None else found.unionByName(rest)
+    asked, held = _with_code(queries), _with_code(points)
+    trees = {"q": cell_tree(asked), "p": cell_tree(held)}
+    depth = {s: t.agg(F.max("level")).first()[0] or 0 for s, t in trees.items()}
+    roots = {s: t.where(F.col("level") == 0) for s, t in trees.items()}
+    pairs = roots["q"].select(F.col("id").alias("q"), F.col("box").alias("qbox")).join(
+        roots["p"].select(F.col("id").alias("q"), F.col("id").alias("p"), F.col("box").alias("pbox"), "held"), "q").withColumn("bound", F.lit(float("inf")))
+    boxes = {a: (F.col("qbox")[f"{a}0"], F.col("qbox")[f"{a}1"]) for a in _AXES}
+    for level in range(max(depth.values())):
+        if level < depth["q"]:
+            pairs = pairs.join(_below(trees["q"], level, "q"), "q").drop("q", "qbox", "child_held").withColumnsRenamed({"child": "q", "child_box": "qbox"})
+        if level < depth["p"]:
+            pairs = pairs.join(_below(trees["p"], level, "p"), "p").drop("p", "pbox", "held").withColumnsRenamed(
+                {"child": "p", "child_box": "pbox", "child_held": "held"})
+        pairs = _pruned(pairs, "q", boxes, k)
+        if level % 3 == 2:
+            pairs = pairs.checkpoint()
+    mine = pairs.drop("qbox").join(_leaf_of(asked, trees["q"], "q"), "q").drop("q")
+    mine = _pruned(mine, "qid", {a: (F.col(a), F.col(a)) for a in _AXES}, k).select("qid", "p", *_AXES)
+    targets = _leaf_of(held, trees["p"], "p").withColumnsRenamed({a: f"p{a}" for a in _AXES})
+    chord = F.sqrt(sum((F.pow(F.col(a) - F.col(f"p{a}"), 2.0) for a in _AXES), F.lit(0.0)))
+    found = mine.join(targets, "p").select("qid", chord.alias("chord"), F.explode("ids").alias("pid"))
+    nearest_first = Window.partitionBy("qid").orderBy(tie_key(F.col("chord")), "pid")
+    return found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k).select("qid", "rank", "pid", "chord")
 
 
 def nearest_stations(stations: DataFrame, k: int = 4, radius_km: float = EARTH_RADIUS_KM) -> DataFrame:

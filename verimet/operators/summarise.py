@@ -11,6 +11,7 @@ from verimet.functions.clock import hour_label
 from verimet.functions.values import round_fine_below_one, round_to_multiple
 from verimet.operators.filters import error_within
 from verimet.operators.quantiles import exact_quantiles
+from verimet.session import shared_dir
 
 STATISTICS = {
     "mean": lambda d: F.avg(d),
@@ -56,8 +57,9 @@ def labelled(summary: DataFrame, period: str) -> DataFrame:
 
 def box_statistics(df: DataFrame, period: str, value: str = "difference", limit: float | None = None) -> DataFrame:
     """Quartiles, whiskers (extreme rows within 1.5 IQR) and outlier count per period."""
-    rows = _below(df, F.col(value), limit).select(period_column(period).alias(period), F.col(value).alias("_d"))
-    quart = exact_quantiles(rows, [period], "_d", [0.25, 0.5, 0.75], few_groups=True).select(
+    shared_dir(df.sparkSession)
+    rows = _below(df, F.col(value), limit).select(period_column(period).alias(period), F.col(value).alias("_d")).checkpoint()
+    quart = exact_quantiles(rows, [period], "_d", [0.25, 0.5, 0.75], few_groups=True, cheap=True).select(
         period, "n", *[F.col("quantiles")[i].alias(q) for i, q in enumerate(("q1", "median", "q3"))]
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5
