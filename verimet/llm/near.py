@@ -38,8 +38,9 @@ FACTORS = _rng.integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np
 TERMS = _rng.integers(0, 1 << 63, PLACES, dtype=np.uint64)
 STEPS = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SIGNED = [("__n", "long"), ("__h1", "long"), ("__h2", "long"), ("__sig", "array<smallint>")]
-SETS = [("__set", "array<long>")]
-SHORT_SETS = [("__set", "array<int>")]
+SETS = [*SIGNED[:3], ("__set", "array<long>")]
+NAME = [n for n, _ in SIGNED[:3]]
+SHORT_SETS = [*SIGNED[:3], ("__set", "array<int>")]
 
 
 class Index(NamedTuple):
@@ -88,20 +89,25 @@ def signature(found: np.ndarray) -> np.ndarray:
     return (mix(least) >> np.uint64(48)).astype(np.uint16).view(np.int16)
 
 
-def sign(texts: pa.Array) -> list[pa.Array]:
-    """Set size, two hashes of the whole set, signature."""
-    sets = shingles(texts)
+def _names(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Size and two hashes of each whole set; together they name it."""
     one = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
     two = np.array([mix(s + np.uint64(77)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    return [pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two)]
+
+
+def sign(texts: pa.Array) -> list[pa.Array]:
+    """Name of the set, signature."""
+    sets = shingles(texts)
     places = np.concatenate([signature(s) for s in sets]) if sets else np.zeros(0, np.int16)
     of = np.arange(len(sets) + 1, dtype=np.int32) * PLACES
-    return [pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), pa.ListArray.from_arrays(of, pa.array(places))]
+    return [*_names(sets), pa.ListArray.from_arrays(of, pa.array(places))]
 
 
 def full_sets(texts: pa.Array) -> list[pa.Array]:
     sets = shingles(texts)
     of = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    return [pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))]
+    return [*_names(sets), pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -115,7 +121,7 @@ def short_sets(texts: pa.Array) -> list[pa.Array]:
     sets = shingles(texts)
     of = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     low = np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint32).view(np.int32)
-    return [pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(low))]
+    return [*_names(sets), pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(low))]
 
 
 def index_keys(reps: DataFrame, index: Index) -> DataFrame:
@@ -230,18 +236,20 @@ def cross_links(rows: DataFrame, percent: int, index: Index) -> DataFrame:
     return rows.repartition("group").sortWithinPartitions("group", "rep").mapInArrow(run, "a long, b long").distinct()
 
 
-def _rebuilt(docs: DataFrame, ids: DataFrame, fields, step) -> DataFrame:
-    """Sets of the documents with the given ids (column rep), made from their texts once more."""
-    ids = stored(ids.select(F.col("rep").alias("doc_id")).distinct(), "asked")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = annotate(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "text", fields, step, ["doc_id"])
-    return stored(sets.dropDuplicates(["doc_id"]), "sets")
+def _rebuilt(docs: DataFrame, classes: DataFrame, reps: DataFrame, fields, step) -> DataFrame:
+    """(rep, __set) of the classes in column rep, made once more from the text of a document that has the set."""
+    asked = stored(classes.join(reps.select("rep").distinct(), "rep", "left_semi").select("rep", "doc", *NAME), "asked")
+    ids = asked.select(F.col("doc").alias("__doc")).distinct()
+    ids = F.broadcast(ids) if asked.count() <= BROADCAST_IDS else ids
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
+    sets = annotate(texts, "text", fields, step, []).join(asked.select("rep", *NAME), NAME)
+    return stored(sets.select("rep", "__set").dropDuplicates(["rep"]), "sets")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach the similarity."""
-    sets = _rebuilt(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), SETS, full_sets)
-    first, second = (sets.select(F.col("doc_id").alias(k), F.col("__set").alias(f"set_{k}")) for k in ("a", "b"))
+    sets = _rebuilt(docs, classes, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), SETS, full_sets)
+    first, second = (sets.select(F.col("rep").alias(k), F.col("__set").alias(f"set_{k}")) for k in ("a", "b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     both = pairs.join(second, "b").join(first, "a")
     return both.where(common * 100 >= (F.size("set_a") + F.size("set_b") - common) * percent).select("a", "b")
@@ -275,15 +283,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     1 : 12,000,000, closer ones far less often.
 
     Cases: a null text and one without words have no shingles and are linked with nothing; texts of one
-    to four words are one shingle; a null doc_id is linked by equal sets alone; rows
-    repeating a doc_id are one document; no rows give no rows; further columns are ignored.
+    to four words are one shingle. Sets are linked, not ids: rows with a null doc_id link as others do, but never name a
+    component (one of such rows alone has a null component_id, and all of them are kept); rows that repeat a doc_id with other
+    texts may lie in other components; the order of the rows doesn't matter; no rows give no rows; further columns are ignored.
     """
     index = index_for(percent)
     signed = stored(annotate(docs.select("doc_id", "text"), "text", SIGNED, sign, ["doc_id"]), "signed")
     classes = stored(
-        signed.where("__n > 0").groupBy("__h1", "__h2", "__n").agg(F.min("doc_id").alias("rep"), F.first("__sig").alias("sig")), "classes")
-    reps = classes.where("rep is not null").select("rep", F.col("__n").alias("n"), "sig").dropDuplicates(["rep"])
-    reps = stored(reps, "reps")
+        signed.where("__n > 0").groupBy("__h1", "__h2", "__n").agg(F.min("doc_id").alias("doc"), F.first("__sig").alias("sig")).withColumn(
+            "rep", F.monotonically_increasing_id()), "classes")  # a number for each set, fixed once written
+    reps = classes.select("rep", F.col("__n").alias("n"), "sig")
 
     shared = index_keys(reps, index).groupBy("key").agg(
         F.min("rep").alias("leader"), F.count("*").alias("m"), F.first("place").alias("place"),
@@ -299,15 +308,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     sig_a, sig_b = (reps.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}")) for k in ("a", "b"))
     stars = stars.join(sig_b, "b").join(sig_a, "a").where(
         _plausible(F.col("n_a"), F.col("n_b"), percent) & (_differing(F.col("sig_a"), F.col("sig_b")) <= index.radius)).select("a", "b")
-    edges = stored(confirmed(stored(stars, "stars"), docs, percent), "links")
+    edges = stored(confirmed(stored(stars, "stars"), docs, classes, percent), "links")
     labels = components(edges)
 
     placed = members.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     placed = stored(placed.select("key", "place", "m", "rep", "comp"), "placed")
     open_ = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     rows = stored(placed.join(open_, "key"), "open")
-    sets = _rebuilt(docs, rows, SHORT_SETS, short_sets)
-    rows = rows.join(reps.join(sets.select(F.col("doc_id").alias("rep"), F.col("__set").alias("set")), "rep"), "rep")
+    sets = _rebuilt(docs, classes, rows, SHORT_SETS, short_sets)
+    rows = rows.join(reps.join(sets.withColumnRenamed("__set", "set"), "rep"), "rep")
     blocks = F.ceil(F.col("m") / TOGETHER).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     # a key of many members: by size (similar sets differ by one class at most), then by pairs of blocks
@@ -317,12 +326,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     group = F.xxhash64("key", "level", F.least(mine, F.col("other")), F.greatest(mine, F.col("other")))
     more = stored(cross_links(rows.withColumn("group", group), percent, index), "more")
     if more.limit(1).count():
-        labels = components(stored(edges.union(confirmed(more, docs, percent)), "links"))
-
-    named = classes.select("__h1", "__h2", "__n", "rep").join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    out = signed.drop("__sig").join(named.select("__h1", "__h2", "__n", "comp"), ["__h1", "__h2", "__n"], "left")
-    component = F.coalesce("comp", "doc_id")
-    return out.select(
+        labels = components(stored(edges.union(confirmed(more, docs, classes, percent)), "links"))
+
+    linked = labels.join(classes.select("rep", "doc"), "rep")
+    least = linked.groupBy("comp").agg(F.min("doc").alias("least"))
+    named = classes.select("rep", *NAME, "doc").join(linked.select("rep", "comp").join(least, "comp"), "rep", "left")
+    named = named.select(*NAME, F.coalesce("least", "doc").alias("component"))
+    component = F.coalesce("component", "doc_id")
+    return signed.drop("__sig").join(named, NAME, "left").select(
         "doc_id", F.col("__n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
