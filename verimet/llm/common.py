@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -47,13 +49,13 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def annotate(df: DataFrame, text: str, fields: list[tuple[str, str]], step, keep: list[str] | None = None, piece: int = 1 << 20) -> DataFrame:
+def annotate(df: DataFrame, text: str, fields: list[tuple[str, str]], step, keep: list[str] | None = None, piece: int = 1 << 20, join: bool = False) -> DataFrame:
     """`df` with new columns that `step(texts)` computes from column `text`, batch by batch.
 
     `step` gets an Arrow string array of about `piece` bytes (null texts as empty) and
     returns one Arrow array per field.  It is made in each task by calling `step()`
     when it is a class, so that tables are built once a task.  Only the columns `keep`
-    (all by default) and the text travel to Python.
+    (all by default) and the text travel to Python.  With `join`, small batches are put together up to `piece`.
     """
     keep = df.columns if keep is None else keep
     source = df.select(*keep, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
@@ -63,7 +65,7 @@ def annotate(df: DataFrame, text: str, fields: list[tuple[str, str]], step, keep
 
     def run(batches):
         work = step() if isinstance(step, type) else step
-        for batch in batches:
+        for batch in regrouped(batches, width, piece) if join else batches:
             at = 0
             texts = batch.column(width)
             if pa.types.is_large_string(texts.type):
@@ -76,10 +78,20 @@ def annotate(df: DataFrame, text: str, fields: list[tuple[str, str]], step, keep
                 made = work(part.column(width))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(width)), *made], names=schema.names)
                 at = stop
+        trim()
 
     return source.mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """Give memory that numpy and Arrow have freed back to the system, so that a worker's next task starts small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def regrouped(batches, column: int, size: int):
     """Record batches with about `size` bytes in the string column `column`: small ones are joined, large ones cut between rows."""
     held, total = [], 0

@@ -1,29 +1,34 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
 Each task cuts its documents into shards of some megabytes and sorts a shard's word
-suffixes.  Every suffix of a benchmark item is searched in every shard by bisection; that
-gives its longest verbatim match and, for its first words, the range of all places.
-Suffixes that start with a pair of words no item contains can't match a test suffix and
-are left out of the array.
+suffixes.  The suffixes of the benchmark items, sorted themselves, are searched in every shard by
+bisection: the neighbours of a suffix share its longest verbatim match, and the first words of a
+window give the range of all its places.  Only what can match is looked at: a shard's suffixes that
+start with two words which follow each other in an item, and the items' suffixes that start with two
+words of the shard; matches of a single word need no array.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verimet.llm.common import ALNUM, Words, annotate
+from verimet.llm.common import ALNUM, Words, annotate, stored
 
 WINDOW = 10
-#: Benchmark characters that one pass holds in memory; larger benchmarks take several passes.
-BLOCK_CHARS = 32_000_000
+#: Benchmark characters that a task holds in memory; larger benchmarks take several passes, one after the other.
+BLOCK_CHARS = 8_000_000
+#: Bytes of training text in one shard.
+SHARD = 2 << 20
 FIELDS = [("__n_words", "long"), ("__spans", "array<struct<start:int,end:int>>"), ("__items", "array<long>"), ("__longest", "long")]
 
 
 class Queries:
-    """Suffixes of the items that hold a whole window, as word numbers (0 ends an item)."""
+    """All suffixes of the items in order, and those that hold a whole window, as word numbers (0 ends an item)."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW) -> None:
         words = Words(pa.array([text for _, text in items], pa.string()), ALNUM)
@@ -46,11 +51,18 @@ class Queries:
         self.deepest = int(words.counts.max(initial=0))
         self.seq = np.concatenate([*seq, np.zeros(self.deepest + 1, np.int64)]).astype(np.int64) if seq else np.zeros(1, np.int64)
         self.starts, self.need, self.item = (np.concatenate(x or empty).astype(np.int64) for x in (starts, need, item))
+        v = self.base = len(self.hashes) + 1
+        self.bits = max(1, int(v).bit_length())
+        # windows by their first pair of words (a single word and 0 for items of one word)
         a, b = self.seq[self.starts], self.seq[self.starts + 1]
-        v = len(self.hashes) + 1
-        self.pairs = np.unique(np.where(self.need > 1, a * v + b, a * v))
+        self.window_pairs = np.where(self.need > 1, a * v + b, a * v)
+        order = np.argsort(self.window_pairs, kind="stable")
+        self.starts, self.need, self.item, self.window_pairs = (x[order] for x in (self.starts, self.need, self.item, self.window_pairs))
         self.singles = bool((self.need == 1).any())
-        self.bits = max(1, int(v).bit_length())
+        # all suffixes in order
+        self.tails = suffix_array(self.seq, np.flatnonzero(self.seq > 0), self.deepest, self.bits)
+        self.tail_pairs = self.seq[self.tails] * v + self.seq[self.tails + 1]
+        self.pairs = np.union1d(self.window_pairs, self.tail_pairs[self.tail_pairs % v > 0])
 
     def number(self, words: Words) -> np.ndarray:
         """Number of each word, 0 if no item has it."""
@@ -144,20 +156,26 @@ def _matches(text, place, docs, words, queries):
     none = np.zeros(len(place), bool), (np.zeros(0, np.int64), np.zeros(0, np.int64)), longest
     if not len(queries.starts) or not n:
         return none
-    v = len(queries.hashes) + 1
+    v = queries.base
     head = place[text[place] > 0]
-    pair = text[head] * v
-    known = _within(queries.pairs, pair + text[head + 1])
+    longest[docs[text[place] > 0]] = 1
+    single = text[head] * v
+    pair = single + text[head + 1]
+    known = _within(queries.pairs, pair)
     if queries.singles:
-        known |= _within(queries.pairs, pair)
+        known |= _within(queries.pairs, single)
     array = suffix_array(text, head[known], queries.deepest, queries.bits)
-    lo = bisect(text, array, queries.seq, queries.starts, queries.need, False)
-    hi = bisect(text, array, queries.seq, queries.starts, queries.need, True)
+    if not len(array):
+        return none
+    seen = np.unique(np.concatenate([pair[known], single[known]]) if queries.singles else pair[known])
+    _longest(text, array, place, docs, queries, seen, longest)
+    asked = _ranges(queries.window_pairs, seen)
+    lo, hi = (bisect(text, array, queries.seq, queries.starts[asked], queries.need[asked], after) for after in (False, True))
     some = np.flatnonzero(hi > lo)
     if not len(some):
         return none
     count = hi[some] - lo[some]
-    query = np.repeat(some, count)
+    query = np.repeat(asked[some], count)
     spot = array[np.repeat(lo[some], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
     need = queries.need[query]
     edge = np.zeros(len(text) + 1, np.int64)
@@ -169,12 +187,35 @@ def _matches(text, place, docs, words, queries):
         text[place[wrong]] = 0
         return _matches(text, place, docs, words, queries)
     doc = docs[np.searchsorted(place, spot)]
-    _, common = _compare(text, spot, queries.seq, queries.starts[query], np.full(len(query), queries.deepest, np.int64))
-    np.maximum.at(longest, doc, common)
     pairs = np.unique(doc * (len(queries.item_ids) + 1) + queries.item[query])
     return hit, (pairs // (len(queries.item_ids) + 1), queries.item_ids[pairs % (len(queries.item_ids) + 1)]), longest
 
 
+def _longest(text, array, place, docs, queries, seen, longest) -> None:
+    """Raise `longest` to the words that a document shares in a row with an item.
+
+    Of all items' suffixes, the two next to a suffix of the shard in common order share most with it.
+    """
+    tails = queries.tails[_ranges(queries.tail_pairs, seen)]
+    if not len(tails):
+        return
+    whole = lambda n: np.full(n, queries.deepest, np.int64)
+    at = bisect(text, array, queries.seq, tails, whole(len(tails)), False)
+    before = np.searchsorted(at, np.arange(len(array)), "right") - 1
+    doc = docs[np.searchsorted(place, array)]
+    for near in (before, before + 1):
+        some = np.flatnonzero((near >= 0) & (near < len(tails)))
+        _, common = _compare(text, array[some], queries.seq, tails[near[some]], whole(len(some)))
+        np.maximum.at(longest, doc[some], common)
+
+
+def _ranges(sorted_values, wanted) -> np.ndarray:
+    """Places in `sorted_values` of all values that are among the sorted `wanted` ones, ascending."""
+    low, high = (np.searchsorted(sorted_values, wanted, side) for side in ("left", "right"))
+    size = high - low
+    return np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def _within(sorted_values, values):
     spot = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
     return sorted_values[spot] == values
@@ -200,10 +241,12 @@ def _items(found, n) -> pa.Array:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Columns `keep` of `docs` with __n_words, __spans, __items and __longest; nothing is shuffled.
+    """Columns `keep` of `docs` with __n_words, __spans, __items and __longest; nothing is shuffled with one block.
 
-    The benchmark is read in blocks of about `block_chars` characters, each of which is
-    broadcast and meets all documents once; usually there is one block.
+    The benchmark is read in blocks of about `block_chars` characters.  Usually there is one: it is broadcast, and the
+    documents pass by it.  With more, the documents are written once with a row number, each block is a pass over
+    their texts of its own, and the results are put together by row number; no task holds two blocks.
+    __longest is the number of words in the longest verbatim match, from one word on.
 
     Cases: null text has no words; an item without words or id has no windows; items that share a
     window are all named; repeated items are named once; documents may repeat; no rows
@@ -213,26 +256,27 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, w
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     keep = docs.columns if keep is None else keep
-    context = docs.sparkSession.sparkContext
-    out, made = docs, []
-    for k in range(blocks):
+
+    def block(k: int):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text")
-        held = context.broadcast([(r.item_id, r.text) for r in part.collect()])
-
-        class Step:
-            def __init__(self, held=held):
-                self.queries = Queries(held.value, window)
-
-            def __call__(self, texts):
-                return search(texts, self.queries)
-
-        text = ["text"] if k + 1 < blocks and "text" not in keep else []
-        out = annotate(out, "text", [(f"{n}{k}", t) for n, t in FIELDS], Step, [*keep, *text, *made], piece=2 << 20)
-        made += [f"{n}{k}" for n, _ in FIELDS]
-    parts = {n: [F.col(f"{n}{k}") for k in range(blocks)] for n, _ in FIELDS}
-    return out.select(
-        *keep, parts["__n_words"][0].alias("__n_words"), F.concat(*parts["__spans"]).alias("__spans"),
-        F.array_distinct(F.concat(*parts["__items"])).alias("__items"), F.array_max(F.array(*parts["__longest"])).alias("__longest"))
+        return docs.sparkSession.sparkContext.broadcast(Queries([(r.item_id, r.text) for r in part.collect()], window))
+
+    def passed(rows: DataFrame, held, columns: list[str]) -> DataFrame:
+        return annotate(rows, "text", FIELDS, lambda texts: search(texts, held.value), columns, piece=SHARD, join=True)
+
+    if blocks == 1:
+        return passed(docs, block(0), keep)
+    text = [] if "text" in keep else ["text"]
+    numbered = stored(docs.select(*keep, *text).withColumn("__row", F.monotonically_increasing_id()), "numbered-docs")
+    found = []
+    for k in range(blocks):
+        held = block(k)
+        found.append(stored(passed(numbered.select("__row", "text"), held, ["__row"]), f"block-{k}"))
+        held.destroy()
+    together = reduce(DataFrame.unionByName, found).groupBy("__row").agg(
+        F.max("__n_words").alias("__n_words"), F.flatten(F.collect_list("__spans")).alias("__spans"),
+        F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"), F.max("__longest").alias("__longest"))
+    return numbered.join(together, "__row").select(*keep, *(n for n, _ in FIELDS))
 
 
 def hit_words(spans):

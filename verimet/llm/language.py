@@ -143,7 +143,9 @@ def _learner(state):
         own = Leader(state.value[0].copy(), state.value[1].copy())
         for row in part.sort_values("at").itertuples():
             own.learn(row.rows, row.vals.astype(float), row.label)
-        return pd.DataFrame({"share": [int(part["slot"].iloc[0]) % SHARES], "z": [own.z.astype("<f8").tobytes()], "n": [own.n.astype("<f8").tobytes()]})
+        touched = np.unique(np.concatenate(part["rows"].to_list())).astype("<i4")
+        return pd.DataFrame({"share": [int(part["slot"].iloc[0]) % SHARES], "rows": [touched.tobytes()],
+                             "z": [own.z[touched].astype("<f8").tobytes()], "n": [own.n[touched].astype("<f8").tobytes()]})
 
     return learn_share
 
@@ -153,7 +155,8 @@ def fit(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL, rounds: int = 3)
 
     Document frequencies count all those rows.  The weights see about `rows_per_label` rows of
     each language, chosen by a hash of the id; in each round the shares of that sample
-    learn one after another inside, side by side outside, and their states are averaged.
+    learn one after another inside, side by side outside, and their states are averaged.  A share sends the
+    rows of the state that it has touched; the driver holds the state and one share at a time.
     """
     spark = docs.sparkSession
     letters()  # made once here, and sent along
@@ -190,11 +193,16 @@ def fit(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL, rounds: int = 3)
     for _ in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
 
-        made = learn.groupBy((F.col("slot") % SHARES).alias("s")).applyInPandas(_learner(state), "share int, z binary, n binary").collect()
+        made = learn.groupBy((F.col("slot") % SHARES).alias("s")).applyInPandas(_learner(state), "share int, rows binary, z binary, n binary")
+        shares, moved = 0, (np.zeros_like(z), np.zeros_like(n))
+        for r in stored(made, "lang-shares").repartitionByRange(SHARES, "share").toLocalIterator():
+            touched = np.frombuffer(r.rows, "<i4")
+            for total, old, new in zip(moved, (z, n), (r.z, r.n), strict=True):
+                total[touched] += np.frombuffer(new, "<f8").reshape(-1, k) - old[touched]
+            shares += 1
         state.unpersist()
-        if made:
-            made.sort(key=lambda r: r.share)
-            z, n = (np.mean([np.frombuffer(r[f], "<f8").reshape(1 << BITS, k) for r in made], axis=0) for f in ("z", "n"))
+        if shares:
+            z, n = z + moved[0] / shares, n + moved[1] / shares
     weights = Leader(z, n).at()
 
     def logits(batches):

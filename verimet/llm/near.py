@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verimet.llm.common import SOLID, Words, annotate, mix, stored
+from verimet.llm.common import SOLID, Words, annotate, mix, stored, trim
 
 SHINGLE = 5
 PLACES = 64
@@ -139,6 +139,7 @@ def index_keys(reps: DataFrame, index: Index) -> DataFrame:
                         key = mix(key * FACTORS[p] + sig[:, p])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array(np.full(len(sig), left_out), pa.int16()), ids], names=["key", "place", "rep"])
+        trim()
 
     return reps.select("rep", "sig").mapInArrow(run, "key long, place smallint, rep long")
 
@@ -231,6 +232,7 @@ def cross_links(rows: DataFrame, percent: int, index: Index) -> DataFrame:
             rest = table.slice(cuts[-1])
         if rest is not None and rest.num_rows and (made := linked(rest)) is not None:
             yield made
+        trim()
 
     rows = rows.select("group", "place", "rep", "comp", "n", "sig", "set")
     return rows.repartition("group").sortWithinPartitions("group", "rep").mapInArrow(run, "a long, b long").distinct()

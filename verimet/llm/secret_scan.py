@@ -82,13 +82,13 @@ class Scanner:
     def __call__(self, texts: pa.Array) -> list[pa.Array]:
         found = self.spans(texts)
         data, bounds = raw(texts)
-        docs = np.array([s[0] for s in found], np.int64)
-        ranges = []
-        for side in (2, 3):  # bytes to code points
-            ranges.append([s[side] - int(np.count_nonzero((data[bounds[s[0]]:bounds[s[0]] + s[side]] & 0xC0) == 0x80)) for s in found])
+        rows = np.array(found, np.int64).reshape(-1, 4)
+        docs = rows[:, 0]
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])  # code points before each byte
+        ranges = [points[bounds[docs] + rows[:, side]] - points[bounds[docs]] for side in (2, 3)]
         of = np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=len(texts)))]) if len(texts) else np.zeros(1)
         values = pa.StructArray.from_arrays(
-            [pa.array([s[1] for s in found], pa.int32()), *(pa.array(r, pa.int32()) for r in ranges)], ["kind", "start", "end"])
+            [pa.array(rows[:, 1], pa.int32()), *(pa.array(r, pa.int32()) for r in ranges)], ["kind", "start", "end"])
         return [pa.ListArray.from_arrays(pa.array(of, pa.int32()), values)]
 
 

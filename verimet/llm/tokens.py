@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verimet.llm.common import TIES, mix, powers, range_of, range_splits, regrouped, stored
+from verimet.llm.common import TIES, mix, powers, range_of, range_splits, regrouped, stored, trim
 
 END = 2
 FILE = "shard int, doc_id long, at long, ids array<int>"
@@ -56,8 +56,7 @@ class Pieces:
     """
 
     def __init__(self, texts: list[str], kinds: np.ndarray) -> None:
-        self.joined = GAP.join(texts) + GAP * 4
-        chars = np.frombuffer(self.joined.encode("utf-32-le"), "<u4")
+        self.chars = chars = np.frombuffer((GAP.join(texts) + GAP * 4).encode("utf-32-le"), "<u4")
         kind = kinds[chars]
         new = np.ones(len(chars), bool)
         new[1:] = kind[1:] != kind[:-1]
@@ -79,6 +78,7 @@ class Pieces:
         ends = np.append(starts[1:], len(chars))
         inside = kind[starts] != BETWEEN
         self.starts, self.ends = starts[inside], ends[inside]
+        self.kind = kind
         gaps = np.flatnonzero(kind == BETWEEN)[:len(texts)]
         self.of = np.concatenate([[0], np.searchsorted(self.starts, gaps)])
         up, down = powers(len(chars) + 1)
@@ -86,6 +86,68 @@ class Pieces:
         np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[:len(chars)], out=total[1:])
         self.hashes = mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
+    def text(self, some: np.ndarray) -> str:
+        """Pieces behind each other."""
+        starts, sizes = self.starts[some], self.ends[some] - self.starts[some]
+        before = np.cumsum(sizes) - sizes
+        return self.chars[np.repeat(starts - before, sizes) + np.arange(sizes.sum())].tobytes().decode("utf-32-le")
+
+    def words(self, some: np.ndarray) -> np.ndarray:
+        """Which pieces are a space and letters."""
+        starts = self.starts[some]
+        return (self.chars[starts] == 32) & (self.kind[starts + 1] == LETTER) & (self.ends[some] - starts > 1)
+
+
+class Known:
+    """Hashes and their numbers, in two sorted tables: a large one, and a small one for what is new."""
+
+    def __init__(self) -> None:
+        self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+
+    def __len__(self) -> int:
+        return sum(len(hashes) for hashes, _ in self.tables)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the hashes, -1 for unknown ones."""
+        numbers = np.full(len(hashes), -1, np.int64)
+        for known, number in self.tables:
+            if len(known):
+                spot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                found = known[spot] == hashes
+                numbers[found] = number[spot[found]]
+        return numbers
+
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        large, small = self.tables
+        order = np.argsort(hashes)
+        small = self._merged(small, (hashes[order], numbers[order]))
+        if len(small[0]) > max(50_000, len(large[0]) // 4):
+            large, small = self._merged(large, small), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.tables = [large, small]
+
+    @staticmethod
+    def _merged(a, b):
+        """Table `a` with the sorted rows of `b`."""
+        at = np.searchsorted(a[0], b[0])
+        return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
+
+
+class Growing:
+    """An array that grows at its end, with room to spare."""
+
+    def __init__(self, kind) -> None:
+        self.room, self.size = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self.room):
+            self.room = np.concatenate([self.room[:self.size], np.zeros(need + need // 2 - self.size, self.room.dtype)])
+        self.room[self.size:need] = values
+        self.size = need
+
+    def cut(self, size: int) -> None:
+        self.size = size
+
 
 def _parts(text: str) -> list[str]:
     """A long text cut where a piece begins for certain: before a space between two ASCII letters or digits."""
@@ -115,8 +177,8 @@ class Encoder:
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.kinds, self.rare = _kinds(), re.compile("[^\0-\u024f\u2000-\u20cf]")
         self.memory = memory
-        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending hashes, and their numbers
-        self.ids, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = Known()
+        self.ids, self.starts, self.sizes = Growing("<u4"), Growing(np.int64), Growing(np.int64)
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("\u0120")
@@ -124,50 +186,38 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of pieces: all of them, where those of each piece begin, and how many they are."""
-        is_word = np.array([p[0] == " " and p[1:].isalpha() for p in new])
-        words, rest = ([p for p, w in zip(new, is_word, strict=True) if w == want] for want in (True, False))
-        sizes, ids = np.zeros(len(new), np.int64), [np.zeros(0, "<u4")]
-        if words:
-            ids += self._encode(["".join(words)])
+    def _learn(self, pieces: Pieces, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The new pieces in another order, the ids of all behind each other, and how many belong to each."""
+        is_word = pieces.words(new)
+        words, rest = new[is_word], new[~is_word]
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        if len(words):
+            ids += self._encode([pieces.text(words)])
             first = np.flatnonzero(self.opens[ids[-1]])
             if len(first) != len(words):
                 raise ValueError("the vocabulary doesn't keep words apart")
-            sizes[is_word] = np.diff(first, append=len(ids[-1]))
-        if rest:
-            found = self._encode(rest)
+            sizes.append(np.diff(first, append=len(ids[-1])))
+        if len(rest):
+            text, ends = pieces.text(rest), np.cumsum(pieces.ends[rest] - pieces.starts[rest]).tolist()
+            found = self._encode([text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
             ids += found
-            sizes[~is_word] = [len(f) for f in found]
-        starts = np.zeros(len(new), np.int64)  # words come first
-        for part, base in ((is_word, 0), (~is_word, int(sizes[is_word].sum()))):
-            starts[part] = base + np.cumsum(sizes[part]) - sizes[part]
-        return np.concatenate(ids), starts, sizes
-
-    def _places(self, pieces: Pieces, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of the different pieces of a batch (piece `at[i]` has `hashes[i]`), and the arrays they point into.
-
-        Pieces beyond the memory are learnt for this batch alone; the first ones, which hold the frequent ones, stay.
-        """
-        slot = np.searchsorted(self.known, hashes)
-        places = np.full(len(hashes), -1, np.int64)
-        if len(self.known):
-            near = np.minimum(slot, len(self.known) - 1)
-            found = self.known[near] == hashes
-            places[found] = self.place[near[found]]
-        fresh = np.flatnonzero(places < 0)
-        if not len(fresh):
-            return places, self.ids, self.starts, self.sizes
-        lows, highs = pieces.starts[at[fresh]].tolist(), pieces.ends[at[fresh]].tolist()
-        ids, starts, sizes = self._learn([pieces.joined[a:b] for a, b in zip(lows, highs, strict=True)])
-        places[fresh] = len(self.starts) + np.arange(len(fresh))
-        starts = np.concatenate([self.starts, len(self.ids) + starts])
-        sizes, ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
-        if len(self.known) < self.memory:
-            order = fresh[np.argsort(hashes[fresh])]
-            self.known, self.place = np.insert(self.known, slot[order], hashes[order]), np.insert(self.place, slot[order], places[order])
-            self.ids, self.starts, self.sizes = ids, starts, sizes
-        return places, ids, starts, sizes
+            sizes.append(np.array([len(f) for f in found], np.int64))
+        return np.concatenate([words, rest]), np.concatenate(ids), np.concatenate(sizes)
+
+    def _numbers(self, pieces: Pieces, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Numbers of the different pieces of a batch: piece `at[i]` has `hashes[i]`."""
+        numbers = self.known.find(hashes)
+        fresh = np.flatnonzero(numbers < 0)
+        if len(fresh):
+            order, ids, sizes = self._learn(pieces, at[fresh])
+            new = self.starts.size + np.arange(len(order))
+            self.starts.add(self.ids.size + np.cumsum(sizes) - sizes)
+            self.sizes.add(sizes)
+            self.ids.add(ids)
+            numbers[np.searchsorted(at, order)] = new  # `at` ascends
+            if len(self.known) < self.memory:
+                self.known.add(hashes[fresh], numbers[fresh])
+        return numbers
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -200,11 +250,15 @@ class Encoder:
         codes = coded.indices.to_numpy()
         seen = np.maximum.accumulate(codes) if len(codes) else codes
         first = np.flatnonzero(np.diff(seen, prepend=-1) > 0)  # the dictionary is in order of first use
-        places, ids, starts, sizes = self._places(pieces, coded.dictionary.to_numpy(), first)
-        numbers = places[codes]
-        counts = sizes[numbers]
+        kept = self.starts.size, self.ids.size, len(self.known)
+        numbers = self._numbers(pieces, coded.dictionary.to_numpy(), first)[codes]
+        counts = self.sizes.room[numbers]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        taken = ids[np.repeat(starts[numbers] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
+        taken = self.ids.room[np.repeat(self.starts.room[numbers] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
+        if kept[2] >= self.memory:  # beyond the memory pieces are learnt for this batch alone; the first, frequent ones stay
+            self.starts.cut(kept[0])
+            self.sizes.cut(kept[0])
+            self.ids.cut(kept[1])
         borders = (4 * ends[pieces.of]).tolist()
         return [taken[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
 
@@ -249,6 +303,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END, s
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, pa.int64()), lists], names=["shard", "doc_id", "at", "ids"])
+        trim()
 
     (
         rows.mapInArrow(encode, FILE).write
