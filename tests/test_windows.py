@@ -98,3 +98,20 @@ def test_clusters_need_all_members(spark):
     seen = long.withColumn("_observed", F.col("o").isNotNull())
     wide = features.cluster_rows(seen, clusters, ["v"], optional=["o"]).first()
     assert wide.o_0 is None and wide.v_0 == 97.0
+
+
+def test_stored_layout_is_read_without_exchange(spark):
+    """Two uses of one layout; both equal the windows made from the rows, and neither shuffles."""
+    from verimet.session import work_path
+
+    rows = spark.range(900).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise("b").alias("k"), F.expr("TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, cast(id as int))").alias("valid_time"),
+        (F.col("id") % 13).cast("double").alias("t2m"), (F.col("id") % 7).cast("double").alias("e"))
+    table = windows.store_layout(rows, ["k"], "layout_test", work_path(spark, "layout"), past=5, max_steps=4, block_rows=64, buckets=4)
+    for past, steps, names in ((5, 4, ["t2m", "e"]), (3, 1, ["t2m"])):
+        options = dict(past=past, steps=steps, max_steps=steps, target="e", normalise=["t2m"], block_rows=64)
+        stored = windows.build_windows(table, ["k"], names, laid_out=True, **options)
+        assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
+        plain = windows.build_windows(rows, ["k"], names, **options)
+        pick = lambda df: sorted((r.k, r.start, r.x, r.y, r.future_times) for r in df.collect())
+        assert pick(stored) == pick(plain) and len(pick(plain)) == 900

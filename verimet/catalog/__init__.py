@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from verimet.catalog import (  # noqa: F401  (importing registers the queries)
-    alignment, learning, observations, places, scalars, storage, streams, verification, windowing,
+    alignment, learning, observations, places, scalars, storage, streams, upkeep, verification, windowing,
 )
 from verimet.catalog.registry import ORACLES, QUERIES
 

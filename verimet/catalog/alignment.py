@@ -56,8 +56,9 @@ def geo_map(d):
 
 
 @query("precip_interval", f"""
-SELECT a.station, a.time, CAST(a.fh AS BIGINT) AS fh, {R('CASE WHEN a.fh <= 1 THEN a.tp ELSE greatest(a.tp - b.tp, 0) END')} AS tp
-FROM forecasts a LEFT JOIN forecasts b ON a.station = b.station AND a.time = b.time AND a.fh = b.fh + 1""", ("forecasts",))
+SELECT station, time, CAST(fh AS BIGINT) AS fh, {R('CASE WHEN fh <= 1 THEN tp ELSE greatest(tp - before, 0) END')} AS tp
+FROM (SELECT *, CASE WHEN lag(fh) OVER run = fh - 1 THEN lag(tp) OVER run END AS before FROM forecasts WINDOW run AS (PARTITION BY station, time ORDER BY fh)) a""",
+       ("forecasts",))
 def precip_interval(d):
     return rounded(features.hourly_precip_from_run_total(d.forecasts()).select("station", "time", "fh", "tp"), "tp")
 
@@ -201,11 +202,11 @@ def image_frame(d):
 
 
 @query("wide_by_lead", """
-SELECT valid_time, stid, """ + ", ".join(f"coalesce(max(CASE WHEN fh = {i} THEN {R('difference')} END), -999) AS diff_{i}" for i in range(1, 8)) + """
-FROM evaluated WHERE metvar = 't2m' GROUP BY 1, 2""", ("evaluated",))
+SELECT valid_time, stid, metvar, """ + ", ".join(f"coalesce(max(CASE WHEN fh = {i} THEN {R('difference')} END), -999) AS diff_{i}" for i in range(1, 8)) + """
+FROM evaluated GROUP BY 1, 2, 3""", ("evaluated",))
 def wide_leads(d):
-    rows = rounded(d.evaluated().where(F.col("metvar") == "t2m"), "difference")
-    return wide_by_lead(rows, range(1, 8), ["valid_time", "stid"])
+    rows = rounded(d.evaluated(), "difference")
+    return wide_by_lead(rows, range(1, 8), ["valid_time", "stid", "metvar"])
 
 
 @query("join_conditions", f"""

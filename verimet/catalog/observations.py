@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verimet.catalog.registry import R, R_list, longs, query, r, rounded
-from verimet.operators import projections, resample, setops
+from verimet.operators import projections, resample, setops, verify
 from verimet.operators.sequences import previous_value
 from verimet.session import work_path
 from verimet.sources import sinks, tables
@@ -161,14 +161,15 @@ def availability_median(d):
     return rounded(availability_summary(resample.availability(d.hourly())), "median")
 
 
-@query("availability_wide", "SELECT CAST(valid_time AS DATE) AS date, " + ", ".join(
-    f"max(CASE WHEN station = 'S{i}' THEN share END) AS S{i}" for i in range(5)) + f"""
-FROM (SELECT station, CAST(valid_time AS DATE) AS valid_time, {R('avg(CASE WHEN tair <> -999 THEN 1.0 ELSE 0.0 END)')} AS share
-      FROM hourly GROUP BY 1, 2) GROUP BY 1""", ("hourly",))
+@query("availability_wide", f"""
+SELECT date, string_agg(concat(station, ':', CAST(floor(share * 1e6 + 0.5) AS BIGINT)), ',' ORDER BY station) AS shares
+FROM (SELECT station, CAST(valid_time AS DATE) AS date, {R('avg(CASE WHEN tair <> -999 THEN 1.0 ELSE 0.0 END)')} AS share FROM hourly GROUP BY 1, 2)
+WHERE share IS NOT NULL GROUP BY 1""", ("hourly",))
 def availability_wide(d):
-    from verimet.operators.verify import availability_wide as wide
-
-    return wide(rounded(resample.availability(d.hourly()), "share"), [f"S{i}" for i in range(5)])
+    """Days x stations, every station of the table: one line a day, shares in millionths."""
+    lines = verify.availability_lines(rounded(resample.availability(d.hourly()), "share"))
+    cell = lambda s: F.concat_ws(":", s["station"], F.floor(s["share"] * 1e6 + 0.5).cast("string"))
+    return lines.select("date", F.array_join(F.transform("shares", cell), ",").alias("shares"))
 
 
 @query("upsert_keep_last", """

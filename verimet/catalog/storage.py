@@ -20,6 +20,16 @@ def read_forecasts(d):
     return rounded(longs(out, "fh"), "t2m", "u_total").select("station", "time", "fh", "t2m", "u_total")
 
 
+@query("read_columns", f"""
+SELECT station, valid_time, {R('coalesce(t2m, -999)')} AS t2m FROM forecasts WHERE fh IN (2, 5)""", ("forecasts",))
+def read_columns(d):
+    """Five columns of the stored forecasts; no other column is read."""
+    path = work_path(d.spark, "forecast-columns")
+    sinks.write_forecasts(d.forecasts(), path)
+    parts = [tables.read_forecasts(d.spark, path, fh=fh, columns=["station", "valid_time", "t2m", "fh", "time"]) for fh in (2, 5)]
+    return rounded(parts[0].unionByName(parts[1]).select("station", "valid_time", "t2m"), "t2m")
+
+
 @query("write_daily", """
 SELECT CAST(fh AS BIGINT) AS fh, CAST(valid_time AS DATE) AS date, count(*) AS n FROM grid
 WHERE valid_time = time + to_hours(CAST(fh AS INT)) GROUP BY 1, 2""", ("grid",))

@@ -132,9 +132,9 @@ def month_labels(d):
     return rounded(summarise.labelled(summarise.error_by_period(d.compared(), "month", "abs", limit=100.0), "month"), "error")
 
 
-def _box(period: str) -> str:
+def _box(period: str, source: str | None = None) -> str:
     return f"""
-WITH x AS (SELECT CAST({period}(valid_time) AS BIGINT) AS {period}, difference AS v FROM {_DIFF} WHERE abs(difference) < 100),
+WITH x AS (SELECT CAST({period}(valid_time) AS BIGINT) AS {period}, difference AS v FROM {source or f'{_DIFF} WHERE abs(difference) < 100'}),
 q AS (SELECT {period}, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM x GROUP BY 1)
 SELECT {period}, n, {R('q1')} AS q1, {R('median')} AS median, {R('q3')} AS q3,
        {R('min(v) FILTER (WHERE v BETWEEN q1 - 1.5*(q3-q1) AND q3 + 1.5*(q3-q1))')} AS whisker_low,
@@ -229,14 +229,14 @@ def scatter_diag(d):
 
 
 @query("scatter_points", f"""
-WITH p AS (SELECT * FROM {_SCATTER} WHERE metvar = 't2m'),
-l AS (SELECT min(actual) AS lo_actual, max(actual) AS hi_actual, min(model_output) AS lo_model_output, max(model_output) AS hi_model_output FROM p),
-b AS (SELECT row_key, fh, price, {_bin('actual', 300)} AS xb, {_bin('model_output', 300)} AS yb, actual >= hi_actual OR model_output >= hi_model_output AS edge FROM p, l),
-c AS (SELECT xb, yb, count(*) AS density FROM b GROUP BY 1, 2)
-SELECT b.row_key, CAST(b.fh AS BIGINT) AS fh, b.price, c.density FROM b JOIN c USING (xb, yb) WHERE NOT edge""", ("predictions",))
+WITH p AS (SELECT * FROM {_SCATTER}),
+l AS (SELECT metvar, min(actual) AS lo_actual, max(actual) AS hi_actual, min(model_output) AS lo_model_output, max(model_output) AS hi_model_output FROM p GROUP BY 1),
+b AS (SELECT metvar, row_key, fh, price, {_bin('actual', 300)} AS xb, {_bin('model_output', 300)} AS yb, actual >= hi_actual OR model_output >= hi_model_output AS edge FROM p JOIN l USING (metvar)),
+c AS (SELECT metvar, xb, yb, count(*) AS density FROM b GROUP BY 1, 2, 3)
+SELECT b.metvar, b.row_key, CAST(b.fh AS BIGINT) AS fh, b.price, c.density FROM b JOIN c USING (metvar, xb, yb) WHERE NOT edge""", ("predictions",))
 def scatter_points(d):
-    out = reports.scatter_points(d.predictions(), "1996-01-01", "2000-12-31 23:59:59", "t2m")
-    return longs(out, "fh").select("row_key", "fh", "price", "density")
+    out = reports.scatter_points(d.predictions(), "1996-01-01", "2000-12-31 23:59:59")
+    return longs(out, "fh").select("metvar", "row_key", "fh", "price", "density")
 
 
 def _div(period: str, source: str = _DIFF) -> str:
@@ -361,4 +361,35 @@ UNION ALL """ + "\nUNION ALL ".join(
     for n, q in (("mean", "avg(difference)"), ("std", "stddev_samp(difference)"), ("abs", "avg(abs(difference))"))), ("predictions",))
 def bulk_report(d):
     """All tables of the bulk error report over the gated rows."""
-    return rounded(reports.bulk_report(d.compared(), "1996-01-01", "2000-12-31 23:59:59"), "value")
+    return rounded(reports.bulk_report(d.compared(), "1996-01-01", "2000-12-31 23:59:59", limit=100.0), "value")
+
+
+def _bulk_tables(d):
+    conditions = d.predictions().groupBy("stid", "valid_time").agg((F.max("price") / 1000).alias("wind"))
+    return reports.bulk_tables(d.compared(), conditions, "1996-01-01", "2000-12-31 23:59:59", "wind", 2.0, range(1, 8))
+
+
+@query("bulk_boxes", f"""
+SELECT 'month' AS period, month AS key, * EXCLUDE (month) FROM ({_box('month', _GATED)}) a
+UNION ALL SELECT 'hour', hour, * EXCLUDE (hour) FROM ({_box('hour', _GATED)}) b""", ("predictions",))
+def bulk_boxes(d):
+    """Box statistics of the bulk report, from the rows all its tables share."""
+    return rounded(longs(_bulk_tables(d)["boxes"], "n", "outliers"), *_BOX_COLS)
+
+
+@query("bulk_conditions", f"""
+WITH w AS (SELECT stid, valid_time, max(price) / 1000 AS wind FROM predictions GROUP BY 1, 2)
+SELECT bucket, {R('sum(m)')} AS error_sum, sum(n)::BIGINT AS instances, {R('sum(m) / sum(n)')} AS average FROM (
+  SELECT stid, valid_time, metvar, round_even(wind / 2.0, 0) * 2.0 AS bucket, avg(abs(difference)) AS m, count(difference) AS n
+  FROM {_GATED} g JOIN w USING (stid, valid_time) GROUP BY 1, 2, 3, 4) WHERE n > 0 GROUP BY 1""", ("predictions",))
+def bulk_conditions(d):
+    """Error per bucket of a condition at the station and hour, over the gated rows."""
+    return rounded(_bulk_tables(d)["conditions"], "error_sum", "average")
+
+
+@query("bulk_wide", """
+SELECT valid_time, stid, metvar, """ + ", ".join(f"{R(f'coalesce(max(CASE WHEN fh = {i} THEN difference END), -999)')} AS diff_{i}" for i in range(1, 8)) + f"""
+FROM {_GATED} GROUP BY 1, 2, 3""", ("predictions",))
+def bulk_wide(d):
+    """The gated rows with one column per forecast hour."""
+    return rounded(_bulk_tables(d)["wide"], *[f"diff_{i}" for i in range(1, 8)])

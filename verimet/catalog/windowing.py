@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from verimet.catalog.registry import R, longs, query, r, rounded
-from verimet.operators import features, scoring, windows
+from verimet.operators import features, projections, scoring, windows
 from verimet.plans import cleaning
+from verimet.session import stored, work_path
 
 PAST = windows.PAST
 _FEATURES = ["t2m", "u_total", "lat_c", "tair"]
@@ -93,6 +96,15 @@ def win_arrays(d):
     return _checks(_windows(d))
 
 
+@query("win_arrays_laid_out", _ARRAYS, ("forecasts", "hourly"))
+def win_arrays_laid_out(d):
+    """Windows from a table that was numbered and dealt when it was written; reading it needs no exchange."""
+    name = f"series_{uuid.uuid4().hex}"
+    table = windows.store_layout(_series(d), ["station", "fh"], name, work_path(d.spark, name), past=PAST, max_steps=6, buckets=16)
+    return _checks(windows.build_windows(
+        table, ["station", "fh"], _FEATURES, ["tair"], past=PAST, steps=F.col("fh"), max_steps=6, normalise=_MASKED, laid_out=True))
+
+
 @query("win_persist", f"""WITH {WINDOWS_SQL}
 SELECT station, fh, start, {R(_z('tair', PAST), 5)} AS first_future, {R(_z('tair', PAST), 5)} AS last_future FROM win""", ("forecasts", "hourly"))
 def win_persist(d):
@@ -172,13 +184,15 @@ def channel_scaling(d):
     return rounded(longs(windows.channel_scaling(_images(d)), "channel"), "mean", "sd")
 
 
-@query("scaled_images", f"""WITH {_IMAGES}, m AS (SELECT avg(temperature) AS m, stddev_samp(temperature) AS s FROM cells)
-SELECT station, valid_time, sum(CASE WHEN temperature IS NULL THEN 1 ELSE 0 END)::BIGINT AS empty, {R('sum((temperature - m) / s)', 5)} AS total
-FROM cells, m GROUP BY 1, 2""", ("profiles",))
+@query("scaled_images", f"""WITH {_IMAGES}, v AS (SELECT station, valid_time, c.channel, c.value FROM (
+  SELECT station, valid_time, unnest([{{'channel': 0, 'value': temperature}}, {{'channel': 1, 'value': rh}}]) AS c FROM cells) u),
+m AS (SELECT channel, avg(value) AS m, stddev_samp(value) AS s FROM v GROUP BY 1)
+SELECT station, valid_time, channel::BIGINT AS channel, sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END)::BIGINT AS empty, {R('sum((value - m) / s)', 5)} AS total
+FROM v JOIN m USING (channel) GROUP BY 1, 2, 3""", ("profiles",))
 def scaled_images(d):
     images = _images(d)
     scaled = windows.profile_cells(windows.scale_channels(images, windows.channel_scaling(images)))
-    return scaled.where(F.col("channel") == 0).groupBy("station", "valid_time").agg(
+    return longs(scaled, "channel").groupBy("station", "valid_time", "channel").agg(
         F.count(F.when(F.col("value").isNull(), 1)).alias("empty"), r(F.sum("value"), 5).alias("total"))
 
 
@@ -228,28 +242,22 @@ def _score_windows(d, models):
     return rounded(longs(out, "start"), "model_output", digits=4)
 
 
-@query("score_windows", f"{_SCORED} WHERE fh <= 4", ("forecasts", "hourly"))
-def score_windows(d):
-    """A model over every cell of the window, past and future; leads above 4 have no model here."""
-    return _score_windows(d, _cell_models(d).where(F.col("fh") <= 4))
-
-
 @query("score_windows_all_leads", _SCORED, ("forecasts", "hourly"))
-def score_windows_all_leads(d):
-    """The same with a model for every lead."""
+@query("score_windows", _SCORED, ("forecasts", "hourly"))
+def score_windows(d):
+    """A model for every lead over every cell of the window, past and future."""
     return _score_windows(d, _cell_models(d))
 
 
-def _uncertain_sql(leads: str) -> str:
-    return f"""WITH {WINDOWS_SQL},
+_UNCERTAIN = f"""WITH {WINDOWS_SQL},
 steps AS (SELECT station, fh, start, k, coalesce({_z('t2m', f'{PAST} + k')}, 0) AS a, coalesce({_z('u_total', f'{PAST} + k')}, 0) AS b
-          FROM win, (SELECT unnest(range(1, 7)) AS k) g WHERE k <= fh{leads}),
+          FROM win, (SELECT unnest(range(1, 7)) AS k) g WHERE k <= fh),
 members AS (SELECT *, a * 0.5 + b * fh / 10.0 AS g1, a * 0.75 - b AS g2 FROM steps)
 SELECT station, fh, start, k AS step, {R('(g1 + g2) / 2', 4)} AS mu, {R('pow((g1 - g2) / 2, 2)', 4)} AS epistemic_var,
        {R('(exp(-1) + exp(-2)) / 2', 4)} AS aleatoric_var, {R('pow((g1 - g2) / 2, 2) + (exp(-1) + exp(-2)) / 2', 4)} AS total_var FROM members"""
 
 
-def _score_uncertain(d, leads):
+def _score_uncertain(d):
     from pyspark.sql import types as T
 
     from verimet.schemas import UNCERTAIN_PREDICTION
@@ -257,22 +265,17 @@ def _score_uncertain(d, leads):
     names = ("mu", "epistemic_var", "aleatoric_var", "total_var")
     outputs = T.StructType([UNCERTAIN_PREDICTION[n] for n in names])
     pair = F.array(F.lit(0.5), F.col("fh") / 10.0, F.lit(-1.0), F.lit(0.75), F.lit(-1.0), F.lit(-2.0))
-    models = d.forecasts().select("station", "fh").distinct().where(leads).select("station", "fh", pair.alias("params"))
+    models = d.forecasts().select("station", "fh").distinct().select("station", "fh", pair.alias("params"))
     out = scoring.score_windows(_windows(d), models, ["station", "fh"], scoring.predict_ensemble(PAST, 2), outputs, ["t2m", "u_total"])
     steps = out.select("station", "fh", "start", F.posexplode(F.arrays_zip(*names)).alias("step", "v"))
     return rounded(longs(steps.select("station", "fh", "start", (F.col("step") + 1).alias("step"), "v.*"), "start", "step"), *names, digits=4)
 
 
-@query("score_uncertain", _uncertain_sql(" AND fh <= 4"), ("forecasts", "hourly"))
+@query("score_uncertain_all_leads", _UNCERTAIN, ("forecasts", "hourly"))
+@query("score_uncertain", _UNCERTAIN, ("forecasts", "hourly"))
 def score_uncertain(d):
-    """Two models per group; mean, spread and noise per future step as lists, unpacked here; leads above 4 have no model."""
-    return _score_uncertain(d, F.col("fh") <= 4)
-
-
-@query("score_uncertain_all_leads", _uncertain_sql(""), ("forecasts", "hourly"))
-def score_uncertain_all_leads(d):
-    """The same with models for every lead."""
-    return _score_uncertain(d, F.lit(True))
+    """Two models per group; mean, spread and noise per future step as lists, unpacked here."""
+    return _score_uncertain(d)
 
 
 _CELLS = f"""WITH {WINDOWS_SQL}
@@ -287,14 +290,9 @@ def _cells(win):
     return rounded(longs(cells, "start", "slot"), *_FEATURES, digits=5)
 
 
-@query("win_cells", f"{_CELLS} AND fh IN (2, 5)", ("forecasts", "hourly"))
-def win_cells(d):
-    """Every cell of the windows of two forecast hours, by position."""
-    return _cells(_windows(d).where(F.col("fh").isin(2, 5)))
-
-
 @query("win_cells_all_leads", _CELLS, ("forecasts", "hourly"))
-def win_cells_all_leads(d):
+@query("win_cells", _CELLS, ("forecasts", "hourly"))
+def win_cells(d):
     """Every cell of all windows, by position."""
     return _cells(_windows(d))
 
@@ -317,8 +315,8 @@ def win_null_keys(d):
         F.count(F.lit(1)).alias("windows"), F.sum(total).alias("y_sum"), F.count("valid_time").alias("timed")), "y_sum")
 
 
-def _model_steps_sql(steps: str, leads: str = "") -> str:
-    return f"""WITH r AS (SELECT station, fh, time, t2m, row_number() OVER (PARTITION BY station, fh ORDER BY time) - 1 AS start FROM forecasts{leads}),
+def _model_steps_sql(steps: str) -> str:
+    return f"""WITH r AS (SELECT station, fh, time, t2m, row_number() OVER (PARTITION BY station, fh ORDER BY time) - 1 AS start FROM forecasts),
 s AS (SELECT *, {steps} AS k FROM r),
 v AS (SELECT *, list(t2m) OVER (PARTITION BY station, fh ORDER BY start ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS w FROM s)
 SELECT station, CAST(fh AS BIGINT) AS fh, start, 5 + k AS rows, CAST(k AS BIGINT) AS steps,
@@ -339,22 +337,61 @@ def _model_steps(rows, model: str):
 _GFS, _NAM = "CAST(floor(fh / 3) AS BIGINT)", "CAST(floor((fh + 2) / 3) AS BIGINT)"
 
 
-@query("win_gfs", _model_steps_sql(_GFS, " WHERE fh IN (3, 6)"), ("forecasts",))
-def win_gfs(d):
-    return _model_steps(d.forecasts().where(F.col("fh").isin(3, 6)), "GFS")
-
-
-@query("win_nam", _model_steps_sql(_NAM, " WHERE fh IN (3, 6)"), ("forecasts",))
-def win_nam(d):
-    return _model_steps(d.forecasts().where(F.col("fh").isin(3, 6)), "NAM")
-
-
 @query("win_gfs_all_leads", _model_steps_sql(_GFS), ("forecasts",))
-def win_gfs_all_leads(d):
+@query("win_gfs", _model_steps_sql(_GFS), ("forecasts",))
+def win_gfs(d):
     """Leads before the first output of the model have no future rows."""
     return _model_steps(d.forecasts(), "GFS")
 
 
 @query("win_nam_all_leads", _model_steps_sql(_NAM), ("forecasts",))
-def win_nam_all_leads(d):
+@query("win_nam", _model_steps_sql(_NAM), ("forecasts",))
+def win_nam(d):
     return _model_steps(d.forecasts(), "NAM")
+
+
+@query("win_default_mask", f"""WITH {WINDOWS_SQL}
+SELECT station, fh, start, {', '.join(f"{R(_z(c, PAST), 5)} AS {c}" for c in _MASKED)}, {R(f'w[{PAST}].lat_c', 5)} AS lat_c
+FROM win WHERE w[{PAST}].vt IS NOT NULL""", ("forecasts", "hourly"))
+def win_default_mask(d):
+    """Features and their normalisation by the name rules alone: keys, time, target and images are no features, places keep their scale."""
+    series = _series(d).withColumn("images_0", F.lit("none"))
+    names = [c for c in projections.feature_names(series.columns) if c not in ("station", "fh")]
+    win = windows.build_windows(series, ["station", "fh"], names, past=PAST, steps=F.col("fh"), max_steps=6, with_x=False)
+    out = win.where(F.col("init_time").isNotNull()).select("station", "fh", F.col("start").cast("long").alias("start"), *[F.col("last")[c].alias(c) for c in names])
+    return rounded(out, *names, digits=5)
+
+
+@query("windows_with_data", """
+SELECT station, CAST(fh AS BIGINT) AS fh, count(*) AS n FROM forecasts WHERE fh NOT IN (2, 4) GROUP BY 1, 2""", ("forecasts",))
+def windows_with_data(d):
+    """Windows of two leads have no data, one as null and one as an empty list; they are dropped."""
+    win = windows.build_windows(d.forecasts(), ["station", "fh"], ["t2m"], target="t2m", order="time", past=2, steps=1, max_steps=1, normalise=[])
+    holes = win.withColumn("x", F.when(F.col("fh") == 4, F.slice("x", 1, 0)).when(F.col("fh") != 2, F.col("x")))
+    return windows.with_data(holes).groupBy("station", "fh").agg(F.count(F.lit(1)).alias("n"))
+
+
+_WIDE = 90
+
+
+def _held_sql(model: str) -> str:
+    held = windows.CLUSTER_STATIONS[model] * windows.OBSERVED_COLUMNS
+    own = _WIDE - held
+    return f"""SELECT '{model}' AS model, station, fh, start, coalesce({own} * b + {sum(range(own))}, 0) + coalesce({held} * a + {sum(range(own, _WIDE))}, 0) AS total FROM s"""
+
+
+@query("win_persisted_width", f"""
+WITH s AS (SELECT station, CAST(fh AS BIGINT) AS fh, row_number() OVER p - 1 AS start, lead(t2m, 1) OVER p AS a, lead(t2m, 2) OVER p AS b
+           FROM forecasts WINDOW p AS (PARTITION BY station, fh ORDER BY time))
+SELECT model, station, fh, start, {R('total', 4)} AS total FROM ({' UNION ALL '.join(map(_held_sql, windows.CLUSTER_STATIONS))}) t""", ("forecasts",))
+def win_persisted_width(d):
+    """The future row of 90 features per model: the observations of 4 or 5 stations are held, the others are known."""
+    names = [f"f{i:02d}" for i in range(_WIDE)]
+    rows = stored(d.forecasts().select("station", "fh", "time", "t2m"), "wide-series").withColumns({n: F.col("t2m") + i for i, n in enumerate(names)})
+    parts = []
+    for model in windows.CLUSTER_STATIONS:
+        win = windows.build_windows(
+            rows, ["station", "fh"], names, windows.persisted_features(model, names), target="t2m", order="time", past=2, steps=1, max_steps=1, normalise=[])
+        last = F.element_at("x", -1)
+        parts.append(longs(win.select(F.lit(model).alias("model"), "station", "fh", "start", sum((last[n] for n in names), F.lit(0.0)).alias("total")), "start"))
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "total", digits=4)

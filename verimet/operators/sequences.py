@@ -39,18 +39,17 @@ def previous_value(
 ) -> DataFrame:
     """`lag(value)` per key, exact across chunk borders; null keys are a key, null chunks come first.
 
-    The input is read once: the first row of each chunk meets the other chunks' first
-    rows of its key, one row per chunk; all further rows stay in their chunk.
+    The input is read and dealt to its chunks once.  Only the first row of each chunk is sent on, to meet
+    the other chunks' first rows of its key; all further rows stay where they are.
     """
     df = _tagged(df, chunk)
     inner = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     whole = inner.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     marked = df.withColumns({
         "_first": F.row_number().over(inner) == 1, "_prev": F.lag(value).over(inner), "_last": F.last(value).over(whole)})
-    home = F.when(~F.col("_first"), F.struct(CHUNK))
-    borders = Window.partitionBy(*keys, "_first", home).orderBy(CHUNK)
-    return marked.withColumn(out, F.when(F.col("_first"), F.lag("_last").over(borders)).otherwise(F.col("_prev"))).drop(
-        CHUNK, "_first", "_prev", "_last")
+    firsts = marked.where("_first").withColumn(out, F.lag("_last").over(Window.partitionBy(*keys).orderBy(CHUNK)))
+    others = marked.where("not _first").withColumn(out, F.col("_prev"))
+    return firsts.unionByName(others).drop(CHUNK, "_first", "_prev", "_last")
 
 
 def running_total(

@@ -148,19 +148,19 @@ def histogram_2d(df: DataFrame, x: str, y: str, bins: int = 300) -> DataFrame:
     return _binned(df, x, y, bins).groupBy("xb", "yb").count()
 
 
-def _binned(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
-    limits = df.agg(
-        F.struct(
-            F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")
-        ).alias("s")
-    ).scalar()
+def _binned(df: DataFrame, x: str, y: str, bins: int, keys: Sequence[str] = ()) -> DataFrame:
+    ends = F.struct(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).alias("_s")
+    if keys:
+        limited = df.join(df.groupBy(*keys).agg(ends), list(keys))
+    else:
+        limited = df.withColumn("_s", df.agg(ends).scalar())
 
     def edge(v: str, lo: Column, hi: Column) -> Column:
         return F.least(F.width_bucket(F.col(v), lo, hi, F.lit(bins)), F.lit(bins)).cast("long")
 
     s = F.col("_s")
     return (
-        df.withColumn("_s", limits)
+        limited
         .withColumns({"xb": edge(x, s["x0"], s["x1"]), "yb": edge(y, s["y0"], s["y1"])})
         .withColumn("_edge", (F.col(x) >= s["x1"]) | (F.col(y) >= s["y1"]))
         .drop("_s")
@@ -170,13 +170,13 @@ def _binned(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
 MAX_BROADCAST_BINS = 1_000_000
 
 
-def point_density(df: DataFrame, x: str, y: str, bins: int = 300) -> DataFrame:
-    """Each point with the count of its bin; points on the top edge are dropped."""
-    points = _binned(df, x, y, bins)
-    counts = points.groupBy("xb", "yb").agg(F.count(F.lit(1)).alias("density"))
-    # At most bins * bins rows: a bound that does not grow with the data.
-    side = F.broadcast(counts) if bins * bins <= MAX_BROADCAST_BINS else counts
-    return points.where(~F.col("_edge")).join(side, ["xb", "yb"]).drop("_edge")
+def point_density(df: DataFrame, x: str, y: str, bins: int = 300, keys: Sequence[str] = ()) -> DataFrame:
+    """Each point with the count of its bin; points on the top edge are dropped.  Every key has bins of its own."""
+    points = _binned(df, x, y, bins, keys)
+    counts = points.groupBy(*keys, "xb", "yb").agg(F.count(F.lit(1)).alias("density"))
+    # Without keys at most bins * bins rows: a bound that does not grow with the data.
+    side = F.broadcast(counts) if not keys and bins * bins <= MAX_BROADCAST_BINS else counts
+    return points.where(~F.col("_edge")).join(side, [*keys, "xb", "yb"]).drop("_edge")
 
 
 def histogram_1d(df: DataFrame, value: Column, bins: int = 50) -> DataFrame:

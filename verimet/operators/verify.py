@@ -95,19 +95,20 @@ def hour_metvar_table(df: DataFrame) -> DataFrame:
     return df.groupBy("metvar").agg(*[F.avg(F.when(h == i, e)).alias(f"h{i:02d}") for i in range(24)])
 
 
-def drift_by_lead(df: DataFrame, limit: float = 100.0) -> DataFrame:
-    """MAE and MSE per forecast hour over |difference| < limit."""
+def drift_by_lead(df: DataFrame, limit: float | None = 100.0) -> DataFrame:
+    """MAE and MSE per forecast hour over |difference| < limit (all without one)."""
     d = F.col("difference")
     return error_within(df, d, below=limit).groupBy("fh").agg(F.avg(F.abs(d)).alias("mae"), F.avg(d * d).alias("mse"))
 
 
-def r2_by_lead(df: DataFrame, keys: Sequence[str] = ("fh",), truth: str = "model_output", guess: str = "actual", limit: float = 100.0) -> DataFrame:
+def r2_by_lead(df: DataFrame, keys: Sequence[str] = ("fh",), truth: str = "model_output", guess: str = "actual", limit: float | None = 100.0) -> DataFrame:
     """1 - SSres/SStot, floored at 0; 0 for a group with no usable row.
 
     The forecast column plays the truth.  `regr_r2` is the squared correlation
     and would be a different number.
     """
-    ok = (F.abs(truth) < limit) & (F.abs(guess) < limit)
+    known = F.col(truth).isNotNull() & F.col(guess).isNotNull()
+    ok = known if limit is None else (F.abs(truth) < limit) & (F.abs(guess) < limit)
     y, p = F.when(ok, F.col(truth)), F.when(ok, F.col(guess))
     sums = df.groupBy(*keys).agg(
         F.sum(F.pow(y - p, 2.0)).alias("_res"), (F.var_pop(y) * F.count(y)).alias("_tot"), F.count(y).alias("n")
@@ -129,6 +130,11 @@ def availability_summary(daily: DataFrame, station: str = "station") -> DataFram
     )
 
 
+def availability_lines(daily: DataFrame, station: str = "station") -> DataFrame:
+    """(date, shares): one line per day with every station that has a share, in order of the stations."""
+    return daily.groupBy("date").agg(F.sort_array(F.collect_list(F.struct(station, "share"))).alias("shares"))
+
+
 def availability_wide(daily: DataFrame, stations: Sequence[str]) -> DataFrame:
     """Days x stations table for a given station list (a display form)."""
     return daily.groupBy("date").agg(*[F.max(F.when(F.col("station") == s, F.col("share"))).alias(s) for s in stations])

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from verimet.functions.clock import to_epoch_ns
 from verimet.operators.projections import normalised_features
 from verimet.operators.sequences import BLOCK, CORE, overlapping_blocks, with_position
+from verimet.sources.sinks import write_bucketed
 
 PAST = 30
 BLOCK_ROWS = 2048
@@ -43,6 +44,36 @@ def future_steps_column(model: str, fh: Column) -> Column:
     return F.floor((fh if name == "GFS" else fh + 2) / 3).cast("int")
 
 
+# Observation columns of a station, and stations of a cluster by forecast model.
+OBSERVED_COLUMNS = 16
+CLUSTER_STATIONS = {"HRRR": 4, "NAM": 4, "GFS": 5}
+
+
+def persisted_features(model: str, features: Sequence[str]) -> list[str]:
+    """The features whose future isn't known: the observations of the cluster's stations, which come last."""
+    width = CLUSTER_STATIONS[model.upper()] * OBSERVED_COLUMNS
+    return list(features)[-width:]
+
+
+def _in_blocks(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], reach: int, block_rows: int) -> DataFrame:
+    rows = with_position(df, keys, [order, *ties], F.trunc(F.col(order), "MM"), "_pos")
+    return overlapping_blocks(rows, "_pos", max(block_rows, reach), reach)
+
+
+def store_layout(
+    df: DataFrame, keys: Sequence[str], name: str, path: str, order: str = "valid_time", past: int = PAST, max_steps: int = 18,
+    block_rows: int = BLOCK_ROWS, ties: Sequence[str] = (), buckets: int = 200,
+) -> DataFrame:
+    """Save the series as table `name`, numbered, cut into overlapping blocks and bucketed by (keys, block); returns it.
+
+    Series are numbered and dealt once, when the table is written.  Windows of any features, targets and lengths within
+    its reach (`past` + `max_steps` - 1 rows) then need no exchange: every bucket holds whole blocks.
+    """
+    blocks = _in_blocks(df, keys, order, ties, past + max_steps - 1, block_rows)
+    write_bucketed(blocks, name, path, [*keys, BLOCK], buckets, [*keys, BLOCK, "_pos"])
+    return df.sparkSession.table(name)
+
+
 def build_windows(
     df: DataFrame,
     keys: Sequence[str],
@@ -58,6 +89,7 @@ def build_windows(
     block_rows: int = BLOCK_ROWS,
     with_x: bool = True,
     ties: Sequence[str] = (),
+    laid_out: bool = False,
 ) -> DataFrame:
     """One row per start row: `x` (past+steps structs), `y` (steps), `future_times` (ns, 0 padded).
 
@@ -74,14 +106,13 @@ def build_windows(
     last_valid  persist the last non-null past value instead of the last row's
     ties        further columns that order rows of equal time
     with_x      build `x`; without it only targets and times of the future rows are gathered
+    laid_out    `df` is a table of `store_layout` with at least this reach: it is read as it lies, without an exchange
     """
     scaled = set(normalised_features(features) if normalise is None else normalise)
     steps = F.lit(steps) if isinstance(steps, int) else steps
     reach = past + max_steps - 1
 
-    chunk = F.trunc(F.col(order), "MM")
-    rows = with_position(df, keys, [order, *ties], chunk, "_pos")
-    blocks = overlapping_blocks(rows, "_pos", max(block_rows, reach), reach)
+    blocks = df if laid_out else _in_blocks(df, keys, order, ties, reach, block_rows)
 
     series = Window.partitionBy(*keys, BLOCK).orderBy("_pos")
     history = series.rowsBetween(0, past - 1)

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from verimet.operators.filters import between_dates, error_within
 from verimet.operators.setops import union_all
 from verimet.operators.summarise import (
-    error_by_period, point_density, scatter_diagnostics, skill, station_counts, weighted_mean,
+    box_statistics, error_by_bucket, error_by_period, point_density, scatter_diagnostics, skill, station_counts, weighted_mean, wide_by_lead,
 )
-
 from verimet.operators.verify import drift_by_lead, r2_by_lead
+from verimet.session import stored
+
+BOX = ("n", "q1", "median", "q3", "whisker_low", "whisker_high", "outliers")
 
 
 def comparison_table(base: DataFrame, candidate: DataFrame, stations: DataFrame, period: str) -> DataFrame:
@@ -60,9 +62,9 @@ def scatter_report(df: DataFrame, start: str, end: str, keys: Sequence[str] = ("
     return scatter_diagnostics(scatter_rows(df, start, end), "actual", "model_output", _tolerance(), keys)
 
 
-def scatter_points(df: DataFrame, start: str, end: str, metvar: str, bins: int = 300) -> DataFrame:
-    rows = scatter_rows(df, start, end).where(F.col("metvar") == metvar)
-    return point_density(rows, "actual", "model_output", bins)
+def scatter_points(df: DataFrame, start: str, end: str, bins: int = 300) -> DataFrame:
+    """Points of the scatter plots of all variables, each with bins of its own."""
+    return point_density(scatter_rows(df, start, end), "actual", "model_output", bins, ["metvar"])
 
 
 def bulk_errors(df: DataFrame, start: str, end: str, at_least: float = 1.0) -> DataFrame:
@@ -70,12 +72,34 @@ def bulk_errors(df: DataFrame, start: str, end: str, at_least: float = 1.0) -> D
     return between_dates(error_within(df, F.round("difference", 6), above=at_least), start, end)
 
 
-def bulk_report(df: DataFrame, start: str, end: str, at_least: float = 1.0, limit: float | None = 100.0) -> DataFrame:
+def bulk_tables(
+    df: DataFrame, conditions: DataFrame, start: str, end: str, condition: str, base: float, leads: Sequence[int],
+    at_least: float = 1.0, limit: float | None = None,
+) -> dict[str, DataFrame]:
+    """Every table of the bulk report from the gated rows, which are stored once: `report` (the long table of
+    `bulk_report`), `boxes` (per month and hour of day), `conditions` (error per bucket of a condition, which
+    `conditions` has per stid and valid_time) and `wide` (one column per forecast hour).
+    """
+    rows = stored(bulk_errors(df, start, end, at_least), "bulk-rows")
+    boxes = [box_statistics(rows, period, limit=limit).select(F.lit(period).alias("period"), F.col(period).cast("long").alias("key"), *BOX)
+             for period in ("month", "hour")]
+    placed = rows.join(conditions.select("stid", "valid_time", condition), ["stid", "valid_time"], "left")
+    return {
+        "report": _bulk_report(rows, limit), "boxes": union_all(boxes),
+        "conditions": error_by_bucket(placed, condition, base, ["stid", "valid_time", "metvar"]),
+        "wide": wide_by_lead(rows, leads, ["valid_time", "stid", "metvar"]),
+    }
+
+
+def bulk_report(df: DataFrame, start: str, end: str, at_least: float = 1.0, limit: float | None = None) -> DataFrame:
     """The report tables of the gated rows as one long table: (table, key, value).
 
     Drift (MAE, MSE) and R2 per forecast hour; bias, spread and MAE per month and per hour of day.
     """
-    rows = bulk_errors(df, start, end, at_least)
+    return _bulk_report(bulk_errors(df, start, end, at_least), limit)
+
+
+def _bulk_report(rows: DataFrame, limit: float | None) -> DataFrame:
     drift = drift_by_lead(rows, limit)
     parts = [drift.select(F.lit(f"drift_{m}").alias("table"), F.col("fh").cast("long").alias("key"), F.col(m).alias("value")) for m in ("mae", "mse")]
     parts.append(r2_by_lead(rows, limit=limit).select(F.lit("r2").alias("table"), F.col("fh").cast("long").alias("key"), F.col("r2").alias("value")))

@@ -55,7 +55,7 @@ def write_summary_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
@@ -71,7 +71,7 @@ def upsert_partitions(new: DataFrame, path: str, keys: Sequence[str], by: Sequen
     """
     if not set(by) <= set(keys):
         raise ValueError(f"partition columns {list(by)} must be among the keys {list(keys)}")
-    old = _read_if_there(new.sparkSession, path)
+    old = read_if_there(new.sparkSession, path)
     if old is None:
         merged = latest_per_key(new, keys, list(order) or list(keys))
     else:
@@ -80,6 +80,16 @@ def upsert_partitions(new: DataFrame, path: str, keys: Sequence[str], by: Sequen
     write_partitions(merged, path, by)
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int, order: Sequence[str] = ()) -> None:
+    """Save table `name` with its files at `path`, in `buckets` by the hash of `keys`, each sorted by `order` (the keys by default).
+
+    Tables with the same keys and number of buckets join on these keys without an exchange.  Take keys that many
+    rows don't share (a station and an hour, not a station alone), so that no bucket is hot.
+    """
+    dealt = df.repartition(buckets, *[F.col(k) for k in keys])
+    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*(order or keys)).saveAsTable(name)
+
+
 def append_batch(new: DataFrame, path: str, batch: int) -> None:
     """Add one batch as its own folder; a repeated batch replaces itself."""
     new.withColumn(BATCH, F.lit(batch).cast("long")).write.mode("overwrite").option(
@@ -97,13 +107,13 @@ def done_partitions(spark: SparkSession, path: str, by: Sequence[str], schema) -
 
     Only partition columns are read, so this touches the listing and footers.
     """
-    existing = _read_if_there(spark, path)
+    existing = read_if_there(spark, path)
     return existing.select(*by).distinct() if existing is not None else spark.createDataFrame([], schema)
 
 
 def partition_status(spark: SparkSession, work: DataFrame, path: str, by: Sequence[str]) -> DataFrame:
     """`work` (partition values) with `rows` found in the table and `status`: done or pending."""
-    existing = _read_if_there(spark, path)
+    existing = read_if_there(spark, path)
     if existing is None:
         return work.select(*by, F.lit(0).cast("long").alias("rows"), F.lit("pending").alias("status"))
     kinds = {f.name: f.dataType for f in work.schema}

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from verimet.functions.values import fill_sentinel
+from verimet.sources.footers import read_footers
 
 
 def read_table(
@@ -53,14 +54,8 @@ def read_forecasts(
 
 
 def unreadable_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length) of the Parquet files below `root` whose two magic numbers are missing.
-
-    Looks at 4 bytes at either end through Spark's file reader, so it works on any store.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
-    magic = F.lit("PAR1").cast("binary")
-    whole = (F.substring("content", 1, 4) == magic) & (F.substring("content", -4, 4) == magic) & (F.col("length") >= 12)
-    return files.where(~whole).select("path", "length")
+    """(path, length, error) of the Parquet files below `root` without a readable footer; only footers are read."""
+    return read_footers(spark, root).where(F.col("error").isNotNull()).select("path", "length", "error")
 
 
 def read_observations(
