@@ -143,26 +143,26 @@ _LONG = """long AS (SELECT f.station, f.fh, f.valid_time, f.t2m, f.u_total, f.tp
   FROM (SELECT * FROM forecasts) f {how} JOIN {obs} h ON f.station = h.station AND f.valid_time = h.valid_time LEFT JOIN geo g ON g.station = f.station)"""
 _WIDE = f"""wide AS (SELECT c.target, CAST(fh AS BIGINT) AS fh, valid_time, {_slots(_FV + _GV + _OV)}, count(seen) AS seen
   FROM long JOIN clusters c ON c.station = long.station GROUP BY 1, 2, 3 HAVING count(*) = 4)"""
-_FRAME = f"WITH {_LONG.format(how='', obs='hourly')}, {_WIDE}"
+FRAME_SQL = f"WITH {_LONG.format(how='', obs='hourly')}, {_WIDE}"
 _CYCLE = f"""{R('sin(2*pi()*dayofyear(valid_time)/366.0)')} AS valid_time_sin, {R('cos(2*pi()*dayofyear(valid_time)/366.0)')} AS valid_time_cos,
  {R('sin(2*pi()*hour(valid_time)/24.0)')} AS valid_time_sin_clock, {R('cos(2*pi()*hour(valid_time)/24.0)')} AS valid_time_cos_clock"""
 
 
-def _frame(d):
+def cluster_frame(d):
     return training.training_frame(d.hourly(), d.forecasts(), d.clusters(), "t2m", _FV, _OV, d.geo(), _GV)
 
 
 _FLOATS = [f"{c}_{s}" for c in _FV + _OV for s in range(4)]
 
 
-@query("training_frame", f"""{_FRAME}
+@query("training_frame", f"""{FRAME_SQL}
 SELECT target, fh, valid_time, {R_list(*_FLOATS)}, {', '.join(f'lulc_cat_{s}' for s in range(4))}, {R('t2m_0 - tair_0')} AS target_error, {_CYCLE} FROM wide""",
        ("forecasts", "hourly", "geo", "clusters"))
 def training_frame(d):
-    return rounded(_frame(d), *_FLOATS, "target_error", "valid_time_sin", "valid_time_cos", "valid_time_sin_clock", "valid_time_cos_clock")
+    return rounded(cluster_frame(d), *_FLOATS, "target_error", "valid_time_sin", "valid_time_cos", "valid_time_sin_clock", "valid_time_cos_clock")
 
 
-@query("evaluation_frame", f"""{_FRAME}
+@query("evaluation_frame", f"""{FRAME_SQL}
 SELECT target, fh, valid_time, {R('t2m_0')} AS t2m_0, {R('tair_3')} AS tair_3, {R('u_total_0 - wspd_sonic_mean_0')} AS target_error FROM wide""",
        ("forecasts", "hourly", "geo", "clusters"))
 def evaluation_frame(d):
@@ -187,7 +187,7 @@ def inference_frame(d):
     return rounded(out.select("target", "fh", "valid_time", *keep), *keep)
 
 
-@query("image_frame", f"""{_FRAME},
+@query("image_frame", f"""{FRAME_SQL},
 paths AS (SELECT w.target, w.fh, w.valid_time, c.slot, concat_ws('/', '/img', strftime(valid_time, '%Y'), c.station,
           c.station || '_' || strftime(valid_time, '%Y') || '_' || strftime(valid_time, '%m%d%H') || '.npy') AS path, c.station
           FROM wide w JOIN clusters c USING (target)),
@@ -197,7 +197,7 @@ FROM paths LEFT JOIN (SELECT *, 1 AS ok FROM have) h USING (station, valid_time)
        ("forecasts", "hourly", "geo", "clusters"))
 def image_frame(d):
     catalog = d.hourly().where(F.col("n") >= 2)
-    out = training.with_images(_frame(d), d.clusters(), "/img", catalog)
+    out = training.with_images(cluster_frame(d), d.clusters(), "/img", catalog)
     return out.select("target", "fh", "valid_time", *[f"image_path_{k}" for k in range(4)])
 
 
