@@ -1,7 +1,7 @@
 """Scores that grow with appended batches.
 
 A score is kept as sums that can be added and taken back.  A batch adds the sums of its rows and takes back those of
-the rows it replaces, which are looked up by key in the days the batch touches; what other days hold is never read
+the rows it replaces, which are looked up by key in the months the batch touches; what other months hold is never read
 again.  Every batch writes its own folder of differences, so repeating the last batch changes nothing.
 """
 
@@ -11,13 +11,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verimet.operators.setops import latest_per_key
 from verimet.operators.verify import KEYS
 from verimet.session import stored
 from verimet.sources.sinks import BATCH, read_if_there
 
-DAY = "day"
+MONTH = "month"
 #: Width of the bins of the absolute error; the last one is open.
 BIN_WIDTH, BINS = 0.5, 40
 _SUMS = ("n", "sum_error", "sum_abs", "sum_square")
@@ -39,18 +40,19 @@ def add_batch(new: DataFrame, path: str, batch: int, by: Sequence[str], keys: Se
     Batches come in ascending order; the last one may come again.  Within a batch the last row per key by `order` counts.
     """
     spark = new.sparkSession
-    rows = latest_per_key(new, keys, list(order) or list(keys)).select(*keys, "model_output", "actual", F.to_date(ts).alias(DAY))
+    rows = latest_per_key(new, keys, list(order) or list(keys)).select(*keys, "model_output", "actual", F.trunc(ts, "MM").alias(MONTH))
     rows = stored(rows, "score-batch")
     added = error_sums(rows, by)
-    log = read_if_there(spark, f"{path}/rows")
+    log = read_if_there(spark, f"{path}/rows", T.StructType([*rows.schema.fields, T.StructField(BATCH, T.LongType())]))
     if log is not None:
-        days = [r[0] for r in rows.select(DAY).distinct().collect()]  # calendar days of one batch
-        touched = F.col(DAY).isin([d for d in days if d is not None])
-        former = log.where((touched | F.col(DAY).isNull()) & (F.col(BATCH) < batch))
+        months = [r[0] for r in rows.select(MONTH).distinct().collect()]  # calendar months of one batch
+        touched = F.col(MONTH).isin([m for m in months if m is not None])
+        former = log.where((touched | F.col(MONTH).isNull()) & (F.col(BATCH) < batch))
         former = former.join(rows.select(*keys), list(keys), "left_semi")
         former = latest_per_key(former.select(*keys, "model_output", "actual", BATCH), keys, [BATCH])
         added = added.unionByName(error_sums(former, by, -1)).groupBy(*by, "bin").agg(*[F.sum(c).alias(c) for c in _SUMS])
-    for frame, name, columns in ((added, "sums", [BATCH]), (rows, "rows", [BATCH, DAY])):
+    # one file a month and batch, more only for large ones
+    for frame, name, columns in ((added, "sums", [BATCH]), (rows.hint("rebalance", MONTH), "rows", [BATCH, MONTH])):
         out = frame.withColumn(BATCH, F.lit(batch).cast("long"))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(f"{path}/{name}")
 
