@@ -342,4 +342,4 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One document of each component; rows that repeat a kept doc_id stay with it."""
     kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
