@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from verimet.functions.geo import EARTH_RADIUS_KM, chord_to_km, coordinate_key, unit_sphere, wrap_longitude
 from verimet.operators.filters import land_only
-from verimet.session import shared_dir, stored
+from verimet.session import stored
 
 # Splits in four per axis: the smallest cubes have an edge of about 12 m.
 DEPTH = 10
@@ -60,17 +60,17 @@ def _levels(levels: list[int]) -> Column:
 
 
 def cell_tree(coded: DataFrame) -> DataFrame:
-    """Cells with points: id, up (the parent's id), level, held, leaf, box.  One row per cell whose parent had to be split."""
+    """Stored cells with points: id, up (the parent's id), level, held, leaf, box.  One row per cell whose parent had to be split."""
     sides = [f(a).alias(f"{a}{i}") for a in _AXES for i, f in enumerate((F.min, F.max))]
     cells = (
         coded.select(*_AXES, F.explode(_levels(list(range(DEPTH + 1)))).alias("c"))
         .groupBy("c.level", "c.id").agg(F.count(F.lit(1)).alias("held"), *sides)
         .select("level", "id", F.shiftright("id", 6).alias("up"), "held", F.struct(*[f"{a}{i}" for a in _AXES for i in (0, 1)]).alias("box"))
-        .checkpoint()
     )
-    split = cells.where(F.col("held") > LEAF).select(F.col("id").alias("up"))
-    kept = cells.where(F.col("level") == 0).unionByName(cells.where(F.col("level") > 0).join(split, "up", "left_semi"))
-    return kept.withColumn("leaf", (F.col("held") <= LEAF) | (F.col("level") == DEPTH)).checkpoint()
+    # A cell holds what its at most 64 children hold.
+    above = F.sum("held").over(Window.partitionBy("level", "up"))
+    kept = cells.withColumn("_above", above).where((F.col("level") == 0) | (F.col("_above") > LEAF)).drop("_above")
+    return stored(kept.withColumn("leaf", (F.col("held") <= LEAF) | (F.col("level") == DEPTH)), "cells")
 
 
 def _below(tree: DataFrame, level: int, side: str) -> DataFrame:
@@ -99,40 +99,44 @@ def _pruned(pairs: DataFrame, by: str, sides: dict[str, tuple[Column, Column]],
     return pairs.where(F.col("near") <= F.col("bound") + SLACK).drop("near", "far", "enough")
 
 
-def _leaf_of(coded: DataFrame, tree: DataFrame, side: str) -> DataFrame:
-    """Points with the id of their leaf."""
+def _leaf_of(coded: DataFrame, tree: DataFrame, levels: list[int], side: str) -> DataFrame:
+    """Points with the id of their leaf, which lies at one of `levels`."""
     leaves = tree.where("leaf")
-    levels = sorted(r.level for r in leaves.select("level").distinct().collect())  # at most DEPTH + 1 numbers
     return coded.withColumn("c", F.explode(_levels(levels))).withColumn(side, F.col("c.id")).drop("c", "code").join(
         leaves.select(F.col("id").alias(side)), side)
 
 
-def k_nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+def k_nearest(queries: DataFrame, points: DataFrame, k: int, same: bool = False) -> DataFrame:
     """Exact k nearest ids per query: (qid, rank, pid, chord).  `qid` is unique.
 
     queries: qid, x, y, z.  points: one row per position, x, y, z and `ids`
-    (array of the ids there that can be an answer).
+    (array of the ids there that can be an answer).  Both are read twice.  `same` says that
+    the queries lie on the points, so one tree serves both.
     """
-    shared_dir(queries.sparkSession)  # checkpoint() below needs its folder
-    asked, held = _with_code(queries), _with_code(points)
-    trees = {"q": cell_tree(asked), "p": cell_tree(held)}
-    depth = {s: t.agg(F.max("level")).first()[0] or 0 for s, t in trees.items()}
+    asked, held = (df if "code" in df.columns else _with_code(df) for df in (queries, points))
+    trees = {"p": cell_tree(held)}
+    trees["q"] = trees["p"] if same else cell_tree(asked)
+    # at most DEPTH + 1 rows a tree
+    levels = {s: {r.level: r.leaf for r in t.groupBy("level").agg(F.max("leaf").alias("leaf")).collect()} for s, t in trees.items()}
+    depth = {s: max(found, default=0) for s, found in levels.items()}
+    leaves = {s: sorted(level for level, leaf in found.items() if leaf) for s, found in levels.items()}
     roots = {s: t.where(F.col("level") == 0) for s, t in trees.items()}
     pairs = roots["q"].select(F.col("id").alias("q"), F.col("box").alias("qbox")).join(
         roots["p"].select(F.col("id").alias("q"), F.col("id").alias("p"), F.col("box").alias("pbox"), "held"), "q").withColumn("bound", F.lit(float("inf")))
     boxes = {a: (F.col("qbox")[f"{a}0"], F.col("qbox")[f"{a}1"]) for a in _AXES}
     for level in range(max(depth.values())):
         if level < depth["q"]:
-            pairs = pairs.join(_below(trees["q"], level, "q"), "q").drop("q", "qbox", "child_held").withColumnsRenamed({"child": "q", "child_box": "qbox"})
+            pairs = pairs.join(_below(trees["q"], level, "q"), "q").select(
+                F.col("child").alias("q"), F.col("child_box").alias("qbox"), "p", "pbox", "held", "bound")
         if level < depth["p"]:
-            pairs = pairs.join(_below(trees["p"], level, "p"), "p").drop("p", "pbox", "held").withColumnsRenamed(
-                {"child": "p", "child_box": "pbox", "child_held": "held"})
+            pairs = pairs.join(_below(trees["p"], level, "p"), "p").select(
+                "q", "qbox", F.col("child").alias("p"), F.col("child_box").alias("pbox"), F.col("child_held").alias("held"), "bound")
         pairs = _pruned(pairs, "q", boxes, k)
-        if level % 3 == 2:
-            pairs = pairs.checkpoint()
-    mine = pairs.drop("qbox").join(_leaf_of(asked, trees["q"], "q"), "q").drop("q")
+        if level % 4 == 3:
+            pairs = stored(pairs, "pairs")
+    mine = pairs.drop("qbox").join(_leaf_of(asked, trees["q"], leaves["q"], "q"), "q").drop("q")
     mine = _pruned(mine, "qid", {a: (F.col(a), F.col(a)) for a in _AXES}, k).select("qid", "p", *_AXES)
-    targets = _leaf_of(held, trees["p"], "p").withColumnsRenamed({a: f"p{a}" for a in _AXES})
+    targets = _leaf_of(held, trees["p"], leaves["p"], "p").withColumnsRenamed({a: f"p{a}" for a in _AXES})
     chord = F.sqrt(sum((F.pow(F.col(a) - F.col(f"p{a}"), 2.0) for a in _AXES), F.lit(0.0)))
     found = mine.join(targets, "p").select("qid", chord.alias("chord"), F.explode("ids").alias("pid"))
     nearest_first = Window.partitionBy("qid").orderBy(tie_key(F.col("chord")), "pid")
@@ -154,12 +158,11 @@ def nearest_stations(stations: DataFrame, k: int = 4, radius_km: float = EARTH_R
     positions = heads.groupBy("la", "lo").agg(
         F.sort_array(F.collect_list("station")).alias("ids"), F.min("lat").alias("lat"), F.min("lon").alias("lon")
     )
-    shared_dir(stations.sparkSession)
-    points = _on_sphere(positions, "lat", "lon").checkpoint()
+    points = stored(_with_code(_on_sphere(positions, "lat", "lon")), "positions")
     # One search per position, k+1 deep: any member can leave itself out and still has k-1 others.
-    queries = points.select(F.struct("la", "lo").alias("qid"), *_AXES)
+    queries = points.select(F.struct("la", "lo").alias("qid"), *_AXES, "code")
     near = (
-        k_nearest(queries, points.select("ids", *_AXES), k + 1)
+        k_nearest(queries, points.select("ids", *_AXES, "code"), k + 1, same=True)
         .groupBy("qid")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "pid", "chord"))).alias("near"))
         .select(F.col("qid.la").alias("la"), F.col("qid.lo").alias("lo"), "near")
@@ -204,9 +207,8 @@ def nearest_grid_points(
     radius_km: float = EARTH_RADIUS_KM,
 ) -> DataFrame:
     """(station, rank, gla, glo, km): the k nearest grid positions of each station."""
-    shared_dir(stations.sparkSession)
-    points = _grid_points(grid, lat, lon).checkpoint()
-    queries = _on_sphere(stations.select(F.col("station").alias("qid"), "lat", "lon"), "lat", "lon").select("qid", *_AXES)
+    points = stored(_with_code(_grid_points(grid, lat, lon)), "grid-points")
+    queries = stored(_with_code(_on_sphere(stations.select(F.col("station").alias("qid"), "lat", "lon"), "lat", "lon").select("qid", *_AXES)), "asked")
     found = k_nearest(queries, points, k)
     return found.select(
         F.col("qid").alias("station"), F.col("rank").cast("long").alias("rank"),
