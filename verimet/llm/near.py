@@ -293,7 +293,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     signed = stored(annotate(docs.select("doc_id", "text"), "text", SIGNED, sign, ["doc_id"]), "signed")
     classes = stored(
         signed.where("__n > 0").groupBy("__h1", "__h2", "__n").agg(F.min("doc_id").alias("doc"), F.first("__sig").alias("sig")).withColumn(
-            "rep", F.monotonically_increasing_id()), "classes")  # a number for each set, fixed once written
+            "id", F.monotonically_increasing_id()), "classes")
+    # a number for each set, fixed once written, and small: row and partition of the id take turns
+    part, row = F.shiftright("id", 33), F.col("id") % (1 << 33)
+    parts = (classes.agg(F.max(part)).first()[0] or 0) + 1
+    classes = classes.withColumn("rep", row * parts + part).drop("id")
     reps = classes.select("rep", F.col("__n").alias("n"), "sig")
 
     shared = index_keys(reps, index).groupBy("key").agg(
