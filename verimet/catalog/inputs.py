@@ -19,6 +19,8 @@ HOURS = 240
 RUN_LEADS = 6
 GRID_STEP = 0.25
 GRID_LEADS = 3
+#: Line items whose rows share a bucket, about.
+BUCKET_ITEMS = 500_000
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -177,6 +179,10 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def buckets(self, least: int) -> int:
+        """Buckets for tables made from line items, so that one bucket holds as much at every scale (a count from footers)."""
+        return max(least, -(-self.table("lineitem").count() // BUCKET_ITEMS))
+
     def stations(self) -> DataFrame:
         key = F.col("s_suppkey")
         return (

@@ -102,9 +102,9 @@ def unreadable_files(d):
 
 
 def _bucketed(d, frame, keys):
-    """`frame` written as a table of 8 buckets and read back."""
+    """`frame` written as a table of 8 buckets or, for larger tables, more, and read back."""
     name = f"buckets_{uuid.uuid4().hex}"
-    sinks.write_bucketed(frame, name, work_path(d.spark, name), keys, 8)
+    sinks.write_bucketed(frame, name, work_path(d.spark, name), keys, d.buckets(8))
     return d.spark.table(name)
 
 

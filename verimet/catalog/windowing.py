@@ -104,7 +104,7 @@ def win_arrays(d):
 def win_arrays_laid_out(d):
     """Windows from a table that was numbered and dealt when it was written; reading it needs no exchange."""
     name = f"series_{uuid.uuid4().hex}"
-    table = windows.store_layout(_series(d), ["station", "fh"], name, work_path(d.spark, name), past=PAST, max_steps=6, buckets=16, counted=d.forecasts())
+    table = windows.store_layout(_series(d), ["station", "fh"], name, work_path(d.spark, name), past=PAST, max_steps=6, buckets=d.buckets(16), counted=d.forecasts())
     return _checks(windows.build_windows(
         table, ["station", "fh"], _FEATURES, ["tair"], past=PAST, steps=F.col("fh"), max_steps=6, normalise=_MASKED, laid_out=True))
 
@@ -131,7 +131,7 @@ def win_persist_last_valid(d):
 SELECT station, fh, start, {R(f'w[{PAST + 1}].e')} AS first_y, {R(f'w[{PAST} + fh].e')} AS last_y,
        CAST(w[{PAST + 1}].ns AS BIGINT) AS first_t, CAST(w[{PAST} + fh].ns AS BIGINT) AS last_t FROM win""", ("forecasts", "hourly"))
 def win_targets(d):
-    return _windows(d).select(
+    return _windows(d, with_x=False).select(
         "station", "fh", F.col("start").cast("long").alias("start"), r(F.col("y")[0]).alias("first_y"), r(F.element_at("y", -1)).alias("last_y"),
         F.col("future_times")[0].alias("first_t"), F.element_at("future_times", -1).alias("last_t"))
 
