@@ -100,3 +100,22 @@ def test_stream_twice_writes_once(spark, tmp_path):
         increments.append_closed_bins(increments.hourly_wind(increments.read_stream(spark, src, typed)), bins, bmark).awaitTermination()
     got = sorted((r.valid_time.hour, r.n) for r in spark.read.parquet(bins).collect())
     assert got == [(0, 1), (1, 1), (2, 1)]  # watermark 03:10 closes bins that end by 03:00
+
+
+def test_image_folders_follow_years_not_stations(spark, tmp_path):
+    """Many stations share the folders of a year; a station's images are replaced and no other station's."""
+    path = str(tmp_path / "images")
+
+    def images(stations, value):
+        rows = [(s, datetime(y, 1, 1, h), value) for s in stations for y in (2023, 2024) for h in (0, 1)]
+        return spark.createDataFrame(rows, "station string, valid_time timestamp_ntz, v double")
+
+    names = [*[f"S{i}" for i in range(300)], None]
+    sinks.write_images(images(names, 1.0), path)
+    folders = {p.parent for p in (tmp_path / "images").rglob("*.parquet")}
+    assert len(folders) <= 2 * sinks.IMAGE_PARTS < 2 * len(names)
+    for _ in range(2):
+        sinks.write_images(images(["S7", None, "new"], 2.0), path)
+    got = sorted((str(r.station), r.valid_time, r.v) for r in spark.read.parquet(path).collect())
+    want = [(str(s), datetime(y, 1, 1, h), 2.0 if s in ("S7", None, "new") else 1.0) for s in [*names, "new"] for y in (2023, 2024) for h in (0, 1)]
+    assert got == sorted(want)

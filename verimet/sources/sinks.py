@@ -10,8 +10,11 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from verimet.operators.setops import latest_per_key, upsert
+from verimet.session import stored
 
 BATCH = "batch_id"
+#: Folders that the images of a year lie in, whatever the number of stations.
+IMAGE_PARTS = 64
 
 
 def write_partitions(df: DataFrame, path: str, by: Sequence[str], order: Sequence[str] = ()) -> None:
@@ -49,7 +52,24 @@ def write_divisions(df: DataFrame, path: str) -> None:
 
 
 def write_images(df: DataFrame, path: str, ts: str = "valid_time") -> None:
-    write_partitions(df.withColumn("year", F.year(ts)), path, ["year", "station"])
+    """Replace the images of the years and stations present in `df`, leave the others.
+
+    A year has IMAGE_PARTS folders (`part`, a hash of the station), so folders and files don't multiply with the
+    stations; inside a file rows go by station and time.  Only the parts that `df` touches are rewritten.
+    """
+    by = ["year", "part"]
+    new = df.withColumns({"year": F.year(ts), "part": F.pmod(F.xxhash64("station"), F.lit(IMAGE_PARTS)).cast("int")})
+    old = read_if_there(df.sparkSession, path, new.schema)
+    if old is not None:
+        new = stored(new, "images")
+
+        def present(columns):
+            named = new.select(*[F.col(c).alias(f"_{c}") for c in columns]).distinct()
+            return named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
+
+        others = old.join(*present(by), "left_semi").join(*present([*by, "station"]), "left_anti")
+        new = new.unionByName(others)
+    write_partitions(new, path, by, ["station", ts])
 
 
 def write_summary_csv(df: DataFrame, path: str) -> None:
