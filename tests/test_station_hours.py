@@ -91,3 +91,22 @@ def test_rows_beyond_the_delay_are_left_out(spark):
     got = {(r.station, r.valid_time.hour): (r.precip_total, r.wspd_sonic_mean) for r in spark.read.parquet(out).collect()}
     # the late row of a's first hour is ignored; the step over the gap starts from the total carried since then
     assert got == {("a", 0): (2.0, 6.0), ("a", 9): (7.0, 2.0), ("b", 9): (0.0, 1.0)}
+
+
+def test_many_stations_share_a_state(spark):
+    """States and calls are as many as the parts, and stations of a part (one without a name) don't mix."""
+    frame = gauge_rows(9, 700, 8)[::20]
+    frame.loc[frame["station"] == "S5", "station"] = None
+    source, out, mark = (work_path(spark, n) for n in ("source", "out", "mark"))
+    schema = "station string, time_5M timestamp_ntz, event_id long, precip_total double, wspd_sonic double, tair double"
+    rows = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), schema)
+    from pyspark.sql.types import _parse_datatype_string
+    for late in (False, True):
+        rows.where((F.col("time_5M") >= F.lit(START + pd.Timedelta(hours=4)).cast("timestamp_ntz")) == late).write.mode("append").parquet(source)
+        stream = station_hours.station_hours(increments.read_stream(spark, source, _parse_datatype_string(schema)), ["tair"], parts=16)
+        query = increments.append_closed_bins(stream, out, mark)
+        query.awaitTermination()
+        assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 16
+    closed = frame["time_5M"].max() - pd.Timedelta(hours=2)
+    table = resample.station_table(rows, 1, ["tair"], tie=["event_id"])
+    same(spark.read.parquet(out), table.where(F.col("valid_time") + F.expr("INTERVAL 1 HOUR") <= F.lit(closed)))
