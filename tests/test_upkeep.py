@@ -165,3 +165,15 @@ def test_many_features(spark):
     packed = {r.g: r.params for r in scoring.fit_many_features(two.withColumn("x", F.array("a", "b")), ["g"], "x", "y", 0.5).collect()}
     for g, params in plain.items():
         assert np.allclose(params, packed[g], atol=1e-8)
+
+
+def test_a_repeated_batch_replaces_all_its_months(spark):
+    """What a batch held before it came again is not taken back later."""
+    path = work_path(spark, "again")
+    rows = list({r[:4]: r for r in predictions(3, 200, 60)}.values())
+    first = [r for r in rows if r[0].month == 1]
+    running_scores.add_batch(spark.createDataFrame(rows, SCHEMA), path, 0, ["fh"])
+    running_scores.add_batch(spark.createDataFrame(first, SCHEMA), path, 0, ["fh"])
+    assert spark.read.parquet(f"{path}/rows").count() == len(first)
+    running_scores.add_batch(spark.createDataFrame(rows, SCHEMA), path, 1, ["fh"])
+    assert running_scores.current_scores(spark, path, ["fh"]).agg(F.sum("n")).first()[0] == sum(r[5] is not None for r in rows)

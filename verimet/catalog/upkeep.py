@@ -43,10 +43,12 @@ FROM {_CORRECTED} GROUP BY 1, 2, 3""", ("evaluated",))
 def running_scores_(d):
     """Scores from ten appended batches of some months each, the last of which comes twice and corrects rows of all others."""
     path, by = work_path(d.spark, "scores"), ["stid", "fh", "metvar"]
-    rows = d.evaluated().select(*_KEYS, "model_output", "actual").checkpoint()
-    part = F.pmod(F.floor((F.year("valid_time") * 12 + F.month("valid_time")) / 10), F.lit(9))
+    part = F.pmod(F.floor((F.year("valid_time") * 12 + F.month("valid_time")) / 10), F.lit(9)).cast("int")
+    rows, source = d.evaluated().select(*_KEYS, "model_output", "actual").withColumn("part", part), work_path(d.spark, "score-source")
+    rows.write.partitionBy("part").parquet(source)  # a batch reads its own rows alone
+    rows = d.spark.read.schema(rows.schema).parquet(source)
     for number in range(9):
-        running_scores.add_batch(rows.where(part == number), path, number, by)
+        running_scores.add_batch(rows.where(F.col("part") == number), path, number, by)
     late = rows.where(F.dayofmonth("valid_time") % 5 == 0).withColumn("model_output", F.col("model_output") + 0.5)
     for _ in range(2):
         running_scores.add_batch(late, path, 9, by)

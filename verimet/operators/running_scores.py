@@ -15,8 +15,7 @@ from pyspark.sql import types as T
 
 from verimet.operators.setops import latest_per_key
 from verimet.operators.verify import KEYS
-from verimet.session import stored
-from verimet.sources.sinks import BATCH, read_if_there
+from verimet.sources.sinks import BATCH
 
 MONTH = "month"
 #: Width of the bins of the absolute error; the last one is open.
@@ -41,20 +40,24 @@ def add_batch(new: DataFrame, path: str, batch: int, by: Sequence[str], keys: Se
     """
     spark = new.sparkSession
     rows = latest_per_key(new, keys, list(order) or list(keys)).select(*keys, "model_output", "actual", F.trunc(ts, "MM").alias(MONTH))
-    rows = stored(rows, "score-batch")
+    logged = T.StructType([*rows.schema.fields, T.StructField(BATCH, T.LongType())])
+    # The batch's folder is written once and read again: one file a month, more only for large ones.
+    rows.hint("rebalance", MONTH).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(MONTH).parquet(f"{path}/rows/{BATCH}={batch}")
+    log = spark.read.schema(logged).parquet(f"{path}/rows")
+    rows = log.where(F.col(BATCH) == batch)
     added = error_sums(rows, by)
-    log = read_if_there(spark, f"{path}/rows", T.StructType([*rows.schema.fields, T.StructField(BATCH, T.LongType())]))
-    if log is not None:
-        months = [r[0] for r in rows.select(MONTH).distinct().collect()]  # calendar months of one batch
-        touched = F.col(MONTH).isin([m for m in months if m is not None])
-        former = log.where((touched | F.col(MONTH).isNull()) & (F.col(BATCH) < batch))
+    months = [r[0] for r in rows.select(MONTH).distinct().collect()]  # calendar months of one batch
+    touched = F.col(MONTH).isin([m for m in months if m is not None])
+    former = log.where((touched | F.col(MONTH).isNull()) & (F.col(BATCH) < batch))
+    if not former.isEmpty():
+        if ts in keys:  # rows of other days than the batch's (calendar days, so few) meet no exchange
+            days = rows.select(F.to_date(ts).alias("_day")).distinct()
+            former = former.join(F.broadcast(days), F.to_date(ts).eqNullSafe(F.col("_day")), "left_semi")
         former = former.join(rows.select(*keys), list(keys), "left_semi")
         former = latest_per_key(former.select(*keys, "model_output", "actual", BATCH), keys, [BATCH])
         added = added.unionByName(error_sums(former, by, -1)).groupBy(*by, "bin").agg(*[F.sum(c).alias(c) for c in _SUMS])
-    # one file a month and batch, more only for large ones
-    for frame, name, columns in ((added, "sums", [BATCH]), (rows.hint("rebalance", MONTH), "rows", [BATCH, MONTH])):
-        out = frame.withColumn(BATCH, F.lit(batch).cast("long"))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(f"{path}/{name}")
+    out = added.withColumn(BATCH, F.lit(batch).cast("long"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(f"{path}/sums")
 
 
 def current_sums(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
