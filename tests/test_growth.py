@@ -53,3 +53,13 @@ def test_later_rounds_read_open_groups_only(spark, monkeypatch):
     got = descent.fit_windows(spark.createDataFrame(rows + still, SCHEMA), ["g", "fh"], ["a", "b"], descent.linear_model(2)).collect()
     assert len(got) == 13 and {r.reason for r in got} == {"converged"}
     assert read[0] == len(rows) + 90 and read[1] == len(rows)
+
+
+@pytest.mark.parametrize("name", ["training_frame", "image_frame", "inference_frame"])
+def test_cluster_frames_grow_with_the_rows(spark, monkeypatch, name):
+    """Tasks that group member rows follow the line items; targets of one hour are in many of them."""
+    monkeypatch.setattr(inputs, "BUCKET_ITEMS", 500)
+    want = -(-spark.read.parquet(f"{FOLDER}/lineitem.parquet").count() // 500)
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert want > 8 and any("hashpartitioning(target" in line and f", {want})" in line for line in dealt)
