@@ -69,3 +69,27 @@ def test_inverse_distance_on_the_point(spark):
     grid = spark.createDataFrame([(40.0, -75.0, 1, 7.0), (40.1, -75.0, 1, 9.0), (40.0, -75.1, 1, 11.0)], "latitude double, longitude double, t int, v double")
     st = spark.createDataFrame([("a", 40.0, -75.0)], "station string, lat double, lon double")
     assert spatial.interpolate_inverse_distance(st, grid, ["v"], ["t"]).first().v == pytest.approx(7.0, abs=1e-6)
+
+
+def test_bilinear_folds_boxes_not_stations(spark):
+    """Many stations of a box take their values from one row of it; a station listed twice counts eight corners."""
+    cells = [(38.0 + i * 0.5, -80.0 + j * 0.5, t, float(i * 7 + j * j + t)) for i in range(3) for j in range(3) for t in (0, 1) if (i, j, t) != (2, 2, 1)]
+    grid = spark.createDataFrame(cells, "latitude double, longitude double, t int, v double")
+    places = [(f"S{k}", 38.0 + k % 19 / 20, -80.0 + k % 17 / 20) for k in range(300)]
+    st = spark.createDataFrame([*places, ("S3", 38.1, -79.9), ("gone", 10.0, 10.0), ("none", None, None)], "station string, lat double, lon double")
+    out = spatial.interpolate_bilinear(st, grid, ["v"], 0.5, ["t"])
+    got = {(r.station, r.t): r.v for r in out.collect()}
+    value = {(round((a - 38) * 2), round((b + 80) * 2), t): v for a, b, t, v in cells}
+    assert len(got) == out.count() == 600
+    for name, lat, lon in places:
+        x, y = (lat - 38) * 2, (lon + 80) * 2
+        i, j = int(x + 1e-9), int(y + 1e-9)
+        for t in (0, 1):
+            want = [value.get((i + a, j + b, t)) for a in (0, 1) for b in (0, 1)]
+            if name == "S3" or None in want:
+                assert got[name, t] is None
+            else:
+                w = [(x - i if a else 1 - x + i) * (y - j if b else 1 - y + j) for a in (0, 1) for b in (0, 1)]
+                assert got[name, t] == pytest.approx(sum(p * q for p, q in zip(w, want, strict=True)))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_i0" in plan

@@ -249,31 +249,37 @@ def interpolate_bilinear(
 ) -> DataFrame:
     """Regular lat/lon grid -> stations: weighted sum of the four surrounding cells.
 
-    Stations without all four corners at a time get null.  The corners of each
-    station are found by integer arithmetic, so this is one equi-join.
+    Stations without all four corners at a time get null.  The corners of each station are found by integer
+    arithmetic.  The grid is folded to one row per time and box (the square between four cells) that has
+    stations, by an equi-join on cells; its size follows the grid, however many stations a box has.  A station's value
+    is then made from one row of its box, so nothing is grouped by station and time; only rows of a station
+    that is listed more than once still are.
     """
     fi, fj = F.col("lat") / step, F.col("lon") / step
     i0, j0 = F.floor(fi + 1e-9), F.floor(fj + 1e-9)
     di, dj = F.greatest(fi - i0, F.lit(0.0)), F.greatest(fj - j0, F.lit(0.0))
-    corners = F.array(
-        *[
-            F.struct(
-                (i0 + a).alias("i"), (j0 + b).alias("j"),
-                ((di if a else 1.0 - di) * (dj if b else 1.0 - dj)).alias("w"),
-            )
-            for a in (0, 1)
-            for b in (0, 1)
-        ]
-    )
-    wanted = stations.select("station", F.explode(corners).alias("c")).select("station", "c.i", "c.j", "c.w")
+    offsets = [(a, b) for a in (0, 1) for b in (0, 1)]
+    weights = F.array(*[(di if a else 1.0 - di) * (dj if b else 1.0 - dj) for a, b in offsets])
+    listed = F.count(F.lit(1)).over(Window.partitionBy("station"))
+    wanted = stations.select("station", i0.alias("_i0"), j0.alias("_j0"), weights.alias("_w"), listed.alias("_listed"))
+    corners = F.array(*[F.struct((F.col("_i0") + a).alias("i"), (F.col("_j0") + b).alias("j"), F.lit(n).alias("n")) for n, (a, b) in enumerate(offsets)])
+    boxes = wanted.select("_i0", "_j0").distinct().select("_i0", "_j0", F.explode(corners).alias("_c")).select("_i0", "_j0", "_c.i", "_c.j", F.col("_c.n").alias("_n"))
     cells = grid.select(
         *by, *values, F.floor(F.col(lat) / step + 0.5).alias("i"), F.floor(F.col(lon) / step + 0.5).alias("j")
     )
-    return (
-        cells.join(wanted, ["i", "j"])
-        .groupBy("station", *by)
-        .agg(*[F.when(F.count(v) == 4, F.sum(F.col("w") * F.col(v))).alias(v) for v in values])
-    )
+    # Per value and corner the sum of the cell's rows, one as a rule, and over all corners their number.
+    at = [F.when(F.col("_n") == n, True) for n in range(len(offsets))]
+    sums = {f"_s{k}_{n}": F.sum(F.when(at[n], F.col(v))) for k, v in enumerate(values) for n in range(len(offsets))}
+    counts = {f"_k{k}": F.count(v) for k, v in enumerate(values)}
+    folded = cells.join(boxes, ["i", "j"]).groupBy("_i0", "_j0", *by).agg(*[a.alias(c) for c, a in {**sums, **counts}.items()])
+    parts = {}
+    for k in range(len(values)):
+        parts[f"_v{k}"] = sum((F.col("_w")[n] * F.coalesce(F.col(f"_s{k}_{n}"), F.lit(0.0)) for n in range(len(offsets))), F.lit(0.0))
+        parts[f"_k{k}"] = F.col(f"_k{k}")
+    placed = folded.join(wanted, ["_i0", "_j0"]).select("station", *by, "_listed", *[c.alias(n) for n, c in parts.items()])
+    once = placed.where(F.col("_listed") == 1).drop("_listed")
+    again = placed.where(F.col("_listed") > 1).groupBy("station", *by).agg(*[F.sum(c).alias(c) for c in parts])
+    return once.unionByName(again).select("station", *by, *[F.when(F.col(f"_k{k}") == 4, F.col(f"_v{k}")).alias(v) for k, v in enumerate(values)])
 
 
 def interpolate_inverse_distance(
