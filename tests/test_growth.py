@@ -63,3 +63,16 @@ def test_cluster_frames_grow_with_the_rows(spark, monkeypatch, name):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
     assert want > 8 and any("hashpartitioning(target" in line and f", {want})" in line for line in dealt)
+
+
+def test_verification_deals_one_row_for_all_variables(spark, monkeypatch):
+    """Realised errors are not made long before they travel, nothing is sorted, and a task's share is bounded."""
+    monkeypatch.setattr(inputs, "BUCKET_ITEMS", 500)
+    want = -(-spark.read.parquet(f"{FOLDER}/lineitem.parquet").count() // 500)
+    plan = QUERIES["verification_run"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert want > 8 and len(dealt) == 4 and all(f", {want})" in line and "metvar" not in line for line in dealt)
+    assert plan.count("ShuffledHashJoin") == 2 and "Sort" not in plan
+    monkeypatch.setattr(inputs, "BUCKET_ITEMS", 500_000)
+    plan = QUERIES["verification_run"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "REPARTITION_BY_NUM" not in plan

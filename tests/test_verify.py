@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verimet.operators import scoring, summarise, uncertainty, verify
+from verimet.plans import training
 
 T0 = datetime(2024, 3, 1, 5)
 
@@ -97,3 +98,33 @@ def test_fits_agree_and_skip_missing_models(spark):
     b = scoring.score_batches(df, only_x, ["g"], scoring.predict_linear(["a", "b"]), ["g", "y"], ["a", "b"])
     assert a.count() == b.count() == 200
     assert b.agg(F.max(F.abs(F.col("model_output") - F.col("y")))).first()[0] < 1e-9
+
+
+@pytest.mark.parametrize("parts", [None, 3, 11])
+def test_verification_pairs_every_prediction_with_its_variable(spark, parts):
+    """Null keys and errors, repeated rows on all sides, variables without forecast and stations without observation."""
+    def at(h):
+        return None if h is None else datetime(2024, 3, 1, h)
+
+    fc = [("a", 1, 5, 1.0, 10.0), ("a", 1, 5, 2.0, None), ("a", 2, 5, 3.0, 30.0), ("b", 1, 6, None, 40.0), (None, 1, 5, 1.0, 1.0), ("a", 1, None, 1.0, 1.0),
+          ("a", None, 5, 1.0, 1.0), ("c", 1, 5, 1.0, 1.0), ("d", 1, 5, float("nan"), 0.0)]
+    obs = [("a", 5, 0.5, 4.0), ("a", 5, None, 5.0), ("b", 6, 2.0, 6.0), (None, 5, 1.0, 1.0), ("a", None, 1.0, 1.0), ("d", 5, 1.0, 0.0)]
+    keys = [(h, s, f) for h in (5, 6, None) for s in ("a", "b", "c", "d", None) for f in (1, 2, None)]
+    preds = [(*k, m, v) for k in [*keys, (5, "a", 1)] for m, v in (("t2m", 1.5), ("u_total", 2.5), ("tp", 3.5), (None, 4.5), ("u_total", None))]
+    forecast = spark.createDataFrame([(s, f, at(h), t, u) for s, f, h, t, u in fc], "station string, fh bigint, valid_time timestamp_ntz, t2m double, u_total double")
+    observed = spark.createDataFrame([(s, at(h), t, w) for s, h, t, w in obs], "station string, valid_time timestamp_ntz, tair double, wspd_sonic_mean double")
+    predictions = spark.createDataFrame([(at(h), *rest) for h, *rest in preds], "valid_time timestamp_ntz, stid string, fh bigint, metvar string, model_output double")
+    want = []
+    for h, s, f, m, v in preds:
+        for fs, ff, fh, *values in fc:
+            for os, oh, *seen in obs:
+                if None not in (h, s, f) and (h, s, f) == (fh, fs, ff) and (s, h) == (os, oh) and m in ("t2m", "u_total"):
+                    i = ("t2m", "u_total").index(m)
+                    if values[i] is not None and seen[i] is not None:
+                        e = values[i] - seen[i]
+                        want.append((at(h), s, f, m, v, e, None if v is None else v - e))
+    got = training.verify(predictions, forecast, observed, ["t2m", "u_total"], parts=parts)
+    assert got.columns == [*verify.KEYS, "model_output", "actual", "difference"]
+    assert len(want) > 10 and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    with pytest.raises(ValueError):
+        verify.evaluation_rows(predictions, forecast, "left", metvars=["t2m"])
