@@ -97,3 +97,49 @@ def test_ensemble_equals_single_windows():
         guess = np.nan_to_num(window[PAST:]) @ weights[:, :2].T
         assert np.allclose(got["mu"][i], guess.mean(axis=1)) and np.allclose(got["epistemic_var"][i], guess.var(axis=1))
         assert np.allclose(got["total_var"][i], guess.var(axis=1) + np.exp(weights[:, 2]).mean())
+
+
+def test_windows_over_many_short_chunks(spark):
+    """Two or three rows a month, so a window spans up to five chunks; equal times; the same from a stored layout."""
+    from verimet.session import work_path
+
+    steps, rows = 3, []
+    for key, n in (("p", 40), (None, 11), ("q", 1)):
+        for i in range(n):
+            rows.append((key, 1, datetime(2023, 11, 3) + timedelta(days=12 * (i - i % 9 // 8)), float(i % 7), i, float(i)))
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    options = dict(past=PAST, steps=steps, max_steps=steps, normalise=[], ties=["b"])
+    table = windows.store_layout(
+        frame, ["k", "fh"], "short_chunks", work_path(spark, "short"), past=PAST, max_steps=steps, block_rows=1, ties=["b"], buckets=3)
+    options.update(block_rows=1)
+    for win in (windows.build_windows(frame, ["k", "fh"], ["a", "b"], **options),
+                windows.build_windows(table, ["k", "fh"], ["a", "b"], laid_out=True, **{**options, "ties": []})):
+        got = {(r.k, r.start): r for r in win.collect()}
+        assert len(got) == len(rows) == win.count()
+        for (key, start), row in got.items():
+            series = [r for r in rows if r[0] == key]
+            want = [(r[3], float(r[4])) for r in series[start:start + PAST + steps]]
+            assert [(c.a, c.b) for c in row.x] == want + [(0.0, 0.0)] * (PAST + steps - len(want)), (key, start)
+            ahead = [r[5] for r in series[start + PAST:start + PAST + steps]]
+            assert row.y == ahead + [0.0] * (steps - len(ahead)) and row.valid_time == series[start][2]
+
+
+def test_rows_travel_once(spark):
+    """Numbering deals the rows by key and chunk; neither a join with the chunks' counts nor blocks deal them again."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = spark.createDataFrame(_rows(), SCHEMA)
+        win = windows.build_windows(frame, ["k", "fh"], ["a", "b"], past=PAST, steps=F.col("fh"), max_steps=3, normalise=["a"], counted=frame)
+        inside = win._jdf.queryExecution().executedPlan().toString().split("Union", 1)[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Join" not in inside and "_block" not in inside
+    assert {line.split("Exchange ")[1].split("#")[0] for line in inside.splitlines() if "Exchange " in line} == {"hashpartitioning(k"}
+    assert inside.count("Exchange ") <= 7  # twice the same rows and counts, and the border's
+
+
+def test_chunks_must_be_counted_whole(spark):
+    frame = spark.createDataFrame(_rows(), SCHEMA)
+    with pytest.raises(Exception, match="more rows than were counted"):
+        windows.build_windows(frame, ["k", "fh"], ["a"], past=PAST, max_steps=1, counted=frame.where("a is not null")).collect()
