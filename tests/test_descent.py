@@ -70,6 +70,40 @@ def test_patience_on_held_out_windows(spark):
     assert {r.reason for r in few} == {"rounds"} and {r.rounds for r in few} == {2}
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_series_of_a_layout_equal_stored_windows(spark, monkeypatch, small):
+    """Windows made anew in every round give the models of stored ones, and only rows are written."""
+    from verimet.operators.windows import build_windows, store_layout, window_series
+    from verimet.session import work_path
+
+    rng = np.random.default_rng(4)
+    rows = [(None if g == 5 else f"g{g}", 1 + g % 2, None if i == 0 and g == 2 else pd.Timestamp("2024-01-20").to_pydatetime() + pd.Timedelta(hours=13 * i),
+             None if rng.random() < 0.1 else float(rng.normal() + i % 5), None if rng.random() < 0.1 else float(rng.normal() + g))
+            for g in range(6) for i in range(3 if g == 4 else 60)]
+    frame = spark.createDataFrame(rows, "k string, fh long, valid_time timestamp_ntz, a double, target_error double").repartition(3)
+    options = dict(past=4, steps=F.col("fh"), max_steps=3, normalise=[])
+    table = store_layout(frame, ["k", "fh"], f"descent_layout_{small}", work_path(spark, "descent"), past=4, max_steps=3, buckets=3)
+    stores = []
+    monkeypatch.setattr(descent, "stored", lambda df, name, real=descent.stored: (stores.append(name), real(df, name))[1])
+    if not small:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        series = window_series(table, ["k", "fh"], ["a"], laid_out=True, **options)
+        found = descent.fit_windows(series, ["k", "fh"], ["a"], descent.linear_model(1))
+        got = {(r.k, r.fh): r for r in found.collect()}
+        plan = series.per_key(found.select("k", "fh", "params")).rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "packed-windows" not in stores
+    if not small:  # only the models travel
+        above = plan.split("ShuffledHashJoin", 1)[1].split("FileScan", 1)[0]
+        assert "Exchange" not in above
+    want = {(r.k, r.fh): r for r in descent.fit_windows(build_windows(frame, ["k", "fh"], ["a"], **options), ["k", "fh"], ["a"], descent.linear_model(1)).collect()}
+    assert set(got) == set(want) and len(want) == 4
+    for key, r in want.items():
+        assert np.allclose(got[key].params, r.params, atol=1e-8) and got[key].loss == pytest.approx(r.loss) and got[key].reason == r.reason
+
+
 def test_gradients():
     rng = np.random.default_rng(5)
     cells, y = rng.normal(size=(4, 6, 2)), rng.normal(size=(4, 2))
