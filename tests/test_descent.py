@@ -86,6 +86,7 @@ def test_series_of_a_layout_equal_stored_windows(spark, monkeypatch, small):
     stores = []
     monkeypatch.setattr(descent, "stored", lambda df, name, real=descent.stored: (stores.append(name), real(df, name))[1])
     if not small:
+        monkeypatch.setattr(descent, "SMALL", 0)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         series = window_series(table, ["k", "fh"], ["a"], laid_out=True, **options)
